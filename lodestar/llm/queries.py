@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import quality, secrets, sharding
+from lodestar.llm import bpe, packing, quality, secrets, sharding
 from lodestar.llm.common import documents
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file on this machine and, at the same place, on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -22,10 +29,21 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or tokenizer_file("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), path or tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
@@ -66,6 +84,8 @@ FROM stats
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_virtual_slots": op4_virtual_slots,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL = {"op7_quality_rules": OP7_SQL}
