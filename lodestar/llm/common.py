@@ -75,3 +75,62 @@ def list_array(lists: list, kind: pa.DataType) -> pa.Array:
 
 def doc_hash(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
+
+
+def by_group(df: DataFrame, keys: list[str], each: Callable[[tuple, pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """``each(key, rows)`` for every group of rows with equal keys, after one shuffle and sort; a task holds one group at a time.
+
+    For many small groups it is cheaper than applyInPandas, which starts an Arrow stream for each.
+    """
+    small_batches(df.sparkSession)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        out: list[pd.DataFrame] = []
+        n = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy()
+            codes[0] = True
+            starts = [*codes.nonzero()[0].tolist(), len(batch)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                key = tuple(batch[k].iat[a] for k in keys)
+                if last is not None and key != last:
+                    made = each(last, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
+                    held = []
+                    if made is not None and len(made):
+                        out.append(made)
+                        n += len(made)
+                        if n >= BATCH_ROWS:
+                            yield pd.concat(out, ignore_index=True)
+                            out, n = [], 0
+                last = key
+                held.append(batch.iloc[a:b])
+        if held:
+            made = each(last, pd.concat(held, ignore_index=True))
+            if made is not None and len(made):
+                out.append(made)
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    return dealt.mapInPandas(run, schema)
+
+
+def forest(n: int, left, right):
+    """The smallest member reachable from each of n points over the links left[k]-right[k], as an array."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        least = np.minimum(a, b)[apart]
+        np.minimum.at(label, a[apart], least)
+        np.minimum.at(label, b[apart], least)
+        while (label[label] != label).any():
+            label = label[label]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, packing, quality, secrets, sharding
+from lodestar.llm import bpe, embedding_dedup, minhash, packing, quality, secrets, sharding
 from lodestar.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -44,6 +48,47 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = No
     return packing.pack_documents(documents(spark, sf_dir), path or tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+OP1_SQL = """
+WITH RECURSIVE ok AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE len(a.v) = len(b.v) AND list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98),
+reach AS (
+    SELECT DISTINCT a AS id, a AS r FROM links
+    UNION
+    SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+    coalesce((SELECT min(r) FROM reach WHERE id = e.vec_id), e.vec_id) AS component_id,
+    coalesce((SELECT min(r) FROM reach WHERE id = e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s FROM w),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id
+    WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+    SELECT DISTINCT a AS id, a AS r FROM pairs
+    UNION
+    SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+least_id AS (SELECT id, min(r) AS r FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(r, doc_id) AS component_id, coalesce(r, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least_id ON id = doc_id
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
@@ -82,10 +127,12 @@ FROM stats
 """
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_virtual_slots": op4_virtual_slots,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
-ORACLE_SQL = {"op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL}
