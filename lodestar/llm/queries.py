@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, embedding_dedup, minhash, packing, quality, secrets, sharding
+from lodestar.llm import bpe, embedding_dedup, language, minhash, packing, quality, secrets, sharding
 from lodestar.llm.common import documents
 
 
@@ -20,6 +20,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs, language.in_training())
+    return language.predict(docs, model).select("doc_id", (language.doc_fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -128,6 +134,7 @@ FROM stats
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_virtual_slots": op4_virtual_slots,
     "op6_bpe_round_trip": op6_bpe_round_trip,
