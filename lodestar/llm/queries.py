@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, embedding_dedup, language, minhash, packing, quality, secrets, sharding
+from lodestar.llm import bpe, embedding_dedup, language, minhash, packing, quality, secrets, sharding, suffix_dedup
 from lodestar.llm.common import documents
 
 
@@ -39,6 +39,12 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), 100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or tokenizer_file("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
@@ -137,6 +143,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_virtual_slots": op4_virtual_slots,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
