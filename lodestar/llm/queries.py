@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, embedding_dedup, language, minhash, packing, quality, secrets, sharding, suffix_dedup
+from lodestar.llm import bpe, compact_windows, embedding_dedup, language, minhash, packing, quality, secrets, sharding, suffix_dedup
 from lodestar.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = No
     return packing.pack_documents(documents(spark, sf_dir), path or tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_duplicate_passages(documents(spark, sf_dir))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
@@ -147,6 +151,7 @@ QUERIES = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_compact_windows": op9_compact_windows,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL}
