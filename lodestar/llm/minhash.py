@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.llm.common import by_group, forest, list_array, small_batches, stored
 from lodestar.llm.components import components
@@ -138,3 +139,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     roots = components(links.union(equal)).withColumnRenamed("id", "member")
     out = signed.select("id", "n_shingles").join(roots, F.col("id") == F.col("member"), "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.col("component").isNull().alias("kept"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one of the smallest id; all columns stay.
+
+    Of rows that repeat an id and a text one stays. Rows with a null id all stay.
+    """
+    ids = near_duplicates(docs, words, percent, None, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).where("_kept_id IS NOT NULL").distinct()
+    mark = "_nth" + "_" * max(map(len, docs.columns))
+    nth = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
+    once = docs.join(ids, docs[id_col] == ids["_kept_id"], "left_semi").withColumn(mark, nth).where(F.col(mark) == 1).drop(mark)
+    return once.unionByName(docs.where(F.col(id_col).isNull()))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_texts
+from lodestar.llm.common import map_texts, small_batches
 
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
@@ -85,3 +87,20 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines without a word are neither judged nor lost. An empty table gives an empty result.
     """
     return map_texts(docs, lambda: judge, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, clean_text string", id_col, text_col)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that ``clean_lines`` keeps, all columns as they are but the text, which has lost its failing lines.
+
+    Null and empty texts are rejected, as they have no words.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("kept boolean, clean_text string")
+    def verdict(texts: pd.Series) -> pd.DataFrame:
+        rows = [judge(t or "") for t in texts]
+        return pd.DataFrame({"kept": [r[6] for r in rows], "clean_text": [r[8] for r in rows]})
+
+    mark = "_verdict" + "_" * max(map(len, docs.columns))
+    judged = docs.withColumn(mark, verdict(F.col(text_col))).where(F.col(mark)["kept"])
+    return judged.select(*[F.col(mark)["clean_text"].alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestar.llm import bpe, compact_windows, embedding_dedup, language, minhash, packing, quality, secrets, sharding, suffix_dedup
-from lodestar.llm.common import documents
-
-
-def tokenizer_file(name: str) -> str:
-    """A public tokenizer's file on this machine and, at the same place, on the executors."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from lodestar.llm.common import documents, tokenizer_file
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +34,7 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), 100)
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), 100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -153,5 +147,6 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_compact_windows": op9_compact_windows,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL}

@@ -201,24 +201,25 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, ``spans`` (start, end of the maximal removed runs of bytes) and ``kept`` (the other bytes).
+    """One row per document: its other columns, n_bytes, ``spans`` (start, end of the maximal removed runs of bytes) and ``kept`` (the bytes
+    left, in place of the text).
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a document with a smaller id, or earlier in its own.
     Strings never cross documents and are judged on the input. With ``whole_characters`` a run is narrowed to whole UTF-8
-    characters, so that ``kept`` is text. Null and short texts lose nothing. Rows with a null id are left whole and
-    remove nothing. Rows that repeat an id count as documents of their own, in the order of their texts; of equal rows
-    the first stays whole. Ids have to be integers. An empty table gives an empty result.
+    characters, so that ``kept`` is text. Null and short texts lose nothing; null texts have 0 bytes and keep none. Rows with a
+    null id are left whole and remove nothing. Rows that repeat an id count as documents of their own, in the order of their
+    texts; of equal rows the first stays whole. Ids have to be integers. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != text_col]
+    carried = [f"x{k}" for k in range(len(others))]
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(others, carried, strict=True)))
     known = base.where(F.col("id").isNotNull())
-    repeated = known.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
+    if known.groupBy("id").count().where("count > 1").limit(1).count():
         ordered = known.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
-        texts = stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "ordered-texts")
+        texts = stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "text", *carried), "ordered-texts")
     else:
-        texts = known.select(F.col("id").alias("doc"), "id", "text")
+        texts = known.select(F.col("id").alias("doc"), "text", *carried)
     cuts = texts.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     levels = SuffixLevels(length)
@@ -235,9 +236,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, starts, ends, kept = [], [], [], []
-            for text, lo, hi in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                raw = np.frombuffer(data, np.uint8)
+            for text, lo, hi in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 a, b = _union(lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid else (np.zeros(0, np.int64),) * 2
                 if whole_characters and len(a):
                     first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start
@@ -250,13 +250,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
                 starts.append(a)
                 ends.append(b)
                 kept.append(raw[np.cumsum(step[:-1]) == 0].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), list_array(starts, pa.int64()), list_array(ends, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "starts", "ends", "kept"])
-
-    empty = F.lit(None).cast("array<bigint>")
-    whole = base.where(F.col("id").isNull()).select("id", "text", empty.alias("lo"), empty.alias("hi"))
-    joined = texts.select("doc", "text").join(runs, "doc", "left").select(F.col("doc").alias("id"), "text", "lo", "hi")
-    out = joined.union(whole).mapInArrow(apply, "id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
-    if repeated:  # back from places in the order to ids
-        out = out.join(texts.select(F.col("doc").alias("id"), F.col("id").alias("own")), "id", "left").select(F.col("own").alias("id"), "n_bytes", "starts", "ends", "kept")
+            made = [pa.array(size, pa.int64()), list_array(starts, pa.int64()), list_array(ends, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(3 + k) for k in range(len(carried)))], names=["n_bytes", "starts", "ends", "kept", *carried])
+
+    none = F.lit(None).cast("array<bigint>")
+    whole = base.where(F.col("id").isNull()).select("text", none.alias("lo"), none.alias("hi"), *carried)
+    joined = texts.join(runs, "doc", "left").select("text", "lo", "hi", *carried).union(whole)
+    kinds = "".join(f", {x} {base.schema[x].dataType.simpleString()}" for x in carried)
+    out = joined.mapInArrow(apply, f"n_bytes long, starts array<long>, ends array<long>, kept binary{kinds}")
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans")
-    return out.select(F.col("id").alias(id_col), "n_bytes", spans, "kept")
+    return out.select(*(F.col(x).alias(c) for c, x in zip(others, carried, strict=True)), "n_bytes", spans, "kept")
