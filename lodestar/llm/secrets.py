@@ -24,6 +24,8 @@ EDGE = len(ALPHABET)
 STATES = EDGE + 1
 #: A run is a secret if its log-likelihood ratio, and the ratio per character, reach these.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 12.0, 0.5
+#: Counts that single characters weigh in each row of a model.
+PRIOR = 20
 _CODE = np.full(256, EDGE, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(EDGE)
 
@@ -58,7 +60,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
 
     Samples are labelled by the fixed patterns: values they find are random strings, other runs of 8 characters or more are
     ordinary identifiers. Tasks count pairs of characters, Spark adds them up; at most 2 x 68 x 68 rows come to the driver.
-    One is added to each count, so without any sample the ratio is 0 everywhere.
+    Without any sample the ratio is 0 everywhere.
     """
     small_batches(docs.sparkSession)
 
@@ -77,13 +79,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
         yield pd.DataFrame({"kind": kind, "pair": pair, "n": total[kind, pair]})
 
     counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(count, "kind long, pair long, n long")
-    grid = np.ones((2, STATES * STATES))
+    grid = np.zeros((2, STATES * STATES))
     for kind, pair, n in counted.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         grid[kind, pair] += n
-    grid = grid.reshape(2, STATES, STATES)
-    grid[:, EDGE, EDGE] = 1
-    grid = np.log(grid / grid.sum(axis=2, keepdims=True))
-    return grid[1] - grid[0]
+    return ratios(grid.reshape(2, STATES, STATES))
+
+
+def ratios(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios from counts [ordinary or random, before, after]: a row leans on single characters by PRIOR counts."""
+    counts[:, EDGE, EDGE] = 0
+    single = counts.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    p = np.log((counts + PRIOR * single) / (counts.sum(axis=2, keepdims=True) + PRIOR))
+    return p[1] - p[0]
 
 
 def ratio(run: str, model: np.ndarray) -> float:

@@ -1,0 +1,215 @@
+"""Operators on single texts: quality rules, secrets, BPE, language, packing."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import bpe, language, packing, quality, secrets
+from lodestar.llm.common import tokenizer_file
+
+SCHEMA = "doc_id long, text string, id string, kept string, spans string, lang string"
+LONG = " ".join(f"word{k} goes{k} on here{k}." for k in range(20000))
+
+
+def table(spark, texts, lang="en"):
+    """Texts with extra columns whose names operators use inside."""
+    return spark.createDataFrame([(k if k != 3 else None, t, "x", None, "y", lang) for k, t in enumerate(texts)], SCHEMA)
+
+
+EDGE = [None, "", " \n\t ", "null id", "a", "\x1c\x85 ", "é ß 中文 😀 ́", "same", "same", LONG]
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# quality
+
+
+def test_repeated_words_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        words = [rng.choice("abc") for _ in range(rng.randrange(12))]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        covered = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)}
+        assert quality.repeated_words(words) == len(covered)
+
+
+def test_quality_rules(spark):
+    good = "\n".join(f"This is sentence number {k} of a sound text with its own words w{k} and v{k}." for k in range(8))
+    menu = "Home | About | Contact | Login | Help and more words here\n" * 3 + "All rights reserved here for everyone in this place.\n" * 9
+    rows = quality.clean_lines(table(spark, [*EDGE, good, good + "\nHome\n| a | b | c | d", menu])).collect()
+    got = {i: r for i, r in enumerate(rows)}
+    assert all(got[k].base_failed and not got[k].kept and got[k].n_words == 0 for k in (0, 1, 2))
+    assert got[3].doc_id is None and got[7][1:] == got[8][1:]
+    assert got[9].n_words == 80000 and not got[9].base_failed and not got[9].kept
+    assert got[10].kept and got[10].clean_text == good and got[10].lost_chars == 0
+    assert got[11].kept and got[11].clean_text == good
+    assert not got[12].kept and got[12].n_dup_lines == 10
+    kept = quality.keep_good(table(spark, [*EDGE, good + "\nHome"])).collect()
+    assert [r.text for r in kept] == [good] and kept[0].id == "x" and kept[0].spans == "y"
+    assert quality.clean_lines(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).count() == 0
+
+
+# secrets
+
+
+def random_key(rng, n=28):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    ordinary = "internationalisation straightforwardness notwithstanding configuration_value getElementById MAX_BUFFER_SIZE counterparts".split()
+    teach = [f"the password={random_key(rng)} and {' '.join(rng.choices(ordinary, k=6))} {k}" for k in range(300)]
+    model = secrets.train(table(spark, teach))
+    loose = random_key(rng)
+    texts = [*EDGE, f"here {loose} is loose", 'Api-key "token": "abc" TOKEN : "abcdefgh1"', "AKIA1234567890AB AKIA123", "f" * 31 + " " + "f" * 32, "counterintuitiveness", *teach]
+    rows = secrets.scan(table(spark, texts), model).collect()
+    spans = [[tuple(s)[:3] for s in r.spans] for r in rows]
+    assert spans[:9] == [[]] * 9
+    assert spans[10] == [("markov", 5, 5 + len(loose))]
+    assert spans[11] == [("assign", 23, 41)]
+    assert spans[12] == [("access", 0, 16)] and spans[13] == [("hex", 32, 64)] and spans[14] == []
+    assert all(s[0][0] == "assign" and len(s) == 1 for s in spans[15:])
+    masked = [r.text for r in secrets.mask(table(spark, texts), model).collect()]
+    assert masked[0] is None and masked[:9] == texts[:9] and masked[10] == "here [SECRET] is loose" and masked[12] == "[SECRET] AKIA123"
+    assert secrets.scan(empty(spark)).count() == 0 and secrets.mask(empty(spark)).count() == 0
+
+
+def test_base_spans_against_plain_search():
+    patterns = (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+    rng = random.Random(8)
+    bits = ["token", "TOKEN=", "secret", ":", "=", '"', " ", "abcdef012345", "AKIA", "ABCDEFGH1234", "x", "api_key", "é", "0123456789abcdef"]
+    for _ in range(500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        want = [(m.start(), 0, m.end()) for m in re.finditer(patterns[0], text, re.I | re.A) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(patterns[1], text) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(patterns[2], text) if len(m[0]) >= 32]
+        assert [s[:3] for s in secrets.base_spans(text)] == sorted(want)
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def merges():
+    return bpe.load(tokenizer_file("byte_bpe_50k.json"))
+
+
+PIECES = ["a", "the", " ", "  ", "\n", "'s", "''", "é", "中", "😀", "́", "\xa0", "\x85", "1", "²", "_", "-", "<|endoftext|>", "<|", "\x1c", "\x00", "a" * 60, "ing", " un", "Σ", " "]
+
+
+def test_bpe_equals_the_library(merges):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(12))) for _ in range(1500)] + ["a" * 3000, "=-" * 2000, "中" * 1500]
+    for text in texts:
+        ids = bpe.encode_text(merges, text)
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert bpe.decode_ids(merges, ids, 3) == text
+    for _ in range(500):
+        ids = [rng.randrange(50257) for _ in range(rng.randrange(8))]
+        assert bpe.decode_ids(merges, ids, 2) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_transducer_emits_early_and_keeps_little(merges):
+    data = ("abcd" * 5000).encode()
+    t, out, most = bpe.Transducer(merges), [], 0
+    for k in range(0, len(data), 64):
+        out += t.feed(data[k : k + 64])
+        most = max(most, len(t.data))
+    assert len(out) > 0 and most < 8 * merges.lookahead
+    assert out + t.finish() == bpe.encode_pre_token(merges, data)
+
+
+def test_bpe_frames(spark):
+    path = tokenizer_file("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(table(spark, EDGE), path), path).collect()
+    assert [r.text for r in both] == [t or "" for t in EDGE] and both[0].ids == [] and both[3].doc_id is None
+    assert bpe.decode(bpe.encode(empty(spark), path), path).count() == 0
+
+
+# language
+
+
+def test_marginals_against_enumeration():
+    rng = np.random.default_rng(1)
+    e, move = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
+    lengths = np.array([4, 3])
+    got = language.marginals(e, move, lengths)
+    at = 0
+    for n in lengths:
+        total = np.zeros((n, 3))
+        for path in np.ndindex(*(3,) * n):
+            w = np.exp(sum(e[at + t, s] for t, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:], strict=False)))
+            for t, s in enumerate(path):
+                total[t, s] += w
+        np.testing.assert_allclose(got[at : at + n], total / total.sum(axis=1, keepdims=True), rtol=1e-4)
+        p, pairs = language.expected(e[None, at : at + n], move)
+        np.testing.assert_allclose(p[0], got[at : at + n], rtol=1e-4)
+        assert abs(pairs.sum() - (n - 1)) < 1e-9
+        at += n
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs, language.in_training())
+    found = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(language.doc_fold() == 2)
+    right, n = found.agg(F.sum((F.col("lang_pred") == F.col("lang")).cast("int")), F.count("lang")).first()
+    assert right >= 0.97 * n and n > 100
+    rows = language.predict(table(spark, EDGE), model).collect()
+    assert [r.lang_pred for r in rows[:3]] == ["und"] * 3 and rows[0].score == 0 and rows[5].lang_pred == "und"
+    assert rows[7][1:] == rows[8][1:] and rows[9].lang_pred in model.languages
+    mixed = spark.createDataFrame([(1, "the thing with that and this for the " + "que les des pour avec dans une " * 2)], "doc_id long, text string")
+    langs = [w.lang for w in language.label_words(mixed, model).first().words]
+    assert langs[0] == "en" and langs[-1] == "fr"
+    none = language.train(empty(spark))
+    assert [r.lang_pred for r in language.predict(table(spark, EDGE), none).collect()] == ["und"] * len(EDGE)
+    assert language.predict(empty(spark), model).count() == 0
+
+
+# packing
+
+
+def test_best_fit_against_plain_search():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        lengths = np.sort(rng.integers(1, 65, 60))[::-1]
+        sequence, offset = packing.best_fit(lengths, 64)
+        free: list[int] = []
+        for k, need in enumerate(lengths):
+            fits = [(room, n) for n, room in enumerate(free) if room >= need]
+            room = min(fits)[0] if fits else 64
+            assert 64 - offset[k] == room
+            if not fits:
+                free.append(64)
+            free[sequence[k]] -= need
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    texts = [*EDGE, *("".join(rng.choice(PIECES) for _ in range(40)) for _ in range(100))]
+    rows = packing.pack_documents(table(spark, texts), path, 2, window=64, keep_ids=True).collect()
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    by_doc = {k: sorted((r for r in rows if r.doc_id == (k if k != 3 else None)), key=lambda r: r.start) for k in range(len(texts))}
+    for k, text in enumerate(texts):
+        assert [i for r in by_doc[k] for i in r.ids] == ids(text) and by_doc[k][0].doc_tokens == len(ids(text))
+        assert all(r.ids_crc32 == zlib.crc32(np.asarray(r.ids, "<u4").tobytes()) for r in by_doc[k])
+    total = 0
+    for s in {r.sequence_id for r in rows}:
+        own = sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 64
+        total += 64
+    assert sum(r.length for r in rows) >= 0.97 * total
+    assert packing.pack_documents(empty(spark), path, 2).count() == 0
