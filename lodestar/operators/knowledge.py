@@ -14,7 +14,7 @@ def load_dimension(spark, path: str, columns: str) -> DataFrame:
 def concept_matches(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """(question_id, concept_id, alias): concepts (concept_id, alias) of which a question (question_id, question) has an alias of one word, the
     longest alias first. Words are joined with aliases by equality."""
-    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9]+"))).alias("alias"))
+    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("alias"))
     hits = words.join(concepts.select("concept_id", F.lower("alias").alias("alias")).distinct(), "alias")
     longest = F.struct((-F.length("alias")).alias("n"), "alias")
     return hits.groupBy("question_id", "concept_id").agg(F.min(longest)["alias"].alias("alias"))
@@ -22,7 +22,7 @@ def concept_matches(questions: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def synonym_terms(questions: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(question_id, terms): terms of the groups (group_id, term) that a question touches and doesn't hold itself."""
-    words = questions.select("question_id", F.lower("question").alias("q"), F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9]+"))).alias("term"))
+    words = questions.select("question_id", F.lower("question").alias("q"), F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("term"))
     lower = synonyms.select("group_id", F.lower("term").alias("term")).where(F.length("term") >= 3)
     touched = words.join(lower, "term").select("question_id", "q", "group_id").distinct()
     added = touched.join(lower, "group_id").where(~F.contains("q", "term"))

@@ -1,7 +1,528 @@
-"""Registered queries of the retrieval engine and their DuckDB twins."""
+"""Registered queries of the retrieval engine, each with its DuckDB twin.
+
+Tables stand in for the engine's own: documents are chunks (source as section, lang as section type), benchmark texts are
+questions, embeddings are the vectors of documents of the same id, conversations are paged documents and chat history, and the
+dimension tables become agreements with articles, subsections and definitions. Each query runs over whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestar.functions import text as T
+from lodestar.operators import citations, dialogue, fusion, knowledge, lexical, segments, terms, vectors
+from lodestar.sources import store
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K = 10
+
+
+def query(sql: str | None = None):
+    """Register a function of (read,) under its own name; ``read(table)`` gives a table."""
+
+    def register(make):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return make(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[make.__name__] = run
+        if sql:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return register
+
+
+# lexical search
+
+TOK = r"list_filter(list_transform(regexp_split_to_array(lower({0}), '\s+'), lambda w: trim(w, '.,;:!?()[]{{}}\"''')), lambda w: w <> '')"
+BM25_SQL = f"""
+docs AS (SELECT doc_id, lang, source, {TOK.format("text")} AS ts FROM documents),
+stats AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM docs),
+tok AS (SELECT doc_id, unnest(ts) AS token FROM docs),
+post AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL),
+asked AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS token FROM benchmark) GROUP BY ALL),
+idf AS (SELECT token, ln((n_docs + 1) / count(*)) AS idf FROM post, stats GROUP BY token, n_docs),
+weighed AS (SELECT query_id, token, qtf * idf AS w FROM asked JOIN idf USING (token)),
+flo AS (SELECT query_id, sum(w) AS f FROM weighed GROUP BY query_id),
+part AS (
+    SELECT query_id, post.doc_id, sum(w * tf * 2.2 / (1.2 * (0.5 + 0.5 * len(ts) / avgdl) + tf)) AS g
+    FROM post JOIN weighed USING (token) JOIN docs ON docs.doc_id = post.doc_id, stats GROUP BY ALL),
+scored AS (SELECT query_id, doc_id, round(f + g, 6) AS score FROM part JOIN flo USING (query_id))"""
+TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
+
+
+def questions(read) -> DataFrame:
+    return read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, {TOP} AS rank FROM scored QUALIFY rank <= 10")
+def bm25_topk(read):
+    return lexical.top_k(lexical.scores(questions(read), read("documents")), K)
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, {TOP} AS rank FROM scored JOIN documents USING (doc_id) WHERE lang = 'en' AND source <> 'src0' QUALIFY rank <= 10")
+def bm25_filtered_after_scoring(read):
+    docs = read("documents")
+    allowed = docs.where((F.col("lang") == "en") & ~F.col("source").isin("src0")).select("doc_id")
+    return lexical.top_k(lexical.scores(questions(read), docs).join(allowed, "doc_id", "left_semi"), K)
+
+
+@query(f"SELECT count(*) AS n_docs, round(avg(len({TOK.format('text')})), 6) AS avgdl FROM documents")
+def corpus_stats(read):
+    return lexical.corpus_stats(read("documents")).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY token")
+def token_df(read):
+    return lexical.postings(read("documents")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_tokens FROM documents")
+def token_count(read):
+    return read("documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("n_tokens"))
+
+
+@query(r"""WITH c AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents)
+SELECT source, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) // count(*) AS mean, count(*) FILTER (n > 1200) AS oversized FROM c GROUP BY source""")
+def chunk_token_stats(read):
+    counted = read("documents").select("source", T.word_count(F.col("text")).cast("long").alias("n"))
+    return counted.groupBy("source").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.expr("sum(n) div count(1)").alias("mean"), F.count_if(F.col("n") > 1200).alias("oversized"))
+
+
+# vectors
+
+VEC_SQL = """
+v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (
+    SELECT q.vec_id AS query_id, d.vec_id, round((1 + list_inner_product(d.e, q.e) / sqrt(list_inner_product(d.e, d.e) * list_inner_product(q.e, q.e))) / 2, 5) AS score
+    FROM v q JOIN v d ON {on} WHERE q.vec_id % 20 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near)"""
+
+
+def vector_queries(read, *more: str) -> DataFrame:
+    """The stated set of queries: vectors whose id is divisible by 20."""
+    return read("embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), *more)
+
+
+@query(f"WITH {VEC_SQL.format(on='true')} SELECT query_id, vec_id, score, rank FROM top WHERE rank <= 10")
+def cosine_topk(read):
+    return vectors.nearest(vector_queries(read), read("embeddings"), K)
+
+
+@query(f"WITH {VEC_SQL.format(on='q.label = d.label')} SELECT query_id, vec_id, score, rank FROM top WHERE rank <= 10")
+def cosine_topk_in_label(read):
+    return vectors.nearest(vector_queries(read, "label"), read("embeddings"), K)
+
+
+# fusion
+
+HYBRID_SQL = f"""{BM25_SQL},
+lex AS (SELECT query_id, doc_id, {TOP} AS rank FROM scored QUALIFY rank <= 10),
+{VEC_SQL.format(on="true")},
+vec AS (SELECT query_id // 20 AS query_id, vec_id AS doc_id, rank FROM top WHERE rank <= 10 AND query_id // 20 IN (SELECT item_id FROM benchmark)),
+fused AS (
+    SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (50 + rank)), 8) AS score, CASE WHEN count(*) > 1 THEN 'both' ELSE min(source) END AS source
+    FROM (SELECT *, 'vector' AS source FROM vec UNION ALL SELECT *, 'bm25' FROM lex) GROUP BY query_id, doc_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM fused QUALIFY pos <= 10)"""
+
+
+def hybrid_hits(read) -> DataFrame:
+    """Question n goes with the vector of id 20 n, where there is one."""
+    near = vectors.nearest(vector_queries(read), read("embeddings"), K).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
+    near = near.join(questions(read).select("query_id"), "query_id", "left_semi")
+    return fusion.reciprocal_ranks(near, lexical.top_k(lexical.scores(questions(read), read("documents")), K), K)
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, doc_id, score, source, pos FROM hits")
+def hybrid_search(read):
+    return hybrid_hits(read)
+
+
+@query(f"""WITH {HYBRID_SQL}, typed AS (SELECT query_id, pos, doc_id, score, CASE WHEN lang = 'fr' THEN 'definition' ELSE 'text' END AS chunk_type FROM hits JOIN documents USING (doc_id)),
+m AS (SELECT *, score >= 0.025 OR chunk_type = 'definition' AS fine, count(*) FILTER (score >= 0.025 OR chunk_type = 'definition') OVER w AS kept, count(*) OVER w AS n FROM typed WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, pos, doc_id, score, chunk_type FROM m WHERE CASE WHEN n <= 3 THEN true WHEN kept < 3 THEN pos <= 3 ELSE fine END""")
+def score_floor_filter(read):
+    kinds = read("documents").select("doc_id", F.when(F.col("lang") == "fr", "definition").otherwise("text").alias("chunk_type"))
+    return fusion.score_floor(hybrid_hits(read).join(kinds, "doc_id").select("query_id", "pos", "doc_id", "score", "chunk_type"), 0.025)
+
+
+@query(f"""WITH {VEC_SQL.format(on="true")}, lists AS (SELECT e.label AS group_id, dense_rank() OVER (PARTITION BY e.label ORDER BY query_id) AS query_idx, rank, top.vec_id AS doc_id FROM top JOIN embeddings e ON e.vec_id = query_id WHERE rank <= 10),
+turns AS (SELECT group_id, doc_id, min((rank, query_idx)) AS t FROM lists GROUP BY ALL)
+SELECT group_id, doc_id, row_number() OVER (PARTITION BY group_id ORDER BY t) AS pos FROM turns QUALIFY pos <= 20""")
+def round_robin_merge(read):
+    found = vectors.nearest(vector_queries(read), read("embeddings"), K)
+    labels = read("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("group_id"))
+    lists = found.join(labels, "query_id").withColumn("query_idx", F.dense_rank().over(Window.partitionBy("group_id").orderBy("query_id")))
+    return fusion.round_robin(lists.withColumnRenamed("vec_id", "doc_id"), 20)
+
+
+@query(f"WITH {HYBRID_SQL}, o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM hits) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 2 OR r % 2 = 1 THEN r ELSE 2 * n + 2 - r END) AS place FROM o")
+def lost_in_middle(read):
+    return fusion.lost_in_the_middle(hybrid_hits(read)).select("query_id", "doc_id", "place")
+
+
+GATE_WORDS = ", ".join(f"'{w}'" for w in T.GATE_STOP_WORDS)
+
+
+@query(f"""WITH {HYBRID_SQL}, h AS (SELECT query_id, pos, score * 20 AS score, text FROM hits JOIN documents USING (doc_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS best FROM h),
+t AS (SELECT query_id, max(score) AS top, avg(score) FILTER (best <= 3) AS mean3, lower(string_agg(text, ' ' ORDER BY pos) FILTER (pos <= 5)) AS texts FROM b GROUP BY query_id),
+q AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}'), lambda w: w NOT IN ({GATE_WORDS})) AS terms FROM benchmark),
+s AS (SELECT query_id, top, mean3, CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda w: contains(coalesce(texts, ''), w)))::DOUBLE / len(terms) END AS share FROM q LEFT JOIN t USING (query_id))
+SELECT query_id, round(top, 5) AS top, round(mean3, 5) AS mean3, round(share, 5) AS overlap, CASE WHEN top >= 0.35 AND mean3 >= 0.25 AND share >= 0.3 THEN 'sufficient' ELSE 'insufficient' END AS decision FROM s""")
+def quality_gate(read):
+    hits = hybrid_hits(read).join(read("documents").select("doc_id", "text"), "doc_id").withColumn("score", F.col("score") * 20)
+    return fusion.quality_gate(hits, questions(read))
+
+
+@query(f"""WITH {HYBRID_SQL}, u AS (SELECT query_id, doc_id, 0 AS turn, pos FROM hits UNION ALL SELECT query_id, doc_id, 1, rank FROM lex), f AS (SELECT query_id, doc_id, min((turn, pos)) AS a FROM u GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY a) AS pos FROM f QUALIFY pos <= 15""")
+def merge_results(read):
+    more = lexical.top_k(lexical.scores(questions(read), read("documents")), K).withColumnRenamed("rank", "pos")
+    return fusion.merge_results(hybrid_hits(read), more, 15)
+
+
+@query(f"""WITH {HYBRID_SQL}, o AS (SELECT query_id, doc_id, text, pos FROM hits JOIN documents USING (doc_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS i FROM o)
+SELECT query_id, md5(string_agg('[Source ' || i || ': ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS context_md5 FROM n GROUP BY query_id""")
+def numbered_context(read):
+    hits = hybrid_hits(read).join(read("documents").select("doc_id", "text"), "doc_id").withColumnRenamed("pos", "place")
+    return dialogue.numbered_context(hits).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, median(score) * 0.95 AS promoted FROM hits GROUP BY query_id")
+def promotion_score(read):
+    return hybrid_hits(read).groupBy("query_id").agg((F.median("score") * 0.95).alias("promoted"))
+
+
+# texts
+
+digest = lambda c: F.md5(c.cast("binary"))
+WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), " + WS + ")"
+
+
+@query(f"SELECT page_id, md5({NORM_SQL.format('html')}) AS clean_md5 FROM pages")
+def normalize_whitespace(read):
+    return read("pages").select("page_id", digest(T.normalize_whitespace(F.col("html"))).alias("clean_md5"))
+
+
+ASCII_SQL = "regexp_replace(translate(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '‘', ''''), '’', ''''), '“', '\"'), '”', '\"'), '–', '-'), '—', '--'), '•', '*'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '" + T.ACCENTED + "', '" + T.PLAIN + r"'), '[^\x00-\x7F]', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({NORM_SQL.format(ASCII_SQL.format('text'))}) AS clean_md5 FROM documents")
+def clean_extracted_text(read):
+    return read("documents").select("doc_id", digest(T.clean_extracted_text(F.col("text"))).alias("clean_md5"))
+
+
+MARKED = "'# ' || replace(text, '. ', '.' || chr(10) || '## ') || ' **' || source || '** `' || lang || '`'"
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({MARKED}, '\*\*(.+?)\*\*', '\1', 'g'), '(?m)^#{{1,4}}\s+(.+)$', '\1', 'g'), '`([^`]+)`', '\1', 'g')) AS plain_md5 FROM documents")
+def strip_markdown(read):
+    marked = F.expr("concat('# ', replace(text, '. ', '.\\n## '), ' **', source, '** `', lang, '`')")
+    return read("documents").select("doc_id", digest(T.strip_markdown(marked)).alias("plain_md5"))
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^[ \t]*-?[ \t]*[0-9]{{1,3}}[ \t]*-?[ \t]*$', '', 'g'), '(?m)^[A-Z\s,&]{{5,40}}$\n', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS clean_md5 FROM (SELECT doc_id, text || chr(10) || '- 47 -' || chr(10) || 'end' AS t FROM documents)")
+def remove_page_artifacts(read):
+    return read("documents").select("doc_id", digest(T.remove_page_artifacts(F.concat("text", F.lit("\n- 47 -\nend")))).alias("clean_md5"))
+
+
+@query("SELECT doc_id, md5('[Article ' || n_chars || ': ' || source || ']' || chr(10) || '[Section ' || doc_id || ': ' || source || ']' || chr(10) || '[Type: ' || replace(lang || '_text', '_', ' ') || ']' || chr(10) || text) AS search_md5 FROM documents")
+def search_text(read):
+    made = T.search_text(F.col("n_chars"), F.col("source"), F.col("doc_id"), F.col("source"), F.concat("lang", F.lit("_text")), F.col("text"))
+    return read("documents").select("doc_id", digest(made).alias("search_md5"))
+
+
+@query(f"SELECT doc_id, trim(replace(substr(text, 1, 200), chr(10), ' '), {WS}) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS snippet FROM documents")
+def snippet(read):
+    return read("documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 800) AS head FROM documents), p AS (SELECT *, length(head) - strpos(reverse(head), '.') AS period FROM h)
+SELECT doc_id, md5(CASE WHEN length(text) <= 800 THEN text WHEN contains(head, '.') AND period > 400 THEN substr(text, 1, period + 1) ELSE rtrim(head) || '...' END) AS cut_md5 FROM p""")
+def truncate_definition(read):
+    return read("documents").select("doc_id", digest(T.truncate_definition(F.col("text"))).alias("cut_md5"))
+
+
+@query("SELECT doc_id, substr(sha256(doc_id || chr(1) || source || chr(1) || lang), 1, 12) AS chunk_id, substr(sha256(text), 1, 12) AS content_id FROM documents")
+def chunk_ids(read):
+    return read("documents").select("doc_id", T.chunk_id(F.col("doc_id"), F.col("source"), F.col("lang")).alias("chunk_id"), store.content_id(F.col("text")).alias("content_id"))
+
+
+@query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
+def url_slugs(read):
+    return read("pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+LINES_SQL = rf"""SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN b = '' THEN 'blank'
+WHEN regexp_matches(b, '^\|?[ \t:]*-{{2,}}[ \t:]*(\|[ \t:]*-{{2,}}[ \t:]*)+\|?$') THEN 'separator'
+WHEN regexp_matches(b, '^\|[^|]+\|.+|^[^|\n]+\|[^|\n]+\||^[^|\n]+[ \t]\|[ \t][^|\n]+') THEN 'table' WHEN regexp_matches(b, '^[-*][ \t]+.+') THEN 'bullet'
+WHEN regexp_matches(b, '^[0-9]+\.[ \t]+.+') THEN 'numbered' WHEN regexp_matches(b, '^([0-9]+\.[ \t]+)?[A-Z][A-Z0-9 /&,\-()]+([ \t]*\[[0-9, \t]+\])?$') THEN 'heading'
+WHEN regexp_matches(b, '^[A-Z][A-Z0-9 /&,\-().:]+:[ \t]*.*') THEN 'field' ELSE 'paragraph' END AS kind
+FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), {WS}) AS b FROM documents)) GROUP BY ALL"""
+
+
+@query(LINES_SQL)
+def line_kinds(read):
+    lines = read("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id", T.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH d AS (SELECT DISTINCT c_nationkey, CAST(c_custkey AS INT) AS p FROM customer), g AS (SELECT c_nationkey, p, p - row_number() OVER (PARTITION BY c_nationkey ORDER BY p) AS k FROM d),
+r AS (SELECT c_nationkey, k, min(p) AS a, max(p) AS b FROM g GROUP BY ALL) SELECT c_nationkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM r GROUP BY c_nationkey""")
+def page_ranges(read):
+    return read("customer").groupBy("c_nationkey").agg(T.format_page_numbers(F.collect_set(F.col("c_custkey").cast("int"))).alias("pages"))
+
+
+@query("SELECT c_nationkey, CAST(count(DISTINCT c_custkey) AS BIGINT) AS n, min(CAST(c_custkey AS INT)) AS first, max(CAST(c_custkey AS INT)) AS last FROM customer GROUP BY c_nationkey")
+def parsed_page_ranges(read):
+    """A round trip: ranges are written and read again."""
+    pages = T.parse_page_numbers(T.format_page_numbers(F.collect_set(F.col("c_custkey").cast("int"))))
+    return read("customer").groupBy("c_nationkey").agg(pages.alias("p")).select("c_nationkey", F.size("p").cast("long").alias("n"), F.array_min("p").alias("first"), F.array_max("p").alias("last"))
+
+
+# answers built from orders and their items
+
+ANSWER_SQL = """answers AS (SELECT o_orderkey AS id, string_agg('See [' || (l_partkey % 7) || '] and Section 7.0' || l_linenumber || ' (pp. ' || l_linenumber || '-' || (l_linenumber + 1) || ')', '. ' ORDER BY l_linenumber, 'See [' || (l_partkey % 7) || '] and Section 7.0' || l_linenumber)
+    || chr(10) || 'Confidence: ' || CASE WHEN any_value(o_orderpriority) LIKE '1%' THEN 'high' WHEN any_value(o_orderpriority) LIKE '2%' THEN 'Medium' WHEN any_value(o_orderpriority) LIKE '3%' THEN 'LOW' ELSE 'none' END AS text
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
+
+
+def answers(read) -> DataFrame:
+    part = F.format_string("See [%d] and Section 7.0%d (pp. %d-%d)", F.col("l_partkey") % 7, "l_linenumber", "l_linenumber", F.col("l_linenumber") + 1)
+    items = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    grouped = items.groupBy(F.col("o_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", part.alias("t")))).alias("x"), F.first("o_orderpriority").alias("p"))
+    said = F.when(F.col("p").startswith("1"), "high").when(F.col("p").startswith("2"), "Medium").when(F.col("p").startswith("3"), "LOW").otherwise("none")
+    return grouped.select("id", F.concat(F.array_join(F.transform("x", lambda y: y["t"]), ". "), F.lit("\nConfidence: "), said).alias("text"))
+
+
+@query(f"WITH {ANSWER_SQL} SELECT id, coalesce(nullif(upper(regexp_extract(text, '(?i)Confidence: (HIGH|MEDIUM|LOW)', 1)), ''), 'LOW') AS confidence FROM answers")
+def answer_confidence(read):
+    return answers(read).select("id", T.confidence(F.col("text")).alias("confidence"))
+
+
+@query(f"""WITH {ANSWER_SQL}, m AS (SELECT id, unnest(n) AS number, generate_subscripts(n, 1) AS pos FROM (SELECT id, regexp_extract_all(text, '\\[(\\d+)\\]', 1) AS n FROM answers)),
+f AS (SELECT id, CAST(number AS INT) AS number, min(pos) AS pos FROM m GROUP BY ALL)
+SELECT id, number, p_name AS source, row_number() OVER (PARTITION BY id ORDER BY pos) AS new_number FROM f JOIN part ON p_partkey = number""")
+def citation_renumber(read):
+    given = answers(read)
+    named = read("part").where("p_partkey < 7").select(F.col("p_partkey").cast("int").alias("number"), F.col("p_name").alias("source"))
+    sources = citations.markers(given, "id").join(F.broadcast(named), "number").select("id", "number", "source")
+    return citations.renumber(given, sources, "id")
+
+
+@query("SELECT l_orderkey AS id, '7.0' || l_linenumber AS section_id, l_linenumber || '-' || (l_linenumber + 1) AS pages FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL")
+def cited_sources(read):
+    return citations.cited_sources(answers(read), "id")
+
+
+# conversations
+
+
+@query("SELECT conv_id, turn, coalesce(CAST(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS \"offset\" FROM conversations")
+def page_offsets(read):
+    return segments.page_offsets(read("conversations"), "conv_id", "turn").select("conv_id", "turn", "offset")
+
+
+@query("""WITH o AS (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM conversations),
+p AS (SELECT conv_id, turn, CAST(off + n // 2 + 40 AS BIGINT) AS point FROM o) SELECT p.conv_id, p.turn, p.point, o.turn AS page FROM p ASOF JOIN o ON p.conv_id = o.conv_id AND p.point >= o.off""")
+def offset_to_page(read):
+    talk = read("conversations")
+    points = segments.page_offsets(talk, "conv_id", "turn").select("conv_id", "turn", (F.col("offset") + F.expr("length(text) div 2") + 40).alias("point"))
+    return segments.offset_to_page(points, talk, "conv_id", "turn").select("conv_id", "turn", "point", "page")
+
+
+@query("SELECT conv_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)")
+def full_texts(read):
+    made = segments.full_texts(read("conversations"), "conv_id", "turn")
+    return made.select("conv_id", F.length("text").cast("long").alias("n_chars"), digest(F.col("text")).alias("text_md5"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, count(*) AS pages, count(*) FILTER (length(trim(text, {WS})) < 100) AS ocr_pages FROM conversations GROUP BY conv_id)
+SELECT *, CASE WHEN ocr_pages = 0 THEN 'digital' WHEN ocr_pages = pages THEN 'ocr' ELSE 'mixed' END AS method FROM c""")
+def extraction_method(read):
+    return segments.extraction_method(read("conversations"), "conv_id")
+
+
+PAIRS_SQL = """q AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS qt FROM conversations),
+pairs AS (SELECT a.conv_id, a.qt AS turn, any_value(u.text) AS question, arg_min(a.text, a.turn) AS answer FROM q a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.qt WHERE a.role = 'assistant' AND length(a.text) > 0 GROUP BY a.conv_id, a.qt)"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, question, answer FROM pairs")
+def qa_history_pairs(read):
+    return dialogue.pairs(read("conversations"))
+
+
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM pairs QUALIFY back <= 3)
+SELECT conv_id, md5(string_agg('Q: ' || question || chr(10) || 'A: ' || CASE WHEN length(answer) > 800 THEN substr(answer, 1, 800) || '...' ELSE answer END, chr(10) || chr(10) ORDER BY turn)) AS prompt_md5 FROM r GROUP BY conv_id""")
+def history_prompt(read):
+    return dialogue.history_prompt(dialogue.pairs(read("conversations"))).select("conv_id", digest(F.col("prompt")).alias("prompt_md5"))
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, turn, i, n <= 150 AS taken, CASE WHEN n <= 150 THEN 150 - n ELSE 150 END AS rest FROM t WHERE i = 1 UNION ALL
+SELECT t.conv_id, t.turn, t.i, t.n <= f.rest, CASE WHEN t.n <= f.rest THEN f.rest - t.n ELSE f.rest END FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
+SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (taken) AS turns FROM f GROUP BY conv_id""")
+def sibling_budget(read):
+    items = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("key"), T.word_count(F.col("text")).alias("n"))))
+    taken = read("conversations").groupBy("conv_id").agg(segments.within_budget(items, 150).alias("taken"))
+    return taken.select("conv_id", F.when(F.size("taken") > 0, F.array_join(F.col("taken").cast("array<string>"), ",")).alias("turns"))
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, line, len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) AS n FROM p),
+f AS (SELECT doc_id, i, n AS held, 1 AS chunk FROM c WHERE i = 1 UNION ALL
+SELECT c.doc_id, c.i, CASE WHEN f.held + c.n <= 800 THEN f.held + c.n ELSE c.n END, CASE WHEN f.held + c.n <= 800 THEN f.chunk ELSE f.chunk + 1 END FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i + 1)
+SELECT f.doc_id, chunk - 1 AS chunk_index, CAST(sum(n) AS BIGINT) AS tokens, md5(string_agg(line, chr(10) ORDER BY f.i)) AS chunk_md5 FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i GROUP BY f.doc_id, chunk""")
+def greedy_chunks(read):
+    packed = read("documents").select("doc_id", F.posexplode(segments.greedy_pack(F.split("text", "\n"))).alias("chunk_index", "chunk"))
+    return packed.select("doc_id", "chunk_index", T.word_count(F.col("chunk")).cast("long").alias("tokens"), digest(F.col("chunk")).alias("chunk_md5"))
+
+
+# agreements made of the dimension tables
+
+
+ROMAN = "element_at(array('I', 'II', 'III', 'IV', 'V'), r_regionkey + 1)"
+
+
+def agreements(read) -> DataFrame:
+    """One agreement per market segment: an article per region, a subsection per nation with its customers of that segment."""
+    named = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    held = read("customer").join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+    lines = held.groupBy(F.col("c_mktsegment").alias("doc"), "r_regionkey", "r_name", "n_nationkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    section = F.concat(F.col("r_regionkey") + 1, F.lit("."), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(" Terms of nation "), "n_nationkey", F.lit("\nIt has "), "n", F.lit(" customers"))
+    article = F.concat(F.lit("ARTICLE "), F.expr(ROMAN), F.lit("\n"), F.lit("COVENANTS OF "), F.upper("r_name"), F.lit("\n"), F.array_join(F.transform("s", lambda x: x["t"]), "\n"))
+    arts = lines.groupBy("doc", "r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", section.alias("t")))).alias("s"))
+    arts = arts.select("doc", "r_regionkey", article.alias("t"))
+    head = F.concat(F.lit("This agreement is made between the parties of the segment "), "doc", F.lit(" on this day\n"))
+    return arts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "t"))).alias("a")).select("doc", F.concat(head, F.array_join(F.transform("a", lambda x: x["t"]), "\n")).alias("text"))
+
+
+HELD_SQL = "held AS (SELECT c_mktsegment AS doc, r_regionkey, r_name, n_nationkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)"
+
+
+@query(f"WITH {HELD_SQL} SELECT DISTINCT doc, CAST(r_regionkey + 1 AS INT) AS number, 'COVENANTS OF ' || upper(r_name) AS title, 'other' AS type FROM held")
+def detect_articles(read):
+    return segments.articles(agreements(read), "doc").select("doc", "number", "title", "type")
+
+
+@query(f"WITH {HELD_SQL} SELECT doc, CAST(r_regionkey + 1 AS INT) AS number, (r_regionkey + 1) || '.' || lpad(n_nationkey::VARCHAR, 2, '0') AS section_id, 'Terms of nation ' || n_nationkey AS title, CAST(n AS BIGINT) AS customers FROM held")
+def detect_subsections(read):
+    found = segments.subsections(segments.articles(agreements(read), "doc"), "doc")
+    return found.select("doc", "number", "section_id", "title", F.regexp_extract("body", r"It has (\d+) customers", 1).cast("long").alias("customers"))
+
+
+@query("SELECT DISTINCT c_mktsegment AS doc, 'This agreement is made between the parties of the segment ' || c_mktsegment || ' on this day' AS text FROM customer")
+def preambles(read):
+    texts = agreements(read)
+    return segments.preambles(texts, segments.articles(texts, "doc"), "doc")
+
+
+@query("SELECT p_brand AS doc, p_name AS term, CAST(count(*) AS BIGINT) AS parts FROM part GROUP BY ALL")
+def definition_rows(read):
+    counted = read("part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat(F.lit('"'), "p_name", F.when(F.length("p_name") % 2 == 0, '" means ').otherwise('": '), F.lit("any of "), "n", F.lit(" parts"))
+    texts = counted.groupBy(F.col("p_brand").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_name", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    found = segments.definitions(texts, "doc")
+    return found.select("doc", "term", F.regexp_extract("body", r"any of (\d+) parts", 1).cast("long").alias("parts"))
+
+
+TYPE_CASE = "CASE " + " ".join(f"WHEN contains(lower(t), '{k}') THEN '{v}'" for k, v in T.SECTION_TYPE_KEYWORDS) + " ELSE 'other' END"
+TITLE = "CASE p_size % 8 WHEN 0 THEN 'Conditions Precedent' WHEN 1 THEN 'The Agents' WHEN 2 THEN 'Negative Covenants' WHEN 3 THEN 'Guaranty and ' || p_type WHEN 4 THEN 'EVENTS OF DEFAULT' WHEN 5 THEN 'Definitions' WHEN 6 THEN 'Security ' || p_brand ELSE p_name END"
+
+
+@query(f"SELECT {TYPE_CASE} AS type, count(*) AS n FROM (SELECT {TITLE} AS t FROM part) GROUP BY type")
+def section_type_histogram(read):
+    return read("part").groupBy(T.section_type(F.expr(TITLE)).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# terms
+
+
+@query(r"""WITH w AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '\W+')) AS term FROM part), t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part), n AS (SELECT count(*) AS n FROM part)
+SELECT term, count(*) AS n, round(count(*) / any_value(n.n), 6) AS share, count(*) / any_value(n.n) > 0.25 AS ubiquitous FROM w SEMI JOIN t USING (term), n GROUP BY term""")
+def term_document_frequency(read):
+    parts = read("part")
+    named = parts.select(F.substring_index("p_name", " ", 1).alias("term"))
+    found = terms.found_terms(parts.select("p_partkey", F.col("p_name").alias("text")), named, "p_partkey")
+    return terms.document_frequency(found, parts.agg(F.count(F.lit(1)).alias("n_texts")))
+
+
+@query("WITH t AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part) SELECT a.term, b.term AS sub_term FROM t a JOIN t b ON a.term <> b.term AND contains(a.term, b.term) AND list_contains(string_split(a.term, ' '), split_part(b.term, ' ', 1))")
+def sub_term_pairs(read):
+    p = read("part")
+    all_terms = p.select(F.col("p_name").alias("term")).union(p.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).union(p.select(F.split_part("p_name", F.lit(" "), F.lit(2))))
+    return terms.sub_terms(all_terms)
+
+
+@query("""WITH t AS (SELECT p_name AS term, count(*) AS n, bool_or(p_size = 7) AS in_query, count(*) > 40 AS ubiquitous, bool_or(p_size > 45) AS metadata, bool_or(p_size < 3) AS keyword, CAST(sum(p_size) AS BIGINT) AS length FROM part GROUP BY p_name)
+SELECT term, round(log2(n + 1) + CASE WHEN in_query THEN 100 WHEN ubiquitous THEN -50 ELSE 0 END + CASE WHEN metadata AND NOT ubiquitous THEN 3 ELSE 0 END + CASE WHEN keyword AND NOT in_query THEN 10 ELSE 0 END + CASE WHEN length > 800 AND NOT ubiquitous THEN 15 ELSE 0 END, 6) AS score FROM t""")
+def term_scores(read):
+    n = F.count(F.lit(1))
+    t = read("part").groupBy(F.col("p_name").alias("term")).agg(n.alias("n"), F.bool_or(F.col("p_size") == 7).alias("in_query"), (n > 40).alias("ubiquitous"), F.bool_or(F.col("p_size") > 45).alias("metadata"), F.bool_or(F.col("p_size") < 3).alias("keyword"), F.sum("p_size").alias("length"))
+    return terms.term_scores(t).select("term", "score")
+
+
+@query("SELECT p_name, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM part GROUP BY p_name")
+def dedup_first_and_last(read):
+    p = read("part").select("p_name", "p_partkey")
+    first = terms.first_wins(p, "p_name", "p_partkey").withColumnRenamed("p_partkey", "first_key")
+    return first.join(terms.last_wins(p, "p_name", "p_partkey").withColumnRenamed("p_partkey", "last_key"), "p_name")
+
+
+@query("WITH d AS (SELECT DISTINCT p_name AS term, p_type AS text FROM part), o AS (SELECT term, min(text) AS text FROM d GROUP BY term) SELECT term, text FROM o WHERE contains(lower(term), 'e') OR contains(lower(text), 'e') ORDER BY term LIMIT 20 OFFSET 20")
+def definitions_page(read):
+    """The second page of 20 definitions that hold a letter: a report whose limit is its purpose."""
+    d = read("part").groupBy(F.col("p_name").alias("term")).agg(F.min("p_type").alias("text"))
+    return terms.page_of(terms.filter_definitions(d, " E "), 2)
+
+
+# knowledge
+
+
+@query(r"""WITH q AS (SELECT c_custkey AS question_id, 'Which orders of ' || c_name || ' in ' || n_name || ' went to the ' || c_mktsegment || ' segment' AS q FROM customer JOIN nation ON c_nationkey = n_nationkey),
+w AS (SELECT DISTINCT question_id, unnest(regexp_split_to_array(lower(q), '[^a-z0-9_]+')) AS alias FROM q), a AS (SELECT r_name AS concept_id, lower(n_name) AS alias FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT r_name, 'orders' FROM region WHERE r_regionkey = 0)
+SELECT question_id, concept_id, arg_min(alias, (-length(alias), alias)) AS alias FROM w JOIN a USING (alias) GROUP BY question_id, concept_id""")
+def concept_match(read):
+    named = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    concepts = named.select(F.col("r_name").alias("concept_id"), F.col("n_name").alias("alias")).union(read("region").where("r_regionkey = 0").select("r_name", F.lit("orders")))
+    return knowledge.concept_matches(customer_questions(read), concepts)
+
+
+@query(r"""WITH q AS (SELECT c_custkey AS question_id, lower('Which orders of ' || c_name || ' in ' || n_name || ' went to the ' || c_mktsegment || ' segment') AS q FROM customer JOIN nation ON c_nationkey = n_nationkey),
+w AS (SELECT question_id, q, unnest(regexp_split_to_array(q, '[^a-z0-9_]+')) AS term FROM q), s AS (SELECT n_regionkey AS group_id, lower(n_name) AS term FROM nation WHERE length(n_name) >= 3),
+t AS (SELECT DISTINCT question_id, q, group_id FROM w JOIN s USING (term)), a AS (SELECT DISTINCT question_id, term FROM t JOIN s USING (group_id) WHERE NOT contains(q, term)) SELECT question_id, string_agg(term, ',' ORDER BY term) AS terms FROM a GROUP BY question_id""")
+def synonym_expand(read):
+    return knowledge.synonym_terms(customer_questions(read), read("nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("term")))
+
+
+def customer_questions(read) -> DataFrame:
+    named = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("Which orders of "), "c_name", F.lit(" in "), "n_name", F.lit(" went to the "), "c_mktsegment", F.lit(" segment")).alias("question"))
+
+
+# rollups and reports
+
+
+@query("SELECT source, count(*) AS chunks, count(DISTINCT lang) AS kinds, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT substr(sha256(text), 1, 12)) AS contents FROM documents GROUP BY source")
+def document_stats(read):
+    return read("documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("lang").alias("kinds"), F.sum("n_chars").alias("chars"), F.count_distinct(store.content_id(F.col("text"))).alias("contents"))
+
+
+@query("""SELECT lang, md5('# ' || lang || chr(10) || string_agg('- ' || source || ': ' || n, chr(10) ORDER BY source)) AS report_md5 FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang""")
+def markdown_report(read):
+    counted = read("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(F.lit("- "), x["source"], F.lit(": "), x["n"]))
+    return counted.groupBy("lang").agg(F.array_join(lines, "\n").alias("body")).select("lang", F.md5(F.concat(F.lit("# "), "lang", F.lit("\n"), "body").cast("binary")).alias("report_md5"))
+
+
+@query("SELECT substr(sha256(text), 1, 12) AS document_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_reuse(read):
+    return read("documents").groupBy(store.content_id(F.col("text")).alias("document_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
