@@ -248,7 +248,7 @@ def _predict(model: Model, docs: DataFrame, id_col: str, text_col: str, words: b
         names = np.array([*shared.value.languages, UNDETERMINED], dtype=object)
         for batch in batches:
             found = [WORD.findall(t.lower()) for t in batch["text"]]
-            found = [w if any(map(str.isalpha, w)) else [] for w in found]
+            found = [w if any(c.isalpha() for x in w for c in x) else [] for w in found]
             some = [k for k, w in enumerate(found) if w] if len(names) > 1 else []
             lang, score = np.full(len(found), UNDETERMINED, dtype=object), np.zeros(len(found))
             each: list = [[] for _ in found]
