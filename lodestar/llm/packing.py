@@ -25,7 +25,8 @@ from lodestar.llm.common import list_array, small_batches, stored
 WINDOW = 4096
 #: Tokens of remainders in a group, on average.
 GROUP_TOKENS = 1024 * WINDOW
-MEMO = 1 << 19
+#: Parts of texts whose ids a task remembers; a full memo starts anew.
+MEMO = 1 << 20
 #: White space by Unicode; str.split() would also split at the control characters 1C to 1F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 MARKS = frozenset(".,;:!?")
@@ -82,11 +83,12 @@ class Words:
                 yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
                 continue
             parts = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
-            new = {p for p in parts if p and p not in self.memo}
+            self.memo[""] = b""
+            new = set(parts).difference(self.memo)
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
-                new = {p for p in parts if p}
-            self.memo[""] = b""
+                self.memo[""] = b""
+                new = set(parts).difference(self.memo)
             if new:
                 self.learn(new)
             yield np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), "<u4")
