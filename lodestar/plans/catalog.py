@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.functions import plugins
 from lodestar.functions import text as T
 from lodestar.operators import citations, dialogue, fusion, knowledge, lexical, segments, terms, vectors
 from lodestar.sources import store
@@ -526,3 +527,46 @@ def markdown_report(read):
 @query("SELECT substr(sha256(text), 1, 12) AS document_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_reuse(read):
     return read("documents").groupBy(store.content_id(F.col("text")).alias("document_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+# models' places
+
+
+@query(f"""WITH {BM25_SQL}, over AS (SELECT query_id, doc_id, {TOP} AS r FROM scored QUALIFY r <= 30),
+j AS (SELECT query_id, doc_id, len(list_intersect(list_distinct({TOK.format("b.text")}), {TOK.format("d.text")})) AS n FROM over JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id)),
+s AS (SELECT query_id, doc_id, round(1 / (1 + exp(-n::DOUBLE / 10)), 6) AS score FROM j) SELECT query_id, doc_id, score, {TOP} AS rank FROM s QUALIFY rank <= 10""")
+def rerank_topk(read):
+    """Three times as many hits as asked for, scored again by the default scorer."""
+    hits = lexical.top_k(lexical.scores(questions(read), read("documents")), K * plugins.OVERFETCH).select("query_id", "doc_id")
+    return plugins.rerank(hits.join(questions(read), "query_id").join(read("documents").select("doc_id", "text"), "doc_id"), K)
+
+
+@query(f"""WITH b AS (SELECT item_id, list_transform({TOK.format("text")}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS h FROM benchmark)
+SELECT item_id, array_to_string(list_transform(range(0, 64), lambda k: len(list_filter(h, lambda x: x = k))), ',') AS vector FROM b""")
+def hashed_embeddings(read):
+    vector = F.transform(plugins.hashed_embedding(F.col("text")), lambda x: x.cast("int").cast("string"))
+    return read("benchmark").select("item_id", F.array_join(vector, ",").alias("vector"))
+
+
+TRUTH_SQL = r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-zA-Z]{3,}'), lambda w: w NOT IN (" + GATE_WORDS + ")), ' ') AS terms FROM documents"
+
+
+@query(f"SELECT doc_id, md5(terms) AS terms_md5 FROM ({TRUTH_SQL})")
+def gate_terms(read):
+    return read("documents").select("doc_id", digest(F.array_join(T.gate_terms(F.col("text")), " ")).alias("terms_md5"))
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform(l, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^\\s*\\|.*\\|.*$') <> regexp_matches(l[i - 1], '^\\s*\\|.*\\|.*$')
+AND CASE WHEN regexp_matches(x, '^\\s*\\|.*\\|.*$') THEN trim(l[i - 1], {WS}) <> '' ELSE trim(x, {WS}) <> '' END THEN chr(10) || x ELSE x END), chr(10))) AS tables_md5
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+def normalize_tables(read):
+    return read("documents").select("doc_id", digest(T.normalize_tables(F.col("text"))).alias("tables_md5"))
+
+
+@query("""WITH a AS (SELECT c_mktsegment AS segment, n_regionkey, count(*) AS n, max(c_acctbal) AS top FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)
+SELECT segment, string_agg('| ' || n_regionkey || ' | ' || n || ' |', chr(10) ORDER BY n_regionkey) AS body FROM a GROUP BY segment""")
+def markdown_tables(read):
+    counted = read("customer").join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("c_mktsegment", "n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_regionkey", "n"))), lambda x: F.array(x["n_regionkey"].cast("string"), x["n"].cast("string")))
+    table = store.markdown_table(rows, F.array(F.lit("region"), F.lit("customers")))
+    return counted.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.regexp_replace(table, r"^[^\n]*\n[^\n]*\n", "").alias("body"))
