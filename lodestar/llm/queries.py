@@ -99,6 +99,46 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(r, doc_id) AS comp
 FROM sets LEFT JOIN least_id ON id = doc_id
 """
 
+OP4_SQL = """
+WITH RECURSIVE crc AS (
+    SELECT list(c ORDER BY n) AS t FROM (
+        SELECT n, list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+made AS (
+    SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 8192 AS vslot,
+        xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::UBIGINT)),
+            lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])))::BIGINT AS text_crc32
+    FROM documents, crc),
+slots AS (SELECT vslot, sum(size)::BIGINT AS b, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, vslot) AS i FROM made GROUP BY vslot),
+placed AS (
+    SELECT 0::BIGINT AS i, 0::BIGINT AS vslot, 0::BIGINT AS shard, list_transform(range(40), lambda x: 0::BIGINT) AS loads
+    UNION ALL
+    SELECT s.i, s.vslot, list_position(p.loads, list_min(p.loads)) - 1,
+        list_transform(p.loads, lambda v, k: CASE WHEN k = list_position(p.loads, list_min(p.loads)) THEN v + s.b ELSE v END)
+    FROM placed p JOIN slots s ON s.i = p.i + 1),
+map AS (
+    SELECT placed.vslot, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY placed.vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    FROM placed JOIN slots ON slots.vslot = placed.vslot WHERE placed.i > 0)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, (first + row_number() OVER (PARTITION BY made.vslot ORDER BY doc_id, size, text_crc32) - 1)::BIGINT AS slot,
+    NULL::INT AS grown_shard, made.vslot::INT AS vslot
+FROM made JOIN map ON map.vslot = made.vslot
+"""
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS b, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS p FROM d)),
+again AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+marked AS (
+    SELECT bytes.*, coalesce(p - max(CASE WHEN again.p IS NOT NULL THEN bytes.p END) OVER (PARTITION BY doc_id ORDER BY p) < 100, false) AS gone
+    FROM bytes LEFT JOIN again USING (doc_id, p)),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM marked),
+sums AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), '') AS kept
+    FROM runs GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
@@ -149,4 +189,4 @@ QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_virtual_slots": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL}
