@@ -145,3 +145,38 @@ def test_entry_without_training_data_operators():
     queries, oracle = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracle) <= set(queries) and set(catalog.QUERIES) <= set(queries)
     assert os.path.exists(DATA)
+
+
+def test_plugins(spark):
+    from lodestar.functions import plugins
+
+    texts = spark.createDataFrame([(1, "a b a"), (2, None)], "id int, text string")
+    assert [list(r.embedding) for r in plugins.embed(texts, lambda: lambda ts: [[float(len(t))] for t in ts]).collect()] == [[5.0], [0.0]]
+    assert sum(texts.select(plugins.hashed_embedding(F.col("text"), 8).alias("v")).first().v) == 3
+    prompts = spark.createDataFrame([(1, "say hi"), (2, "fail")], "id int, prompt string")
+
+    class Echo:
+        name = "echo"
+
+        def complete(self, prompt):
+            if prompt == "fail":
+                raise ValueError("no answer")
+            return prompt.upper()
+
+    got = {r.id: (r.text, r.status) for r in plugins.complete(prompts, Echo).collect()}
+    assert got == {1: ("SAY HI", "complete"), 2: ("no answer", "error")}
+    assert plugins.validate({"model": "", "min_score": 2}) == ["model is empty", "min_score is not between 0 and 1"]
+
+
+def test_gate_and_merges(spark):
+    hits = spark.createDataFrame([(1, p, s, d) for p, s, d in ((1, 0.9, 10), (2, 0.8, 11), (3, 0.7, 12), (4, 0.6, 13), (5, 0.5, 14))], "query_id int, pos int, score double, doc_id long")
+    order = [r.doc_id for r in fusion.lost_in_the_middle(hits).orderBy("place").collect()]
+    assert order == [10, 12, 14, 13, 11]
+    more = spark.createDataFrame([(1, 1, 12), (1, 2, 20), (1, 3, 21)], "query_id int, pos int, doc_id long")
+    assert [r.doc_id for r in fusion.merge_results(hits, more, 6).orderBy("pos").collect()] == [10, 11, 12, 13, 14, 20]
+    lists = spark.createDataFrame([(0, q, r, d) for q, r, d in ((1, 1, 5), (2, 1, 6), (1, 2, 6), (2, 2, 7), (1, 3, 8))], "group_id int, query_idx int, rank int, doc_id long")
+    assert [r.doc_id for r in fusion.round_robin(lists, 3).orderBy("pos").collect()] == [5, 6, 7]
+    questions = spark.createDataFrame([(1, "What about liens?"), (2, "the")], "query_id int, query string")
+    texts = hits.withColumn("text", F.lit("LIENS are here"))
+    got = {r.query_id: r.decision for r in fusion.quality_gate(texts, questions).collect()}
+    assert got == {1: "sufficient", 2: "insufficient"}
