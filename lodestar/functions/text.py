@@ -214,3 +214,31 @@ def line_kind(line: Column) -> Column:
         ("heading", r"^([0-9]+\.[ \t]+)?[A-Z][A-Z0-9 /&,\-()]+([ \t]*\[[0-9, \t]+\])?$"), ("field", r"^[A-Z][A-Z0-9 /&,\-().:]+:[ \t]*.*"),
     )
     return reduce(lambda rest, rule: F.when(bare.rlike(rule[1]), rule[0]).otherwise(rest), reversed(rules), F.lit("paragraph"))
+
+
+def targeted_snippet(text: Column, words: Column, chars: int = 300) -> Column:
+    """A window of the text around the earliest of the words, whatever the case; the text's start if none is there."""
+    hits = F.filter(F.transform(words, lambda w: F.position(F.lower(w), F.lower(text))), lambda p: p > 0)
+    first = F.greatest(F.lit(0), F.array_min(hits) - 1 - chars // 2)
+    end = F.least(F.length(text), first + chars)
+    start = F.greatest(F.lit(0), end - chars)
+    body = strip(F.replace(text.substr(start + 1, end - start), F.lit("\n"), F.lit(" ")))
+    dots = lambda c: F.when(c, F.lit("...")).otherwise(F.lit(""))
+    return F.coalesce(F.concat(dots(start > 0), body, dots(end < F.length(text))), snippet(text, chars))
+
+
+def needs_context(answer: Column) -> Column:
+    """(text, follow_up): the answer without its first request for more context, and that request; null if there is none."""
+    pattern = r"(?s)\s*<needs_context>(.*?)</needs_context>"
+    held = answer.rlike(pattern)
+    before = F.regexp_replace(F.split(answer, r"<needs_context>", 2)[0], r"\s+$", "")
+    after = F.regexp_replace(answer, r"(?s)^.*?<needs_context>.*?</needs_context>", "")
+    text = F.when(held, strip(F.concat(before, after))).otherwise(answer)
+    return F.struct(text.alias("text"), F.when(held, strip(F.regexp_extract(answer, pattern, 1))).alias("follow_up"))
+
+
+def sections_used(ids: Column, shown: int = 3) -> Column:
+    """The first distinct ids in order, and how many more there are."""
+    own = F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
+    more = F.when(F.size(own) > shown, F.concat(F.lit(" +"), F.size(own) - shown)).otherwise(F.lit(""))
+    return F.concat(F.array_join(F.slice(own, 1, shown), ", "), more)

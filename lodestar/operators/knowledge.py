@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# Search terms of a concept in one query, synonyms in a query, and queries with and without concepts.
+TERMS_IN_QUERY, SYNONYMS_IN_QUERY, WITH_CONCEPTS, WITHOUT = 4, 3, 5, 3
 
 
 def load_dimension(spark, path: str, columns: str) -> DataFrame:
@@ -27,3 +31,19 @@ def synonym_terms(questions: DataFrame, synonyms: DataFrame) -> DataFrame:
     touched = words.join(lower, "term").select("question_id", "q", "group_id").distinct()
     added = touched.join(lower, "group_id").where(~F.contains("q", "term"))
     return added.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+
+
+def expanded_queries(questions: DataFrame, matches: DataFrame, search_terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(question_id, query_idx, query): the question, then its concepts' search terms (concept_id, pos, term) a few at a time, then the
+    question with synonyms (question_id, terms joined by commas). Repeats go; five queries if concepts matched, else three."""
+    batch = F.floor((F.row_number().over(Window.partitionBy("concept_id").orderBy("pos")) - 1) / TERMS_IN_QUERY)
+    batches = search_terms.withColumn("batch", batch).groupBy("concept_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ").alias("query"))
+    asked = questions.select("question_id", F.lit(0).alias("phase"), F.lit("").alias("concept_id"), F.lit(0).cast("long").alias("batch"), F.col("question").alias("query"))
+    by_concept = matches.select("question_id", "concept_id").join(batches, "concept_id").select("question_id", F.lit(1), "concept_id", "batch", "query")
+    some = F.array_join(F.slice(F.split("terms", ","), 1, SYNONYMS_IN_QUERY), " ")
+    by_synonym = questions.join(synonyms, "question_id").select("question_id", F.lit(2), F.lit(""), F.lit(0).cast("long"), F.concat_ws(" ", "question", some))
+    every = asked.union(by_concept).union(by_synonym)
+    first = every.groupBy("question_id", "query").agg(F.min(F.struct("phase", "concept_id", "batch")).alias("at"))
+    own = Window.partitionBy("question_id")
+    ranked = first.withColumn("query_idx", F.row_number().over(own.orderBy("at")) - 1).withColumn("most", F.when(F.max(F.col("at.phase") == 1).over(own), WITH_CONCEPTS).otherwise(WITHOUT))
+    return ranked.where(F.col("query_idx") < F.col("most")).select("question_id", "query_idx", "query")

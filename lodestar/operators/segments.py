@@ -13,7 +13,8 @@ ARTICLE = r"(?m)(?:^|\n)\s*ARTICLE\s+([IVXLCDM]+|\d+)\s*[:\-—–.]*\s*\n?\s*([
 TOP_SECTION = r"(?m)(?:^|\n)\s*SECTION\s+(\d+)\s+([A-Z][A-Z0-9 ,&()'/-]+)"
 SUBSECTION = r"(?m)(?:^|\n)\s*(?:SECTION|Section)?\s*(\d+\.\d+)\s*[.:]?\s+([A-Za-z][^\n.;]{2,80})"
 DEFINITION = r"(?m)^[^\n]*?[\"“]([A-Za-z][A-Za-z0-9\s\-/,()&]+?)[\"”](?=\s*:|\s*(?i:means?|shall\s+mean|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to))"
-PAGE_BREAK, MIN_PREAMBLE, PACK_TOKENS, SIBLING_TOKENS = "\n\n", 50, 800, 1200
+PAGE_BREAK, MIN_PREAMBLE, PACK_TOKENS, OVERLAP_TOKENS, SIBLING_TOKENS = "\n\n", 50, 800, 200, 1200
+PARAGRAPHS = r"\n\s*\n|\n\s*(?=\([a-z]\)|\([ivx]+\))"
 CUT = "\x01"
 
 
@@ -106,6 +107,39 @@ def greedy_pack(parts: Column, limit: int = PACK_TOKENS) -> Column:
     return F.aggregate(parts, state, step, lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["held"])))
 
 
+def tail_within(items: Column, budget: int) -> Column:
+    """The longest end of an array of (text, n) whose n add up to at most ``budget``."""
+    size = F.size(items)
+    fits = F.filter(F.sequence(F.lit(0), size), lambda k: F.aggregate(F.slice(items, F.least(k + 1, size + 1), size), F.lit(0), lambda s, x: s + x["n"]) <= budget)
+    return F.slice(items, F.least(F.array_min(fits) + 1, size + 1), size)
+
+
+def overlapping_chunks(text: Column, limit: int = PACK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """Chunks of whole paragraphs of up to ``limit`` words; each starts with the end of the one before, up to ``overlap`` words: whole
+    paragraphs, or sentences of the last one if that is longer. Paragraphs end at blank lines or clause marks, else at line ends."""
+    filled = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
+    wide = filled(F.split(text, PARAGRAPHS))
+    counted = F.transform(F.when(F.size(wide) > 1, wide).otherwise(filled(F.split(text, "\n"))), lambda p: F.struct(p.alias("text"), word_count(p).alias("n")))
+    kind = "array<struct<text:string,n:int>>"
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(kind).alias("held"))
+    total = lambda items: F.aggregate(items, F.lit(0), lambda s, x: s + x["n"])
+    joined = lambda items: F.array_join(F.transform(items, lambda x: x["text"]), "\n\n")
+
+    def ending(held: Column) -> Column:
+        whole = tail_within(held, overlap)
+        last = F.transform(F.split(F.element_at(held, -1)["text"], r"(?<=\.)\s+"), lambda t: F.struct(t.alias("text"), word_count(t).alias("n")))
+        tail = tail_within(last, overlap)
+        sentences = F.array(F.struct(F.array_join(F.transform(tail, lambda x: x["text"]), " ").alias("text"), total(tail).alias("n")))
+        return F.when(F.size(whole) > 0, whole).when(F.size(tail) > 0, sentences).otherwise(whole)
+
+    def step(s: Column, p: Column) -> Column:
+        full = (F.size(s["held"]) > 0) & (total(s["held"]) + p["n"] > limit)
+        done = F.when(full, F.array_append(s["done"], joined(s["held"]))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.array_append(F.when(full, ending(s["held"])).otherwise(s["held"]), p).alias("held"))
+
+    return F.aggregate(counted, state, step, lambda s: F.when(F.size(s["held"]) > 0, F.array_append(s["done"], joined(s["held"]))).otherwise(s["done"]))
+
+
 def within_budget(items: Column, budget: int = SIBLING_TOKENS) -> Column:
     """Keys of an ordered array of (key, n) that fit a budget in order; one that doesn't fit is passed over."""
     state = F.struct(F.array().cast("array<bigint>").alias("taken"), F.lit(budget).alias("left"))

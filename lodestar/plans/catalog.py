@@ -570,3 +570,55 @@ def markdown_tables(read):
     rows = F.transform(F.array_sort(F.collect_list(F.struct("n_regionkey", "n"))), lambda x: F.array(x["n_regionkey"].cast("string"), x["n"].cast("string")))
     table = store.markdown_table(rows, F.array(F.lit("region"), F.lit("customers")))
     return counted.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.regexp_replace(table, r"^[^\n]*\n[^\n]*\n", "").alias("body"))
+
+
+# snippets, follow-ups and expansions
+
+
+@query(f"""WITH h AS (SELECT doc_id, text, list_min(list_filter([strpos(lower(text), 'nation'), strpos(lower(text), 'tion')], lambda p: p > 0)) AS hit FROM documents),
+a AS (SELECT *, least(length(text), greatest(0, hit - 1 - 150) + 300) AS e FROM h), b AS (SELECT *, greatest(0, e - 300) AS s FROM a)
+SELECT doc_id, CASE WHEN hit IS NULL THEN trim(replace(substr(text, 1, 300), chr(10), ' '), {WS}) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END
+ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(replace(substr(text, s + 1, e - s), chr(10), ' '), {WS}) || CASE WHEN e < length(text) THEN '...' ELSE '' END END AS snippet FROM b""")
+def targeted_snippet(read):
+    return read("documents").select("doc_id", T.targeted_snippet(F.col("text"), F.array(F.lit("nation"), F.lit("TION"))).alias("snippet"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(role || text, {WS}) ELSE text END AS text, CASE WHEN role = 'user' THEN trim(role, {WS}) END AS follow_up FROM conversations""")
+def follow_ups(read):
+    """User turns get a request for context in the middle, which is found and taken out again."""
+    asked = F.when(F.col("role") == "user", F.concat("role", F.lit("  \n<needs_context> "), "role", F.lit("\n</needs_context>"), "text")).otherwise(F.col("text"))
+    return read("conversations").select("conv_id", "turn", T.needs_context(asked).alias("x")).select("conv_id", "turn", "x.text", "x.follow_up")
+
+
+@query("""WITH f AS (SELECT lang, source, min(doc_id) AS d FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY d) AS i, count(*) OVER (PARTITION BY lang) AS n FROM f)
+SELECT lang, string_agg(source, ', ' ORDER BY i) FILTER (i <= 3) || CASE WHEN any_value(n) > 3 THEN ' +' || (any_value(n) - 3) ELSE '' END AS sections FROM r GROUP BY lang""")
+def sections_used(read):
+    """Sources are reduced to their first document before they meet in one list."""
+    first = read("documents").groupBy("lang", "source").agg(F.min("doc_id").alias("d"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("d", "source"))), lambda x: x["source"])
+    return first.groupBy("lang").agg(T.sections_used(ids).alias("sections"))
+
+
+@query()
+def overlapping_chunks(read):
+    packed = read("documents").select("doc_id", F.posexplode(segments.overlapping_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return packed.select("doc_id", "chunk_index", T.word_count(F.col("chunk")).alias("tokens"), digest(F.col("chunk")).alias("chunk_md5"))
+
+
+@query(r"""WITH q AS (SELECT c_custkey AS question_id, 'Which orders of ' || c_name || ' in ' || n_name || ' went to the ' || c_mktsegment || ' segment' AS q FROM customer JOIN nation ON c_nationkey = n_nationkey),
+w AS (SELECT DISTINCT question_id, unnest(regexp_split_to_array(lower(q), '[^a-z0-9_]+')) AS alias FROM q),
+m AS (SELECT DISTINCT question_id, r_name AS concept_id FROM w JOIN nation ON lower(n_name) = alias JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 3 > 0),
+s AS (SELECT r_name AS concept_id, n_name AS term, n_nationkey AS pos, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1) // 4 AS batch FROM nation JOIN region ON r_regionkey = n_regionkey),
+b AS (SELECT concept_id, batch, string_agg(term, ' ' ORDER BY pos) AS query FROM s GROUP BY ALL),
+y AS (SELECT question_id, q || ' ' || n_name AS query FROM q JOIN nation ON n_nationkey = question_id % 25),
+e AS (SELECT question_id, 0 AS phase, '' AS concept_id, 0 AS batch, q AS query FROM q UNION ALL SELECT question_id, 1, concept_id, batch, query FROM m JOIN b USING (concept_id) UNION ALL SELECT question_id, 2, '', 0, query FROM y),
+f AS (SELECT question_id, query, min((phase, concept_id, batch)) AS a, min(phase) AS phase FROM e GROUP BY question_id, query),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY a) - 1 AS query_idx, max(CASE WHEN phase = 1 THEN 5 ELSE 3 END) OVER (PARTITION BY question_id) AS most FROM f)
+SELECT question_id, query_idx, query FROM r WHERE query_idx < most""")
+def expanded_queries(read):
+    named = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = customer_questions(read)
+    matches = knowledge.concept_matches(asked, named.where("n_nationkey % 3 > 0").select(F.col("r_name").alias("concept_id"), F.col("n_name").alias("alias")))
+    search_terms = named.select(F.col("r_name").alias("concept_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("term"))
+    synonyms = asked.withColumn("n_nationkey", (F.col("question_id") % 25).cast("int")).join(read("nation"), "n_nationkey").select("question_id", F.col("n_name").alias("terms"))
+    return knowledge.expanded_queries(asked, matches, search_terms, synonyms)

@@ -20,7 +20,7 @@ def plain(x):
     return repr(round(x, 9)) if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_its_twin(spark, name):
     frame = catalog.QUERIES[name](spark, DATA)
     columns = sorted(frame.columns)
@@ -180,3 +180,38 @@ def test_gate_and_merges(spark):
     texts = hits.withColumn("text", F.lit("LIENS are here"))
     got = {r.query_id: r.decision for r in fusion.quality_gate(texts, questions).collect()}
     assert got == {1: "sufficient", 2: "insufficient"}
+
+
+def plain_chunks(text, limit, overlap):
+    """What overlapping chunks should be, one paragraph at a time."""
+    import re
+
+    count = lambda t: len(t.split())
+    parts = [p.strip() for p in re.split(r"\n\s*\n|\n\s*(?=\([a-z]\)|\([ivx]+\))", text) if p.strip()]
+    parts = parts if len(parts) > 1 else [p.strip() for p in text.split("\n") if p.strip()]
+    done, held = [], []
+    for part in parts:
+        if held and sum(map(count, held)) + count(part) > limit:
+            done.append("\n\n".join(held))
+            for source, glue in ((held, None), (re.split(r"(?<=\.)\s+", held[-1]), " ")):
+                tail = []
+                for piece in reversed(source):
+                    if sum(map(count, tail)) + count(piece) > overlap:
+                        break
+                    tail.insert(0, piece)
+                if tail:
+                    break
+            held = ([glue.join(tail)] if glue else tail) if tail else []
+        held = [*held, part]
+    return done + (["\n\n".join(held)] if held else [])
+
+
+def test_overlapping_chunks(spark):
+    import random
+
+    rng = random.Random(3)
+    sentence = lambda: " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(1, 9))) + "."
+    texts = ["", "one", *("".join(" ".join(sentence() for _ in range(rng.randrange(1, 5))) + rng.choice(["\n", "\n\n", "\n(a) "]) for _ in range(rng.randrange(12))) for _ in range(60))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", segments.overlapping_chunks(F.col("text"), 30, 10).alias("x"))
+    for r in frame.collect():
+        assert r.x == plain_chunks(texts[r.id], 30, 10)
