@@ -72,8 +72,8 @@ def _windows(packed):
 
 
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """(seed, block, doc, packed, kind) of the sampled suffixes of (doc, text). Equal blocks of one Arrow batch are combined
-    before the shuffle: all but the first are repeats at once and have no seed."""
+    """(seed, block, doc, packed, again) of the sampled suffixes of (doc, text). Equal blocks of one Arrow batch are combined before
+    the shuffle: all but the first are known to be repeats, and have a seed that spreads them."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +89,11 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
             seed, block, doc, packed = seed[order], block[order], doc[order], packed[order]
             again = np.zeros(len(seed), bool)
             again[1:] = (seed[1:] == seed[:-1]) & (block[1:] == block[:-1])
-            again[1:] &= (doc[1:] != doc[:-1]) | (packed[1:] != packed[:-1])
-            hide = lambda x: pa.array(x.view(np.int64), pa.int64(), mask=again)
-            yield pa.RecordBatch.from_arrays([hide(seed), hide(block), pa.array(doc), pa.array(packed)], names=["seed", "block", "doc", "packed"])
+            seed[again] = (doc[again] >> 3).astype(np.uint64)
+            block[again] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(block.view(np.int64)), pa.array(doc), pa.array(packed), pa.array(again)], names=["seed", "block", "doc", "packed", "again"])
 
-    return docs.select("doc", "text").mapInArrow(run, "seed long, block long, doc long, packed long")
+    return docs.select("doc", "text").mapInArrow(run, "seed long, block long, doc long, packed long, again boolean")
 
 
 class SuffixLevels:
@@ -105,28 +105,24 @@ class SuffixLevels:
         self.found: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Take a batch (doc, text) in. Returns the batch's rows (seed, block, doc, packed, kind): repeats, firsts, firsts whose seed has
-        other blocks, and such earlier suffixes of the levels."""
+        """Take a batch (doc, text) in. Returns (doc, packed) of its suffixes whose blocks are repeats."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((n + m, stored(_arranged(a.union(b)), "suffix-level")))
-        made = suffixes(docs, self.length)
-        made = stored(made, "suffixes")
-        rows = made.where("seed IS NOT NULL").withColumn("new", F.lit(1))
+        rows = suffixes(docs, self.length).withColumn("new", F.lit(1))
         for _, level in self.levels:
-            rows = rows.union(level.withColumn("new", F.lit(0)))
-        same = Window.partitionBy("seed", "block")
-        first = F.row_number().over(same.orderBy("new", "doc", "packed")) == 1
+            rows = rows.union(level.select("*", F.lit(False), F.lit(0)))
+        same = Window.partitionBy("seed", "again", "block")
+        first = (F.row_number().over(same.orderBy("new", "doc", "packed")) == 1) & ~F.col("again")
         merged = rows.repartition("seed").withColumn("first", first)
-        firsts = F.sum(F.col("first").cast("int")).over(Window.partitionBy("seed"))
+        firsts = F.sum(F.col("first").cast("int")).over(Window.partitionBy("seed", "again"))
         kind = F.when(F.col("new") == 0, EARLIER).when(~F.col("first"), REPEAT).when(F.col("firsts") > 1, DIFFERS).otherwise(FIRST)
-        merged = merged.withColumn("firsts", firsts).where("new = 1 OR firsts > 1").select("seed", "block", "doc", "packed", kind.alias("kind"))
-        merged = stored(merged, "suffix-array")
+        merged = merged.withColumn("firsts", firsts).where("new = 1 OR firsts > 1").withColumn("kind", kind)
+        named = [F.when(F.col("kind") != REPEAT, F.col(c)).alias(c) for c in ("seed", "block")]
+        merged = stored(merged.select(*named, "doc", "packed", "kind"), "suffix-array")
         self.levels.append((1, merged.where(F.col("kind").isin(FIRST, DIFFERS)).drop("kind")))
-        self.found.append(merged)
-        repeats = merged.where(F.col("kind") == REPEAT).select("doc", "packed").union(made.where("seed IS NULL").select("doc", "packed"))
-        self.found[-1] = merged.where(F.col("kind").isin(DIFFERS, EARLIER)).drop("kind")
-        return repeats
+        self.found.append(merged.where(F.col("kind").isin(DIFFERS, EARLIER)).drop("kind"))
+        return merged.where(F.col("kind") == REPEAT).select("doc", "packed")
 
     def undecided(self) -> DataFrame:
         """Suffixes of seeds with different blocks, once each: (seed, doc, packed)."""
@@ -211,15 +207,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     texts; of equal rows the first stays whole. Ids have to be integers. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
     carried = [f"x{k}" for k in range(len(others))]
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(others, carried, strict=True)))
-    known = base.where(F.col("id").isNotNull())
-    if known.groupBy("id").count().where("count > 1").limit(1).count():
-        ordered = known.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
-        texts = stored(ordered.select(F.monotonically_increasing_id().alias("doc"), "text", *carried), "ordered-texts")
-    else:
-        texts = known.select(F.col("id").alias("doc"), "text", *carried)
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(others, carried, strict=True)))
+    known = base.where(F.col("doc").isNotNull())
+    repeated = known.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        carried.append("own_id")
+        ordered = known.withColumn("own_id", F.col("doc")).repartitionByRange("doc", "text").sortWithinPartitions("doc", "text")
+        known = stored(ordered.withColumn("doc", F.monotonically_increasing_id()), "ordered-texts")
+    texts = known.select("doc", "text")
     cuts = texts.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     levels = SuffixLevels(length)
@@ -230,13 +227,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         repeats = found if repeats is None else repeats.union(found)
     place, before, count = F.shiftright("packed", 20), F.shiftright("packed", 10).bitwiseAND(1023), F.col("packed").bitwiseAND(1023)
     runs = repeats.select("doc", (place - before).alias("lo"), (place - before + count).alias("hi"))
-    runs = runs.union(compare(levels.undecided(), texts.select("doc", "text"), length))
+    runs = runs.union(compare(levels.undecided(), texts, length))
     runs = runs.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list(F.col("hi") + length).alias("hi"))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, starts, ends, kept = [], [], [], []
-            for text, lo, hi in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for text, lo, hi in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 a, b = _union(lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid else (np.zeros(0, np.int64),) * 2
                 if whole_characters and len(a):
@@ -251,12 +248,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
                 ends.append(b)
                 kept.append(raw[np.cumsum(step[:-1]) == 0].tobytes())
             made = [pa.array(size, pa.int64()), list_array(starts, pa.int64()), list_array(ends, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*made, *(batch.column(3 + k) for k in range(len(carried)))], names=["n_bytes", "starts", "ends", "kept", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc", "n_bytes", "starts", "ends", "kept"])
 
+    kinds = "doc long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+    out = texts.join(runs, "doc", "left").select("doc", "text", "lo", "hi").mapInArrow(apply, kinds)
+    if carried:  # other columns come without the text
+        out = out.join(known.select("doc", *carried), "doc")
     none = F.lit(None).cast("array<bigint>")
-    whole = base.where(F.col("id").isNull()).select("text", none.alias("lo"), none.alias("hi"), *carried)
-    joined = texts.join(runs, "doc", "left").select("text", "lo", "hi", *carried).union(whole)
-    kinds = "".join(f", {x} {base.schema[x].dataType.simpleString()}" for x in carried)
-    out = joined.mapInArrow(apply, f"n_bytes long, starts array<long>, ends array<long>, kept binary{kinds}")
-    spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans")
-    return out.select(*(F.col(x).alias(c) for c, x in zip(others, carried, strict=True)), "n_bytes", spans, "kept")
+    whole = base.where(F.col("doc").isNull())
+    whole = whole.select(F.col("doc"), F.octet_length("text").cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"), F.col("text").cast("binary").alias("kept"), *(F.lit(None).cast("long").alias(x) if x == "own_id" else F.col(x) for x in carried))
+    out = out.unionByName(whole)
+    spans = F.coalesce(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")), F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans")
+    names = {c: F.col(x) for c, x in zip(others, carried, strict=False)} | {id_col: F.col("own_id" if repeated else "doc")}
+    return out.select(*(names[c].alias(c) for c in docs.columns if c != text_col), "n_bytes", spans, "kept")
