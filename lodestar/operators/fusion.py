@@ -64,3 +64,26 @@ def merge_results(existing: DataFrame, new: DataFrame, k: int) -> DataFrame:
     both = existing.select("query_id", "doc_id", F.lit(0).alias("turn"), "pos").union(new.select("query_id", "doc_id", F.lit(1), "pos"))
     first = both.groupBy("query_id", "doc_id").agg(F.min(F.struct("turn", "pos")).alias("at"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("at.turn", "at.pos"))).where(F.col("pos") <= k).select("query_id", "doc_id", "pos")
+
+
+def insert_within(hits: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, doc_id, section, score, definition): candidates (query_id, pos, doc_id, section, score) put into hits of at most k
+    rows, in order: appended while there is room, else in place of the weakest row that is no definition and of another section, if
+    that isn't stronger. A query's rows are folded together; there are k and a few more."""
+    row = ("doc_id", "section", "score", "definition")
+    ordered = lambda frame, name: frame.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", *row))).alias(name))
+    both = ordered(hits, "held").join(ordered(candidates.withColumn("definition", F.lit(False)), "new"), "query_id", "left")
+
+    def put(held, x):
+        open_to = F.filter(F.transform(held, lambda h, i: F.struct(h["score"].alias("score"), i.alias("i"), (h["definition"] | (h["section"] == x["section"])).alias("kept"))), lambda h: ~h["kept"])
+        weakest = F.array_min(open_to)
+        swapped = F.transform(held, lambda h, i: F.when((i == weakest["i"]) & (x["score"] >= weakest["score"]), x).otherwise(h))
+        return F.when(F.size(held) < k, F.array_append(held, x)).when(weakest.isNull(), held).otherwise(swapped)
+
+    made = F.when(F.col("new").isNull(), F.col("held")).otherwise(F.aggregate("new", F.col("held"), put))
+    return both.select("query_id", F.posexplode(made).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("pos"), *(F.col(f"x.{c}").alias(c) for c in row))
+
+
+def document_order(hits: DataFrame) -> DataFrame:
+    """``place`` of hits (query_id, article, section_id, chunk_index) in the order of their document; section ids compare as text."""
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("article", "section_id", "chunk_index")))

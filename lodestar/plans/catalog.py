@@ -622,3 +622,22 @@ def expanded_queries(read):
     search_terms = named.select(F.col("r_name").alias("concept_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("term"))
     synonyms = asked.withColumn("n_nationkey", (F.col("question_id") % 25).cast("int")).join(read("nation"), "n_nationkey").select("question_id", F.col("n_name").alias("terms"))
     return knowledge.expanded_queries(asked, matches, search_terms, synonyms)
+
+
+@query(f"""WITH {HYBRID_SQL}, h AS (SELECT query_id, doc_id, source AS list, pos FROM hits), c AS (SELECT h.query_id, h.doc_id, d.lang, d.source, d.n_chars FROM h JOIN documents d USING (doc_id))
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lang, source, doc_id) AS place FROM c""")
+def document_order(read):
+    named = read("documents").select("doc_id", F.col("lang").alias("article"), F.col("source").alias("section_id"))
+    hits = hybrid_hits(read).select("query_id", "doc_id").join(named, "doc_id").withColumn("chunk_index", F.col("doc_id"))
+    return fusion.document_order(hits).select("query_id", "doc_id", "place")
+
+
+@query()
+def sibling_insert(read):
+    """The documents that follow each hit in its source, at 0.9 of its score, put into a full list of hits."""
+    docs = read("documents").select("doc_id", F.col("source").alias("section"), F.col("lang"))
+    hits = hybrid_hits(read).join(docs, "doc_id").select("query_id", "pos", "doc_id", "section", "score", (F.col("lang") == "fr").alias("definition"))
+    follows = docs.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("section").orderBy("doc_id"))).select("doc_id", "next_id")
+    siblings = hits.join(follows, "doc_id").where("next_id IS NOT NULL").select("query_id", "pos", F.col("next_id").alias("doc_id"), "section", (F.col("score") * 0.9).alias("score"))
+    fresh = siblings.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return fusion.insert_within(hits, fresh, K)

@@ -215,3 +215,28 @@ def test_overlapping_chunks(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", segments.overlapping_chunks(F.col("text"), 30, 10).alias("x"))
     for r in frame.collect():
         assert r.x == plain_chunks(texts[r.id], 30, 10)
+
+
+def test_insert_within(spark):
+    import random
+
+    rng = random.Random(5)
+    hits, new, want = [], [], {}
+    for q in range(40):
+        held = [(q, p, 10 * p, rng.choice("ab"), rng.randrange(9) / 10, rng.random() < 0.3) for p in range(1, rng.randrange(2, 6))]
+        more = [(q, p, 1000 + p, rng.choice("ab"), rng.randrange(9) / 10) for p in range(1, rng.randrange(1, 6))]
+        out = [h[2:] for h in held]
+        for m in more:
+            if len(out) < 4:
+                out.append((*m[2:], False))
+                continue
+            free = [(h[2], i) for i, h in enumerate(out) if not h[3] and h[1] != m[3]]
+            if free and m[4] >= min(free)[0]:
+                out[min(free)[1]] = (*m[2:], False)
+        hits, new, want[q] = hits + held, new + more, out
+    h = spark.createDataFrame(hits, "query_id int, pos int, doc_id long, section string, score double, definition boolean")
+    c = spark.createDataFrame(new, "query_id int, pos int, doc_id long, section string, score double")
+    got = {}
+    for r in fusion.insert_within(h, c, 4).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.section, r.score, r.definition))
+    assert got == want
