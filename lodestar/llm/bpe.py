@@ -14,9 +14,11 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Entries of the memos of a task: chunks' ids, and pairs of tokens that stay apart. A full memo starts anew.
-MEMO = 1 << 19
+MEMO = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,6 +56,8 @@ class Merges:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        made = {token: (rank, a, b) for (a, b), (rank, token) in self.merges.items()}
+        self.made = made if len(made) == len(self.merges) else None  # how each token is made, if in one way
         self.lookahead = max(map(len, self.ids))
         self.pieces: dict[bytes, int] = {}  # tokens that encode to themselves; -1 for other beginnings of tokens
         for data, token in self.ids.items():
@@ -65,7 +69,7 @@ class Merges:
                 self.pieces.setdefault(data, -1)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._apart: dict[int, bool] = {}
-        self._chunks: dict[str, tuple[int, ...]] = {}
+        self._chunks: dict[str, bytes] = {}  # 32-bit ids
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: the best-ranked pair merges first, the leftmost of equals."""
@@ -83,11 +87,30 @@ class Merges:
         pair = left << 17 | right
         known = self._apart.get(pair)
         if known is None:
-            if len(self._apart) >= 2 * MEMO:
+            if len(self._apart) >= MEMO:
                 self._apart.clear()
-            known = self._apart[pair] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+            known = self._apart[pair] = self._stay(left, right)
         return known
 
+    def _stay(self, left: int, right: int) -> bool:
+        """Go back in time over the tokens at the border: whichever was made last is taken apart, and a merge across the border that
+        ranks before what ended that state would have come first. Of equal ranks the leftmost merge comes first."""
+        merges, made = self.merges, self.made
+        if made is None:
+            return self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+        ended = 1 << 30
+        while True:
+            across = merges.get((left, right))
+            if across is not None and across[0] < ended:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                ended, left = a[0], a[2]
+            else:
+                ended, right = b[0] + 1, b[1]
+
 
 class Transducer:
     """Takes bytes of one pre-token and gives tokens once no continuation can change them."""
@@ -156,40 +179,41 @@ def encode_pre_token(merges: Merges, data: bytes) -> list[int]:
     return out + t.finish()
 
 
-def encode_chunk(merges: Merges, chunk: str) -> tuple[int, ...]:
+def encode_chunk(merges: Merges, chunk: str) -> bytes:
     memo, out = merges._chunks, []
     for piece in PRE_TOKEN.findall(chunk):
         ids = memo.get(piece)
         if ids is None:
-            ids = tuple(encode_pre_token(merges, piece.encode("utf-8")))
+            ids = array("i", encode_pre_token(merges, piece.encode("utf-8"))).tobytes()
             _keep(memo, piece, ids)
-        out += ids
-    _keep(memo, chunk, tuple(out))
-    return tuple(out)
+        out.append(ids)
+    ids = b"".join(out)
+    _keep(memo, chunk, ids)
+    return ids
 
 
-def _keep(memo: dict, text: str, ids: tuple[int, ...]) -> None:
+def _keep(memo: dict[str, bytes], text: str, ids: bytes) -> None:
     if len(text) <= 64:
         if len(memo) >= MEMO:
             memo.clear()
         memo[text] = ids
 
 
-def encode_text(merges: Merges, text: str) -> list[int]:
+def encode_text(merges: Merges, text: str) -> np.ndarray:
     """Ids of a text; the strings of special tokens become their ids. Chunks that recur are looked up in a bounded memo."""
-    out: list[int] = []
+    out: list[bytes] = []
     memo = merges._chunks
     parts = [text] if merges.split is None or "<" not in text else regex.split(f"({merges.split.pattern})", text)
     for part in parts:
         if len(parts) > 1 and part in merges.special:
-            out.append(merges.special[part])
+            out.append(array("i", [merges.special[part]]).tobytes())
             continue
-        for chunk in CHUNK.findall(part):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = encode_chunk(merges, chunk)
-            out += ids
-    return out
+        chunks = CHUNK.findall(part)
+        found = list(map(memo.get, chunks))
+        if None in found:
+            found = [encode_chunk(merges, c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        out += found
+    return np.frombuffer(b"".join(out), np.int32)
 
 
 def decode_ids(merges: Merges, ids: Iterable[int], block: int = 4096) -> str:
