@@ -15,7 +15,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,19 +160,21 @@ class OpenWindows:
         return capacity, self.stacks[capacity].pop()
 
 
-def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece, pieces of falling length given."""
-    free, n = OpenWindows(window), 0
-    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    for k, need in enumerate(lengths.tolist()):
-        found = free.tightest(need)
+class BestFit:
+    """Sequences of a group, filled by pieces of falling length."""
+
+    def __init__(self, window: int):
+        self.window, self.free, self.n = window, OpenWindows(window), 0
+
+    def put(self, need: int) -> tuple[int, int]:
+        """(sequence, offset) of the next piece."""
+        found = self.free.tightest(need)
         if found is None:
-            at, used, n = n, 0, n + 1
+            at, used, self.n = self.n, 0, self.n + 1
         else:
             at, used = found[1]
-        sequence[k], offset[k] = at, used
-        free.put(window - used - need, (at, used + need))
-    return sequence, offset
+        self.free.put(self.window - used - need, (at, used + need))
+        return at, used
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -181,20 +182,32 @@ def pack(pieces: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> Dat
 
     Full pieces are sequences of their own. All columns of ``pieces`` are kept. Ids of sequences are the group's number
     times 2^32 plus a number in the group. Pieces that tie in length go by id and start, so results don't depend on how
-    rows are dealt out; repeated rows are packed each. An empty table gives an empty result.
+    rows are dealt out; repeated rows are packed each. Pieces come sorted and are placed one by one, so a task holds open
+    windows and one Arrow batch, not its group. An empty table gives an empty result.
     """
+    small_batches(pieces.sparkSession)
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // GROUP_TOKENS))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "start"), F.lit(groups)))
+    group = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "start"), F.lit(groups))
     names = pieces.columns
+    dealt = pieces.select(group.alias("_group"), F.col("length").alias("_need"), *names)
+    sorted_ = dealt.repartition("_group").sortWithinPartitions("_group", F.desc("_need"), id_col, "start")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", id_col, "start"], ascending=[False, True, True], kind="stable")
-        sequence, offset = best_fit(rows["length"].to_numpy(), window)
-        return rows[names].assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fit = None, BestFit(window)
+        for batch in batches:
+            sequence, offset = [], []
+            for key, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != now:
+                    now, fit = key, BestFit(window)
+                at, used = fit.put(need)
+                sequence.append((key << 32) + at)
+                offset.append(used)
+            kept = [batch.column(k) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    return sorted_.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
