@@ -8,7 +8,7 @@ A batch's suffix array holds its sampled suffixes in the order of (hash of the s
 the arrays of the levels in that order: suffixes of one seed stand together, and among them equal blocks. The first of
 equal blocks stays and goes into the batch's own array, which becomes a level; all windows of the others repeat an earlier
 text. Where blocks of one seed differ, their windows are compared byte by byte afterwards. When two levels hold as many
-batches, they are merged into one before the next batch comes.
+batches, the next batch's pass writes them as one.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ LENGTH, SEED = 100, 16
 BATCHES = 3
 #: Bytes of a text that are sampled at a time; places within fit into the low bits of a hash.
 STEP, LOW = 1 << 19, 20
-#: Kinds of rows of a batch's array.
-REPEAT, FIRST, DIFFERS, EARLIER = 0, 1, 2, 3
+#: Where rows come from: levels that become one, other levels, the batch. Rows of levels are earlier than the batch's.
+MERGING, LEVEL, BATCH = 0, 1, 2
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,35 +105,38 @@ class SuffixLevels:
         self.found: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Take a batch (doc, text) in. Returns (doc, packed) of its suffixes whose blocks are repeats."""
+        """Take a batch (doc, text) in. Returns (doc, packed) of its suffixes whose blocks are repeats.
+
+        Levels of one size become one in the same pass: their rows meet in the order of seeds anyway, and are written as one array.
+        """
+        merging: tuple[int, DataFrame] | None = None
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, stored(_arranged(a.union(b)), "suffix-level")))
-        rows = suffixes(docs, self.length).withColumn("new", F.lit(1))
-        for _, level in self.levels:
-            rows = rows.union(level.select("*", F.lit(False), F.lit(0)))
+            merging = (n + m, a.union(b))
+            self.levels.append(merging)
+        rows = suffixes(docs, self.length).withColumn("age", F.lit(BATCH))
+        for level in self.levels:
+            rows = rows.union(level[1].select("*", F.lit(False), F.lit(MERGING if level is merging else LEVEL)))
         same = Window.partitionBy("seed", "again", "block")
-        first = (F.row_number().over(same.orderBy("new", "doc", "packed")) == 1) & ~F.col("again")
+        first = (F.row_number().over(same.orderBy("age", "doc", "packed")) == 1) & ~F.col("again")
         merged = rows.repartition("seed").withColumn("first", first)
         firsts = F.sum(F.col("first").cast("int")).over(Window.partitionBy("seed", "again"))
-        kind = F.when(F.col("new") == 0, EARLIER).when(~F.col("first"), REPEAT).when(F.col("firsts") > 1, DIFFERS).otherwise(FIRST)
-        merged = merged.withColumn("firsts", firsts).where("new = 1 OR firsts > 1").withColumn("kind", kind)
-        named = [F.when(F.col("kind") != REPEAT, F.col(c)).alias(c) for c in ("seed", "block")]
-        merged = stored(merged.select(*named, "doc", "packed", "kind"), "suffix-array")
-        self.levels.append((1, merged.where(F.col("kind").isin(FIRST, DIFFERS)).drop("kind")))
-        self.found.append(merged.where(F.col("kind").isin(DIFFERS, EARLIER)).drop("kind"))
-        return merged.where(F.col("kind") == REPEAT).select("doc", "packed")
+        merged = merged.withColumn("differs", firsts > 1).where(f"age <> {LEVEL} OR differs")
+        repeat = (F.col("age") == BATCH) & ~F.col("first")
+        named = [F.when(~repeat, F.col(c)).alias(c) for c in ("seed", "block")]
+        merged = stored(merged.select(*named, "doc", "packed", "age", (F.col("differs") & ~repeat).alias("differs")), "suffix-array")
+        if merging:
+            self.levels[-1] = (merging[0], merged.where(F.col("age") == MERGING).drop("age", "differs"))
+        self.levels.append((1, merged.where((F.col("age") == BATCH) & F.col("seed").isNotNull()).drop("age", "differs")))
+        self.found.append(merged.where("differs").drop("age", "differs"))
+        return merged.where(F.col("seed").isNull()).select("doc", "packed")
 
     def undecided(self) -> DataFrame:
-        """Suffixes of seeds with different blocks, once each: (seed, doc, packed)."""
+        """(seed, doc, packed) of suffixes of seeds with different blocks; one that later batches met again comes again."""
         out = self.found[0]
         for more in self.found[1:]:
             out = out.union(more)
-        return out.select("seed", "doc", "packed").distinct()
-
-
-def _arranged(rows: DataFrame) -> DataFrame:
-    return rows.repartition("seed").sortWithinPartitions("seed", "block", "doc", "packed")
+        return out.select("seed", "doc", "packed")
 
 
 def compare(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -143,7 +146,7 @@ def compare(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     lies in them, too; equal windows have it at the same place.
     """
     small_batches(texts.sparkSession)
-    by_doc = undecided.groupBy("doc").agg(F.collect_list(F.struct("seed", "packed")).alias("at"))
+    by_doc = undecided.groupBy("doc").agg(F.collect_set(F.struct("seed", "packed")).alias("at"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
