@@ -25,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With this on, Spark removes the shuffle files of a finished write; it is on while a table is stored.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` written to a new table in the shared folder and read back; cuts lineage and survives lost executors."""
+    """``df`` written to a new table in the shared folder and read back; cuts lineage and survives lost executors. Shuffle files of
+    the write go when it is done, as the table holds what they were for."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
