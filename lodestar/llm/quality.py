@@ -101,6 +101,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
         rows = [judge(t or "") for t in texts]
         return pd.DataFrame({"kept": [r[6] for r in rows], "clean_text": [r[8] for r in rows]})
 
+    verdict = verdict.asNondeterministic()  # else the filter and each field would judge the text anew
     mark = "_verdict" + "_" * max(map(len, docs.columns))
     judged = docs.withColumn(mark, verdict(F.col(text_col))).where(F.col(mark)["kept"])
     return judged.select(*[F.col(mark)["clean_text"].alias(c) if c == text_col else F.col(c) for c in docs.columns])
