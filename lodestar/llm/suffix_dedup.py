@@ -7,12 +7,14 @@ Each anchor owns the windows it is the least of; the bytes they span are its blo
 A batch's suffix array holds its sampled suffixes in the order of (hash of the seed, hash of the block, document, place). It is merged with
 the arrays of the levels in that order: suffixes of one seed stand together, and among them equal blocks. The first of
 equal blocks stays and goes into the batch's own array, which becomes a level; all windows of the others repeat an earlier
-text. Where blocks of one seed differ, their windows are compared byte by byte afterwards. When two levels hold as many
+text. Where blocks of one seed differ, their windows are compared afterwards: byte by byte in one task if a seed has few blocks, by a
+shuffle of 128-bit hashes of the windows if it has many. When two levels hold as many
 batches, the next batch's pass writes them as one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ LENGTH, SEED = 100, 16
 BATCHES = 3
 #: Bytes of a text that are sampled at a time; places within fit into the low bits of a hash.
 STEP, LOW = 1 << 19, 20
+#: Blocks of a seed that a task may hold to compare their windows; rows of window hashes that it hands on at a time.
+HELD, ROWS = 4096, 1 << 15
 #: Where rows come from: levels that become one, other levels, the batch. Rows of levels are earlier than the batch's.
 MERGING, LEVEL, BATCH = 0, 1, 2
 
@@ -140,12 +144,50 @@ class SuffixLevels:
 
 
 def compare(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(doc, lo, hi): runs of windows of undecided suffixes that equal a window of an earlier one.
+
+    Windows of a seed with at most HELD blocks are compared in one task, those of other seeds by their hashes, so that no task holds
+    more than HELD blocks. The table of seeds with more is broadcast; it has at most a row for HELD undecided suffixes.
+    """
+    small_batches(texts.sparkSession)
+    many = stored(undecided.groupBy("seed").count().where(F.col("count") > HELD).select("seed"), "frequent-seeds")
+    if many.isEmpty():
+        return _compare_held(undecided, texts, length)
+    few = undecided.join(F.broadcast(many), "seed", "left_anti")
+    return _compare_held(few, texts, length).union(_compare_hashed(undecided.join(F.broadcast(many), "seed", "left_semi"), texts, length))
+
+
+def _compare_hashed(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(doc, lo, hi) of single windows; the first of equal windows comes from a combining aggregation of their 128-bit hashes."""
+    by_doc = undecided.groupBy("doc").agg(F.collect_set("packed").alias("at"))
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [])
+        kinds = (pa.binary(), pa.int64(), pa.int64())
+        for batch in batches:
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                for packed in at.as_py():
+                    _, lo, hi = _windows(packed)
+                    for k in range(lo, hi + 1):
+                        _append(out, hashlib.blake2b(data[k : k + length], digest_size=16).digest(), doc, k)
+                    if len(out[0]) >= ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["window", "doc", "lo"])
+                        out = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["window", "doc", "lo"])
+
+    rows = stored(texts.join(by_doc, "doc").select("doc", "text", "at").mapInArrow(hashed, "window binary, doc long, lo long"), "window-hashes")
+    least = rows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
+    again = rows.join(least, "window").where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
+    return again.select("doc", "lo", F.col("lo").alias("hi"))
+
+
+def _compare_held(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(doc, lo, hi): runs of windows of undecided suffixes that equal a window of an earlier one of the same seed.
 
     Bytes of the suffixes' blocks are cut out of the texts, then sorted by seed. A seed's windows are compared by where the seed
     lies in them, too; equal windows have it at the same place.
     """
-    small_batches(texts.sparkSession)
     by_doc = undecided.groupBy("doc").agg(F.collect_set(F.struct("seed", "packed")).alias("at"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
