@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.operators.terms import held_phrases
+
 # Search terms of a concept in one query, synonyms in a query, and queries with and without concepts.
 TERMS_IN_QUERY, SYNONYMS_IN_QUERY, WITH_CONCEPTS, WITHOUT = 4, 3, 5, 3
+#: Characters of a synonym at least.
+LEAST = 3
 
 
 def load_dimension(spark, path: str, columns: str) -> DataFrame:
@@ -16,20 +20,27 @@ def load_dimension(spark, path: str, columns: str) -> DataFrame:
 
 
 def concept_matches(questions: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(question_id, concept_id, alias): concepts (concept_id, alias) of which a question (question_id, question) has an alias of one word, the
-    longest alias first. Words are joined with aliases by equality."""
-    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("alias"))
-    hits = words.join(concepts.select("concept_id", F.lower("alias").alias("alias")).distinct(), "alias")
+    """(question_id, concept_id, alias): concepts (concept_id, alias) of which a question (question_id, question) has an alias between
+    word borders, the longest alias first."""
+    found = held_phrases(questions.select("question_id", F.col("question").alias("text")), concepts.select(F.col("alias").alias("term")), "question_id")
+    hits = found.withColumnRenamed("term", "alias").join(concepts.select("concept_id", F.lower("alias").alias("alias")).distinct(), "alias")
     longest = F.struct((-F.length("alias")).alias("n"), "alias")
     return hits.groupBy("question_id", "concept_id").agg(F.min(longest)["alias"].alias("alias"))
 
 
-def synonym_terms(questions: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(question_id, terms): terms of the groups (group_id, term) that a question touches and doesn't hold itself."""
-    words = questions.select("question_id", F.lower("question").alias("q"), F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("term"))
-    lower = synonyms.select("group_id", F.lower("term").alias("term")).where(F.length("term") >= 3)
-    touched = words.join(lower, "term").select("question_id", "q", "group_id").distinct()
-    added = touched.join(lower, "group_id").where(~F.contains("q", "term"))
+def synonym_terms(questions: DataFrame, synonyms: DataFrame, within_words: bool = True) -> DataFrame:
+    """(question_id, terms): terms of the groups (group_id, term) that a question touches and doesn't hold itself. A question touches
+    a group if it holds a term anywhere, or, without ``within_words``, between word borders. Terms under three characters don't count."""
+    asked = questions.select("question_id", F.lower("question").alias("text"))
+    lower = synonyms.select("group_id", F.lower("term").alias("term")).where(F.length("term") >= LEAST)
+    if within_words:  # a text that holds a term holds its first characters
+        starts = F.transform(F.sequence(F.lit(1), F.length("text") - LEAST + 1), lambda k: F.substring("text", k, F.lit(LEAST)))
+        grams = asked.where(F.length("text") >= LEAST).select("question_id", "text", F.explode(F.array_distinct(starts)).alias("gram"))
+        held = grams.join(lower.select("term", F.substring("term", 1, LEAST).alias("gram")).distinct(), "gram").where(F.contains("text", "term"))
+    else:
+        held = held_phrases(asked, lower, "question_id")
+    touched = held.select("question_id", "term").join(lower, "term").select("question_id", "group_id").distinct().join(asked, "question_id")
+    added = touched.join(lower, "group_id").where(~F.contains("text", "term"))
     return added.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
 
 

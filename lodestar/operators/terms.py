@@ -10,12 +10,29 @@ from pyspark.sql.window import Window
 UBIQUITOUS = 0.25
 IN_QUERY, COMMON, METADATA, KEYWORD, LONG = 100, -50, 3, 10, 15
 LONG_DEFINITION = 800
+WORD_BREAK = r"(?U)\W+"
 
 
 def found_terms(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """(id, term): whole-word terms of one word that a text (id, text) holds. Words are exploded once and joined with the terms."""
-    words = texts.select(id_col, F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+"))).alias("term"))
-    return words.join(terms.select(F.lower("term").alias("term")).distinct(), "term", "left_semi").select(id_col, "term")
+    """(id, term): terms, of one word or several, that a text (id, text) holds between word borders."""
+    return held_phrases(texts, terms.select("term"), id_col)
+
+
+def held_phrases(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """(id, term) in lower case of the terms that a text (id, text) holds between word borders, whatever the case.
+
+    Each word of a term is a whole word of a text that holds it, so texts are joined with terms on the term's longest word. Terms that
+    are more than that word are then looked for in the texts of those pairs; a term without words is looked for in all texts.
+    """
+    known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+    sized = F.transform(F.split("term", WORD_BREAK), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
+    keyed = known.withColumn("word", F.array_max(sized)["w"])
+    words = texts.select(id_col, F.explode(F.array_distinct(F.array_append(F.split(F.lower("text"), WORD_BREAK), F.lit("")))).alias("word"))
+    single = words.join(keyed.where("term = word"), "word").select(id_col, "term")
+    near = words.join(keyed.where("term <> word"), "word").select(F.col(id_col).alias("_id"), "term").distinct()
+    pattern = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("term", r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
+    whole = texts.select(id_col, F.lower("text").alias("text")).join(near, F.col(id_col).eqNullSafe(F.col("_id"))).where(F.regexp_like("text", pattern))
+    return single.union(whole.select(id_col, "term").distinct())
 
 
 def sub_terms(terms: DataFrame) -> DataFrame:

@@ -501,7 +501,7 @@ def concept_match(read):
 w AS (SELECT question_id, q, unnest(regexp_split_to_array(q, '[^a-z0-9_]+')) AS term FROM q), s AS (SELECT n_regionkey AS group_id, lower(n_name) AS term FROM nation WHERE length(n_name) >= 3),
 t AS (SELECT DISTINCT question_id, q, group_id FROM w JOIN s USING (term)), a AS (SELECT DISTINCT question_id, term FROM t JOIN s USING (group_id) WHERE NOT contains(q, term)) SELECT question_id, string_agg(term, ',' ORDER BY term) AS terms FROM a GROUP BY question_id""")
 def synonym_expand(read):
-    return knowledge.synonym_terms(customer_questions(read), read("nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("term")))
+    return knowledge.synonym_terms(customer_questions(read), read("nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("term")), within_words=False)
 
 
 def customer_questions(read) -> DataFrame:

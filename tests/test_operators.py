@@ -2,12 +2,13 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import citations, dialogue, fusion, lexical, segments, terms, vectors
+from lodestar.operators import citations, dialogue, fusion, knowledge, lexical, segments, terms, vectors
 from lodestar.plans import catalog
 from lodestar.sources.store import ChunkStore, markdown_table
 from lodestar.streaming import ingest
@@ -104,6 +105,22 @@ def test_terms(spark):
     assert {(r.term, r.sub_term) for r in terms.sub_terms(t).collect()} == {("net income", "income"), ("consolidated net income", "net income"), ("consolidated net income", "income")}
 
 
+def test_phrases_of_several_words(spark):
+    texts = [(1, "A Trap Door? (IP-stripping), e.g. J.Crew"), (2, "trapdoor strap door"), (3, "net  income"), (4, "Net income."), (5, None), (6, ""), (7, "EBITDA"), (None, "the trap door")]
+    phrases = ["trap door", "IP-Stripping", "j.crew", "net income", "door", "jxcrew", "ebit", None, ""]
+    frame = spark.createDataFrame(texts, "question_id long, text string")
+    got = {(r.question_id, r.term) for r in terms.found_terms(frame, spark.createDataFrame([(p,) for p in phrases], "term string"), "question_id").collect()}
+    want = {(i, p.lower()) for i, t in texts for p in phrases if t and p and re.search(rf"\b{re.escape(p)}\b", t, re.IGNORECASE)}
+    assert got == want and {(1, "trap door"), (1, "ip-stripping"), (None, "trap door")} <= got
+    asked = frame.withColumnRenamed("text", "question")
+    concepts = spark.createDataFrame([("leak", "trap door"), ("leak", "door"), ("pay", "net income")], "concept_id string, alias string")
+    found = {(r.question_id, r.concept_id, r.alias) for r in knowledge.concept_matches(asked, concepts).collect()}
+    assert found == {(1, "leak", "trap door"), (2, "leak", "door"), (None, "leak", "trap door"), (4, "pay", "net income")}
+    synonyms = spark.createDataFrame([(1, "EBIT"), (1, "operating profit"), (2, "net income"), (2, "net profit"), (3, "ip"), (3, "patents")], "group_id int, term string")
+    assert {(r.question_id, r.terms) for r in knowledge.synonym_terms(asked, synonyms).collect()} == {(7, "operating profit"), (4, "net profit")}
+    assert {(r.question_id, r.terms) for r in knowledge.synonym_terms(asked, synonyms, within_words=False).collect()} == {(4, "net profit")}
+
+
 def test_store(spark, tmp_path):
     store = ChunkStore(spark, f"file://{tmp_path}/chunks", "m1")
     chunks = spark.createDataFrame([("c1", "t", "other", 0, [1.0], "d1"), ("c2", "t", "other", 0, [1.0], "d2")], "chunk_id string, text string, section_type string, chunk_index int, embedding array<float>, document_id string")
