@@ -6,7 +6,8 @@ each prefix of a text has one last token, and the prefixes' last tokens make a t
 
 No token is longer than the longest one in the merge list. That length is the sufficient lookahead: whatever follows, a
 token must end within the last ``lookahead`` places, so tokens that the paths from all those places share are stable.
-They are emitted and forgotten; what is kept doesn't grow with the text.
+They are emitted and forgotten; what is kept doesn't grow with the text. When the end is known, what is left is at most a few
+lookaheads long, and its one path is sought from the longest tokens on.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,8 +33,10 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Pieces of text that no pre-token crosses: a run without white space with at most one space before it, or white space.
 CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries of the memos of a task: chunks' ids, and pairs of tokens that stay apart. A full memo starts anew.
-MEMO = 1 << 20
+#: Entries of a task's memo of chunks' ids; a full one is kept until the next is full, so that what recurs stays.
+MEMO = 1 << 19
+#: Pairs of tokens whose answers a task remembers.
+PAIRS = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,9 +71,20 @@ class Merges:
                 self.pieces[data] = token
             else:
                 self.pieces.setdefault(data, -1)
+        self.longest = {"": -1}  # the longest of those tokens that starts each beginning, whose bytes are letters of Latin-1 here
+        found = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for data in sorted(self.pieces, key=len):
+            letters_ = data.decode("latin-1")
+            self.longest[letters_] = self.pieces[data] if self.pieces[data] >= 0 else self.longest.get(letters_[:-1], -1)
+            found.add_word(letters_, 0)
+        self.beginning = found.longest_prefix
+        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.shorter = {i: self.longest.get(b[:-1].decode("latin-1"), -1) for i, b in self.bytes.items()}  # the next shorter one
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.shift = max(self.bytes).bit_length()
         self._apart: dict[int, bool] = {}
         self._chunks: dict[str, bytes] = {}  # 32-bit ids
+        self._older: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: the best-ranked pair merges first, the leftmost of equals."""
@@ -84,10 +99,10 @@ class Merges:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are side by side."""
-        pair = left << 17 | right
+        pair = left << self.shift | right
         known = self._apart.get(pair)
         if known is None:
-            if len(self._apart) >= MEMO:
+            if len(self._apart) >= PAIRS:
                 self._apart.clear()
             known = self._apart[pair] = self._stay(left, right)
         return known
@@ -165,38 +180,65 @@ class Transducer:
         return self._emit(paths[0][:shared])
 
     def finish(self) -> list[int]:
-        self._advance(len(self.data))
-        return self._path(len(self.data))
+        """Tokens of what is left, now that its end is known: the longest token that stays apart from the one before it first, and
+        shorter ones, or a step back, where no way leads on. A place that led nowhere isn't tried again."""
+        m, data, before, start, out, dead = self.m, self.data.decode("latin-1"), self.before, 0, [], set()
+        size, shorter, longest, beginning, shift, known, n = m.size, m.shorter, m.longest, m.beginning, m.shift, m._apart, len(self.data)
+        token = longest[data[: beginning(data)]] if data else -1
+        while start < n:
+            while token >= 0:
+                end = start + size[token]
+                if end not in dead:
+                    fine = before is None or known.get(before << shift | token)
+                    if fine or fine is None and m.apart(before, token):
+                        break
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                before, start = token, end
+                rest = data[end:]
+                token = longest[rest[: beginning(rest)]]
+            else:
+                dead.add(start)
+                last = out.pop()
+                before, start, token = out[-1] if out else self.before, start - size[last], shorter[last]
+        return out
 
 
 def encode_pre_token(merges: Merges, data: bytes) -> list[int]:
-    """Tokens of one pre-token, fed in steps of twice the lookahead."""
-    if len(data) == 1:
-        return [merges.ids[data]]
+    """Tokens of one pre-token, fed in steps of twice the lookahead; one that is a token by itself needs no search."""
+    whole = merges.pieces.get(data, -1)
+    if whole >= 0:
+        return [whole]
     t, out, step = Transducer(merges), [], 2 * merges.lookahead
+    if len(data) <= step:
+        t.data = data
+        return t.finish()
     for k in range(0, len(data), step):
         out += t.feed(data[k : k + step])
     return out + t.finish()
 
 
 def encode_chunk(merges: Merges, chunk: str) -> bytes:
-    memo, out = merges._chunks, []
-    for piece in PRE_TOKEN.findall(chunk):
-        ids = memo.get(piece)
-        if ids is None:
-            ids = array("i", encode_pre_token(merges, piece.encode("utf-8"))).tobytes()
-            _keep(memo, piece, ids)
-        out.append(ids)
-    ids = b"".join(out)
-    _keep(memo, chunk, ids)
+    ids = merges._older.get(chunk)
+    if ids is None:
+        memo, older, out = merges._chunks, merges._older, []
+        for piece in PRE_TOKEN.findall(chunk):
+            ids = memo.get(piece) or older.get(piece)
+            if ids is None:
+                ids = array("i", encode_pre_token(merges, piece.encode("utf-8"))).tobytes()
+                _keep(merges, piece, ids)
+            out.append(ids)
+        ids = b"".join(out)
+    _keep(merges, chunk, ids)
     return ids
 
 
-def _keep(memo: dict[str, bytes], text: str, ids: bytes) -> None:
+def _keep(merges: Merges, text: str, ids: bytes) -> None:
     if len(text) <= 64:
-        if len(memo) >= MEMO:
-            memo.clear()
-        memo[text] = ids
+        if len(merges._chunks) >= MEMO:
+            merges._older, merges._chunks = merges._chunks, {}
+        merges._chunks[text] = ids
 
 
 def encode_text(merges: Merges, text: str) -> np.ndarray:
@@ -222,7 +264,7 @@ def decode_ids(merges: Merges, ids: Iterable[int], block: int = 4096) -> str:
     Bytes that are no UTF-8 become U+FFFD, one for each maximal wrong part; unknown ids are left out.
     """
     machine, table = codecs.getincrementaldecoder("utf-8")("replace"), merges.bytes
-    ids = list(ids)
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
     out = [machine.decode(b"".join([table.get(i, b"") for i in ids[k : k + block]])) for k in range(0, len(ids), block)]
     return "".join(out) + machine.decode(b"", True)
 
@@ -235,7 +277,8 @@ def load(path: str) -> Merges:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row. A null or empty text has no ids; repeated rows and null ids keep their own row;
-    a text of any length is encoded whole. ``path`` is a tokenizer file that all executors have."""
+    a text of any length is encoded whole; other columns are left out whatever their names; an empty table gives an empty result.
+    ``path`` is a tokenizer file that all executors have."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -248,8 +291,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return source.mapInArrow(run, StructType([StructField(id_col, source.schema["id"].dataType), StructField("ids", ArrayType(IntegerType()))]))
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): ``encode`` and ``decode`` of each row in one pass, without ids leaving the task between them. Null and empty
+    texts have no ids and an empty text; repeated rows and null ids keep their own row; other columns are left out whatever
+    their names; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = load(path)
+        for batch in batches:
+            ids = [encode_text(merges, t.as_py()) for t in batch.column(1)]
+            texts = [decode_ids(merges, x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(ids, pa.int32()), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
+
+    return source.mapInArrow(run, StructType([StructField(id_col, source.schema["id"].dataType), StructField("ids", ArrayType(IntegerType())), StructField("text", StringType())]))
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, text) of each row; null ids give an empty text."""
+    """(id, ids, text) of each row; null or no ids give an empty text; repeated rows and null ids of rows keep their own row; other
+    columns are left out whatever their names; an empty table gives an empty result."""
     small_batches(encoded.sparkSession)
     source = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 

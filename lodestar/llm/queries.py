@@ -41,7 +41,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or tokenizer_file("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    both = bpe.round_trip(documents(spark, sf_dir), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
