@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
+from lodestar.llm.common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,14 +13,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Points without links to others, and links that hold a null, have no row. The smallest neighbour of each point comes
     from a combining aggregation, so a point with very many links costs one row per task there; the joins that follow
-    are plain equi-joins, whose large partitions Spark splits. Each round is written to the shared folder. Rounds grow
-    with the logarithm of the number of points.
+    are plain equi-joins, whose large partitions Spark splits. Each round is written to the shared folder, and the
+    one before deleted. Rounds grow with the logarithm of the number of points.
     """
     links = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("hi <> lo").distinct()
     links = stored(links, "links")
     mark = _mark(links)
     while mark[0]:
-        links = stored(_small_star(_large_star(links)), "links")
+        former, links = links, stored(_small_star(_large_star(links)), "links")
+        discard(former)
         before, mark = mark, _mark(links)
         if mark == before:
             break
