@@ -21,12 +21,11 @@ from lodestar.llm.common import doc_hash, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: The training sample's bound: documents of a language on average, and words taken from each at a place set by its hash.
-SAMPLE_DOCUMENTS, SAMPLE_WORDS = 800, 120
-#: Languages that can be learned: those of most documents.
-MAX_LANGUAGES = 200
-#: Words of a language in the lexicon; features are hashed into as many weights.
-LEXICON, FEATURES = 5000, 1 << 18
+#: The training sample's bound: documents of a language on average, and of all languages together, which share them evenly but get
+#: LEAST_DOCUMENTS each; words taken from each document at a place set by its hash.
+SAMPLE_DOCUMENTS, SAMPLE_ALL, LEAST_DOCUMENTS, SAMPLE_WORDS = 800, 160_000, 20, 120
+#: Features are hashed into as many weights.
+FEATURES = 1 << 18
 #: Lengths of code-switched training sequences and of the stretches of one language they are made of.
 SEQUENCE, MIN_STRETCH, MAX_STRETCH = 40, 4, 20
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.5, 1e-5
@@ -140,8 +139,10 @@ def fit(samples: list[tuple[int, list[str]]], languages: list[str], lexicon: dic
             gradient[np.arange(len(truth)), truth] += 1
             rate = RATE / (1 + epoch)
             step = np.repeat(gradient * (scale * rate / 4)[:, None], size, axis=0)
-            for one in range(k):
-                weights[:, one] += np.bincount(flat, step[:, one], FEATURES)
+            order = np.argsort(flat, kind="stable")
+            own = flat[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            weights[own[first]] += np.add.reduceat(step[order], first)
             seen = np.bincount((labels[:, :-1] * k + labels[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
             move += rate * k * ((seen - pairs) / (BATCH * SEQUENCE) - DECAY * move)
     return Model(languages, weights.astype(np.float32), move, lexicon)
@@ -160,29 +161,31 @@ def expected(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray
         x = (back[:, t + 1] * e[:, t + 1]) @ move.T
         back[:, t] = x / x.sum(axis=1, keepdims=True)
     p = forward * back
-    joint = forward[:, :-1, :, None] * move * (e * back)[:, 1:, None, :]
-    joint /= joint.sum(axis=(2, 3), keepdims=True)
-    return p / p.sum(axis=2, keepdims=True), joint.sum(axis=(0, 1))
+    before, after = forward[:, :-1].reshape(-1, k), (e * back)[:, 1:].reshape(-1, k)
+    mass = ((before @ move) * after).sum(axis=1, keepdims=True)
+    return p / p.sum(axis=2, keepdims=True), move * (before.T @ (after / mass))
 
 
 def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from documents with a language, and where ``usable`` holds.
 
-    The lexicon counts the words of a bounded sample, as the weights do: about SAMPLE_DOCUMENTS documents of each language, chosen by a
-    hash of the id, and SAMPLE_WORDS words of each. The driver gets that sample and one count for each language, no more.
-    Without any usable document the model knows no language.
+    The lexicon has the words that come twice in a bounded sample, from which the weights come, too: about SAMPLE_DOCUMENTS documents of
+    each language, fewer if there are so many languages that all would have over SAMPLE_ALL, chosen by a hash of id and text, and
+    SAMPLE_WORDS words of each. Every language is learned. The driver gets that sample and one count for each language, no
+    more. Repeated rows come into the sample together. Without any usable document the model knows no language.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known if usable is None else known.where(usable)
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), {})
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCUMENTS / r["n"])))])
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.where(drawn < share[F.col("lang")])
+    wanted = min(SAMPLE_DOCUMENTS, max(LEAST_DOCUMENTS, SAMPLE_ALL // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, wanted / r["n"])) for r in counts], "lang string, share double")
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text", F.lit("sample")), F.lit(1 << 40)) / (1 << 40)
+    chosen = known.withColumn("drawn", drawn).join(F.broadcast(shares), "lang").where("drawn < share").select("text", "lang")
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,11 +197,12 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
             yield pd.DataFrame({"lang": batch["lang"], "words": words})
 
     rows = sorted((r["lang"], r["words"]) for r in chosen.mapInPandas(cut, "lang string, words array<string>").collect())
-    samples = [(languages.index(lang), list(words)) for lang, words in rows]
+    number = {lang: k for k, lang in enumerate(languages)}
+    samples = [(number[lang], list(words)) for lang, words in rows]
     lexicon: set[str] = set()
     for one in range(len(languages)):
         own = pd.Series([w for lang, words in samples if lang == one for w in words], dtype=object).value_counts()
-        lexicon.update(own[own > 1].index[:LEXICON])
+        lexicon.update(own[own > 1].index)
     return fit(samples, languages, lexicon_of(lexicon))
 
 
