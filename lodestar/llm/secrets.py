@@ -17,13 +17,16 @@ VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
-#: A run of these that is long enough may be a secret by the models; shorter ones teach what is ordinary.
+#: A run of these that is long enough may hold a secret by the models; shorter ones teach what is ordinary.
 RUN, ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Parts of a run; names that are random but no secrets; what a part of a secret has to look like: letters with a digit among them.
+PART, UUID = re.compile(r"[A-Za-z0-9]+"), re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+MIXED = re.compile(r"(?=[A-Za-z]*[0-9])(?=(?:[0-9]*[A-Za-z]){3})[A-Za-z0-9]{10,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 EDGE = len(ALPHABET)
 STATES = EDGE + 1
-#: A run is a secret if its log-likelihood ratio, and the ratio per character, reach these.
-MIN_RATIO, MIN_RATIO_PER_CHAR = 12.0, 0.5
+#: A stretch of a run is a secret if it is this long and its log-likelihood ratio, and the ratio per character, reach these.
+LEAST, MIN_RATIO, MIN_RATIO_PER_CHAR = 16, 12.0, 0.5
 #: Counts that single characters weigh in each row of a model.
 PRIOR = 20
 _CODE = np.full(256, EDGE, np.int64)
@@ -39,14 +42,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def _free(text: str, pattern: re.Pattern, spans: list) -> Iterator[re.Match]:
-    """Matches that overlap no span; spans are sorted by start and may overlap each other."""
-    k, reach = 0, -1
-    for m in pattern.finditer(text):
-        while k < len(spans) and spans[k][0] < m.end():
-            reach = max(reach, spans[k][2])
-            k += 1
-        if m.start() >= reach:
-            yield m
+    """Matches of ``pattern`` in the parts of the text that lie outside the spans; spans are sorted by start and may overlap."""
+    at = 0
+    for start, _, end, _ in spans:
+        if start > at:
+            yield from pattern.finditer(text, at, start)
+        at = max(at, end)
+    yield from pattern.finditer(text, at)
 
 
 def transitions(strings: Iterable[str]) -> np.ndarray:
@@ -59,8 +61,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
     """Log-likelihood ratios [before, after] of the two models, from counts over all documents.
 
     Samples are labelled by the fixed patterns: values they find are random strings, other runs of 8 characters or more are
-    ordinary identifiers. Tasks count pairs of characters, Spark adds them up; at most 2 x 68 x 68 rows come to the driver.
-    Without any sample the ratio is 0 everywhere.
+    ordinary identifiers, as they stand, in capitals and with a capital, so that constants and names in any writing are ordinary.
+    Tasks count pairs of characters, Spark adds them up; at most 2 x 68 x 68 rows come to the driver. Without any sample the
+    ratio is 0 everywhere.
     """
     small_batches(docs.sparkSession)
 
@@ -73,7 +76,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np
                 spans = base_spans(text)
                 random += [text[v:end] for _, _, end, v in spans]
                 ordinary += [m[0] for m in _free(text, ORDINARY, spans)]
-            total[0] += transitions(ordinary)
+            parts = [x for run in ordinary for x in PART.findall(run)]
+            for written in (ordinary, map(str.upper, parts), map(str.title, parts)):
+                total[0] += transitions(written)
             total[1] += transitions(random)
         kind, pair = np.nonzero(total)
         yield pd.DataFrame({"kind": kind, "pair": pair, "n": total[kind, pair]})
@@ -99,13 +104,35 @@ def ratio(run: str, model: np.ndarray) -> float:
     return float(model[codes[:-1], codes[1:]].sum())
 
 
+def stretches(run: str, model: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of the parts of a run, one after another, whose summed ratios are largest: a key after an ordinary part, or
+    between two, is scored by itself. A sum that falls below 0 starts anew; what stands in a UUID counts as ordinary."""
+    named = [m.span() for m in UUID.finditer(run)]
+    total, best, open_ = 0.0, None, None
+    for m in PART.finditer(run):
+        x = -MIN_RATIO if any(a <= m.start() < b for a, b in named) else ratio(m[0], model)
+        if total + x <= 0:
+            if best:
+                yield best
+            total, best, open_ = 0.0, None, None
+            continue
+        open_ = m.start() if open_ is None else open_
+        total += x
+        if best is None or total > best[2]:
+            best = (open_, m.end(), total)
+    if best:
+        yield best
+
+
 def find(text: str, model: np.ndarray) -> tuple[list[tuple[str, int, int, float]]]:
     """All spans as (kind, start, end, score); a fixed pattern's score is null."""
     base = base_spans(text)
     spans = [(s, k, e, None) for s, k, e, _ in base]
     for m in _free(text, RUN, base):
-        if (x := ratio(m[0], model)) >= max(MIN_RATIO, MIN_RATIO_PER_CHAR * len(m[0])):
-            spans.append((m.start(), 3, m.end(), x))
+        if MIXED.search(m[0]):
+            for start, end, x in stretches(m[0], model):
+                if end - start >= LEAST and x >= max(MIN_RATIO, MIN_RATIO_PER_CHAR * (end - start)) and MIXED.search(m[0], start, end):
+                    spans.append((m.start() + start, 3, m.start() + end, x))
     return ([(KINDS[k], s, e, x) for s, k, e, x in sorted(spans, key=lambda x: x[:2])],)
 
 
