@@ -14,9 +14,22 @@ from lodestar.llm.common import map_texts, small_batches
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
 TERMINAL = tuple(".!?…:;\"'»”’)]")
-NAVIGATION = re.compile(r"(?i)^(?:home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|previous|back to top|read more|share|subscribe|skip to content|site map|sitemap|faq|help)$")
+#: Lines that are links, and stock phrases, in English, French, Spanish and German; other languages keep the rules without words.
+NAVIGATION_WORDS = (
+    r"home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|previous|back to top|read more|share|subscribe|skip to content|site map|sitemap|faq|help|"  # en
+    r"accueil|connexion|se connecter|s'inscrire|inscription|recherche|rechercher|contactez-nous|à propos|suivant|précédent|retour en haut|haut de page|lire la suite|partager|s'abonner|plan du site|aide|"  # fr
+    r"inicio|menú|iniciar sesión|registrarse|buscar|contacto|acerca de|siguiente|anterior|volver arriba|leer más|compartir|suscribirse|mapa del sitio|ayuda|"  # es
+    r"startseite|menü|anmelden|registrieren|suche|suchen|kontakt|über uns|weiter|zurück|nach oben|mehr lesen|weiterlesen|teilen|abonnieren|inhaltsverzeichnis|hilfe|impressum"  # de
+)
+NAVIGATION = re.compile(rf"(?i)^(?:{NAVIGATION_WORDS})$")
 SEPARATORS = frozenset(("|", "»", "›", ">", "·", "•", "::", "/"))
-BOILERPLATE = re.compile(r"(?i)all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|click here|copyright [0-9]{4}|subscribe to our newsletter")
+BOILERPLATE_WORDS = (
+    r"all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|click here|copyright [0-9]{4}|subscribe to our newsletter|"  # en
+    r"tous droits réservés|politique de confidentialité|conditions d'utilisation|utilise des cookies|accepter (?:tous )?les cookies|cliquez ici|mentions légales|"  # fr
+    r"todos los derechos reservados|política de privacidad|términos (?:de uso|y condiciones)|utiliza cookies|aceptar (?:todas )?las cookies|haga clic aquí|aviso legal|"  # es
+    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies|(?:alle )?cookies akzeptieren|hier klicken|newsletter abonnieren"  # de
+)
+BOILERPLATE = re.compile(f"(?i){BOILERPLATE_WORDS}")
 #: Words a line without a closing mark must have at least; share of letters in a line; separators that make a menu.
 MIN_UNCLOSED_WORDS, MIN_LETTERS, MENU_SEPARATORS = 4, 0.5, 3
 #: A document is rejected when it loses more than this share of its word characters.

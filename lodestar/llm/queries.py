@@ -148,9 +148,9 @@ judged AS (
     SELECT doc_id, i, line, words, length(array_to_string(words, '')) AS chars,
         2 * length(regexp_replace(bare, '[^\p{L}]', '', 'g')) < length(array_to_string(words, ''))
         OR (len(words) < 4 AND NOT regexp_matches(bare, '[.!?…:;"''»”’)\]]$'))
-        OR regexp_full_match(bare, '(?i)(?:home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|previous|back to top|read more|share|subscribe|skip to content|site map|sitemap|faq|help)')
+        OR regexp_full_match(bare, '(?i)(?:home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|previous|back to top|read more|share|subscribe|skip to content|site map|sitemap|faq|help|accueil|connexion|se connecter|s''inscrire|inscription|recherche|rechercher|contactez-nous|à propos|suivant|précédent|retour en haut|haut de page|lire la suite|partager|s''abonner|plan du site|aide|inicio|menú|iniciar sesión|registrarse|buscar|contacto|acerca de|siguiente|anterior|volver arriba|leer más|compartir|suscribirse|mapa del sitio|ayuda|startseite|menü|anmelden|registrieren|suche|suchen|kontakt|über uns|weiter|zurück|nach oben|mehr lesen|weiterlesen|teilen|abonnieren|inhaltsverzeichnis|hilfe|impressum)')
         OR len(list_filter(words, lambda w: w IN ('|', '»', '›', '>', '·', '•', '::', '/'))) >= 3
-        OR regexp_matches(bare, '(?i)all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|click here|copyright [0-9]{4}|subscribe to our newsletter') AS fails,
+        OR regexp_matches(bare, '(?i)all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|uses cookies|accept (?:all )?cookies|enable javascript|lorem ipsum|click here|copyright [0-9]{4}|subscribe to our newsletter|tous droits réservés|politique de confidentialité|conditions d''utilisation|utilise des cookies|accepter (?:tous )?les cookies|cliquez ici|mentions légales|todos los derechos reservados|política de privacidad|términos (?:de uso|y condiciones)|utiliza cookies|aceptar (?:todas )?las cookies|haga clic aquí|aviso legal|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies|(?:alle )?cookies akzeptieren|hier klicken|newsletter abonnieren') AS fails,
         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
     FROM own WHERE len(words) > 0),
 by_line AS (
