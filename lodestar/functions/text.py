@@ -1,11 +1,15 @@
-"""Text functions as column expressions: all stay in the JVM."""
+"""Text functions as column expressions; all but fix_encoding stay in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 # Marks, words, patterns and limits that results depend on.
 WHITE = " \t\n\r\f\v"
@@ -52,16 +56,18 @@ def normalize_whitespace(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-#: Accented letters of the Latin-1 range and their plain forms; what has no decomposition is dropped as other non-ASCII is.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
 def fix_encoding(c: Column) -> Column:
-    """ASCII text: Latin-1 letters lose their accents, typographic marks become plain ones, the rest goes."""
+    """ASCII text: characters are taken apart by compatibility (NFKD), typographic marks become plain ones, the rest goes. Spark has
+    no such function, so texts pass Python in Arrow batches."""
+    c = _decomposed(c)
     for mark, plain in ASCII_FORMS.items():
         c = F.replace(c, F.lit(mark), F.lit(plain))
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
 
 
 def clean_extracted_text(c: Column) -> Column:
@@ -147,9 +153,9 @@ def overlap_words(query: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(*OVERLAP_STOP_WORDS)), F.lower))
 
 
-def terms_overlap(query: Column, text: Column, at_least: int = 1) -> Column:
-    """Whether the text holds enough of the query's words; true if the query has none that count."""
-    words, lower = overlap_words(query), F.lower(text)
+def terms_overlap(query: Column, text: Column, at_least: int = 1, widen=lambda words: words) -> Column:
+    """Whether the text holds enough of the query's words, or of what ``widen`` makes of them; true if the query has none that count."""
+    words, lower = widen(overlap_words(query)), F.lower(text)
     return (F.size(words) == 0) | (F.size(F.filter(words, lambda w: F.contains(lower, w))) >= at_least)
 
 
@@ -170,14 +176,24 @@ def parse_page_numbers(c: Column) -> Column:
 
 
 def format_page_numbers(pages: Column) -> Column:
-    """Distinct numbers in order, runs as 'first-last'."""
-    own = F.array_sort(F.array_distinct(pages))
-    starts = F.filter(own, lambda p: ~F.array_contains(own, p - 1))
-    ends = F.filter(own, lambda p: ~F.array_contains(own, p + 1))
+    """Distinct numbers in order, runs as 'first-last'. The sorted array is bound once, so each step looks at two neighbours only."""
+    own = F.array(F.array_sort(F.array_distinct(pages)))
+    edge = lambda p, next_, by: next_.isNull() | (next_ != p + by)
+    starts = F.get(F.transform(own, lambda o: F.filter(o, lambda p, i: edge(p, F.get(o, i - 1), -1))), F.lit(0))
+    ends = F.get(F.transform(own, lambda o: F.filter(o, lambda p, i: edge(p, F.get(o, i + 1), 1))), F.lit(0))
     text = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b)))
     return F.array_join(text, ", ")
 
 
+def page_runs(rows: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, pages) of rows (key, page): ``format_page_numbers`` for keys of very many pages. Runs come from a window, each a row."""
+    one = rows.select(key, page).distinct()
+    run = F.col(page) - F.row_number().over(Window.partitionBy(key).orderBy(page))
+    runs = one.withColumn("_run", run).groupBy(key, "_run").agg(F.min(page).alias("a"), F.max(page).alias("b"))
+    text = lambda x: F.when(x["a"] == x["b"], x["a"].cast("string")).otherwise(F.concat_ws("-", x["a"], x["b"]))
+    return runs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b"))), text), ", ").alias("pages"))
+
+
 def snippet(text: Column, chars: int = SNIPPET_CHARS) -> Column:
     head = strip(F.replace(F.substring(text, 1, chars), F.lit("\n"), F.lit(" ")))
     return F.when(F.length(text) > chars, F.concat(head, F.lit("..."))).otherwise(head)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import CITATION, MARKER, format_page_numbers, parse_page_numbers
+from lodestar.functions.answers import KEYWORD_CHARS, NEARBY_SECTION, SECTION_CHARS, keywords, marker_windows, renumbered, section_candidates
+from lodestar.functions.text import CITATION, MARKER, format_page_numbers, parse_page_numbers, snippet, targeted_snippet
 
 
 def markers(answers: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -39,3 +40,63 @@ def with_parents(sections: DataFrame, id_col: str = "section_id") -> DataFrame:
     n = F.size(F.regexp_extract_all(id_col, F.lit(r"\([A-Za-z0-9]+\)"), 0))
     cut = F.transform(F.sequence(F.lit(0), n), lambda d: F.regexp_replace(F.col(id_col), F.concat(F.lit(r"(\([A-Za-z0-9]+\)){"), d, F.lit("}$")), F.lit("")))
     return sections.select("*", F.posexplode(cut).alias("depth", "candidate"))
+
+
+def numbered_rows(answers: DataFrame, made, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, pos, ...): the array of structs that ``made(text)`` gives, a row each."""
+    return answers.select(id_col, F.posexplode(made(F.col(text_col))).alias("pos", "_c")).select(id_col, "pos", "_c.*")
+
+
+def rewritten(answers: DataFrame, sources: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, body, numbers): answers whose markers [n] are numbered anew by first appearance among their sources (id, number)."""
+    counted = sources.groupBy(id_col).agg(F.max("number").alias("_n"))
+    made = renumbered(F.col(text_col), F.coalesce("_n", F.lit(0)))
+    return answers.join(counted, id_col, "left").select(id_col, made.alias("_r")).select(id_col, "_r.body", "_r.numbers")
+
+
+def _with_section(rows: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (id, section_id) with ``match``: the nearest of the section and those it stands in that ``known`` (id, match) has."""
+    each = rows.select(id_col, "section_id").distinct().select(id_col, "section_id", F.posexplode(section_candidates(F.col("section_id"))).alias("depth", "match"))
+    nearest = each.join(known.select(id_col, "match").distinct(), [id_col, "match"]).groupBy(id_col, "section_id").agg(F.min_by("match", "depth").alias("match"))
+    return rows.join(nearest, [id_col, "section_id"], "left")
+
+
+def enriched(cited: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
+    """(id, pos, section_id, section_title, pages, snippet): citations (id, pos, section_id, pages) with the best chunk (id, pos, section_id,
+    section_title, pages, score, text) of their section or of the nearest one it stands in. Citations of one section become
+    one with all pages; the first of them takes its chunk's pages if it has none."""
+    best = chunks.groupBy(id_col, F.col("section_id").alias("match")).agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "section_title", "pages", "text")).alias("hit"))
+    held = _with_section(cited, best, id_col).join(best, [id_col, "match"], "left")
+    own = F.col("first.pages")
+    one = held.groupBy(id_col, "section_id").agg(F.min(F.struct("pos", "pages")).alias("first"), F.flatten(F.collect_list("pages")).alias("all"), F.first("hit").alias("hit"))
+    pages = F.when(F.size(own) > 0, F.col("all")).otherwise(F.concat(F.coalesce("hit.pages", F.array().cast("array<int>")), "all"))
+    return one.select(id_col, F.col("first.pos").alias("pos"), "section_id", F.coalesce("hit.section_title", F.lit("")).alias("section_title"), F.array_sort(F.array_distinct(pages)).alias("pages"), F.coalesce(snippet(F.col("hit.text")), F.lit("")).alias("snippet"))
+
+
+def enriched_inline(cited: DataFrame, chunks: DataFrame, bodies: DataFrame, id_col: str) -> DataFrame:
+    """(id, number, section_id, section_title, pages, snippet): references (id, number, section_id, pages, quote) with the chunk of their
+    section that holds most of the words near the marker in the body (id, body), the first of equals; where none holds any, the
+    best by score. The snippet is the quote, or the chunk around the earliest of the words."""
+    near = bodies.select(id_col, F.posexplode(marker_windows(F.col("body"), KEYWORD_CHARS)).alias("at", "w")).select(id_col, "at", F.col("w.number").alias("number"), keywords(F.col("w.window")).alias("words"))
+    near = near.where(F.size("words") > 0).groupBy(id_col, "number").agg(F.max_by("words", "at").alias("words"))
+    by_section = chunks.select(id_col, F.col("section_id").alias("match"), F.col("pos").alias("at"), "section_title", F.col("pages").alias("own"), "score", F.col("text"))
+    held = _with_section(cited, by_section, id_col).join(near, [id_col, "number"], "left").join(by_section, [id_col, "match"], "left")
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.lower("text"), F.lower(w))))
+    best = held.withColumn("words", words).groupBy(id_col, "number", "section_id", "pages", "quote", "words").agg(F.min(F.struct((-hits).alias("h"), F.when(hits > 0, F.lit(0.0)).otherwise(-F.col("score")).alias("s"), "at", "section_title", "own", "text")).alias("hit"))
+    found = F.col("hit.text").isNotNull()
+    text = F.when(~found | (F.col("quote") != ""), F.col("quote")).otherwise(targeted_snippet(F.col("hit.text"), F.col("words")))
+    return best.select(id_col, "number", "section_id", F.when(found, F.col("hit.section_title")).otherwise("").alias("section_title"), F.when((F.size("pages") > 0) | ~found, F.col("pages")).otherwise(F.col("hit.own")).alias("pages"), text.alias("snippet"))
+
+
+def from_sources(bodies: DataFrame, sources: DataFrame, id_col: str) -> DataFrame:
+    """(id, number, section_id): markers of bodies (id, body), each number once, tied to the source (id, pos, section_id) of the last
+    section named shortly before it, or of one that section stands in; else to the source of the marker's own place."""
+    near = bodies.select(id_col, F.posexplode(marker_windows(F.col("body"), SECTION_CHARS)).alias("at", "w"))
+    first = near.groupBy(id_col, F.col("w.number").alias("number")).agg(F.min_by("w.window", "at").alias("window"))
+    named = first.select(id_col, "number", F.try_element_at(F.regexp_extract_all("window", F.lit(NEARBY_SECTION), 1), F.lit(-1)).alias("section_id"))
+    ids = sources.groupBy(id_col, F.col("section_id").alias("match")).agg(F.min("pos").alias("pos"))
+    tied = _with_section(named.where(F.col("section_id").isNotNull()), ids, id_col).select(id_col, "number", "match")
+    place = sources.select(id_col, (F.col("pos") + 1).alias("number"), F.col("section_id").alias("placed"))
+    out = named.select(id_col, "number").join(tied, [id_col, "number"], "left").join(place, [id_col, "number"], "left")
+    return out.select(id_col, "number", F.coalesce("match", "placed").alias("section_id")).where("section_id IS NOT NULL")

@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import gate_terms
+from lodestar.functions.answers import with_synonyms
+from lodestar.functions.text import gate_terms, terms_overlap
+from lodestar.operators.lexical import EXACT
+from lodestar.operators.segments import SIBLING_TOKENS, within_budget
 
 # The rank constant, score limits and the gate's thresholds.
 RRF_K, MIN_SCORE, FLOOR_ROWS = 50, 0.15, 3
 GATE_TOP, GATE_MEAN, GATE_OVERLAP = 0.35, 0.25, 0.3
+#: A sibling's share of the score of the hit it stands beside.
+SIBLING_SHARE = 0.9
 
 
 def reciprocal_ranks(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, source, pos): sums of 1 / (RRF_K + rank) over both lists (query_id, doc_id, rank from 1)."""
     both = vector.select("query_id", "doc_id", "rank", F.lit("vector").alias("source")).union(lexical.select("query_id", "doc_id", "rank", F.lit("bm25")))
-    merged = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 8).alias("score"), F.when(F.count(F.lit(1)) > 1, "both").otherwise(F.min("source")).alias("source"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return merged.withColumn("pos", place).where(F.col("pos") <= k)
+    merged = both.groupBy("query_id", "doc_id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), F.when(F.count(F.lit(1)) > 1, "both").otherwise(F.min("source")).alias("source"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", EXACT)), "doc_id"))
+    return merged.withColumn("pos", place).where(F.col("pos") <= k).withColumn("score", F.round("score", 8))
 
 
 def round_robin(lists: DataFrame, k: int) -> DataFrame:
@@ -66,18 +71,21 @@ def merge_results(existing: DataFrame, new: DataFrame, k: int) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("at.turn", "at.pos"))).where(F.col("pos") <= k).select("query_id", "doc_id", "pos")
 
 
-def insert_within(hits: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def insert_within(hits: DataFrame, candidates: DataFrame, k: int, definitions: bool = False) -> DataFrame:
     """(query_id, pos, doc_id, section, score, definition): candidates (query_id, pos, doc_id, section, score) put into hits of at most k
     rows, in order: appended while there is room, else in place of the weakest row that is no definition and of another section, if
-    that isn't stronger. A query's rows are folded together; there are k and a few more."""
+    that isn't stronger. Candidates that are ``definitions`` replace the weakest row that is none, whatever its section and
+    score. A query's rows are folded together; there are k and a few more."""
     row = ("doc_id", "section", "score", "definition")
     ordered = lambda frame, name: frame.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", *row))).alias(name))
-    both = ordered(hits, "held").join(ordered(candidates.withColumn("definition", F.lit(False)), "new"), "query_id", "left")
+    both = ordered(hits, "held").join(ordered(candidates.withColumn("definition", F.lit(definitions)), "new"), "query_id", "left")
 
     def put(held, x):
-        open_to = F.filter(F.transform(held, lambda h, i: F.struct(h["score"].alias("score"), i.alias("i"), (h["definition"] | (h["section"] == x["section"])).alias("kept"))), lambda h: ~h["kept"])
+        kept = lambda h: h["definition"] if definitions else h["definition"] | (h["section"] == x["section"])
+        open_to = F.filter(F.transform(held, lambda h, i: F.struct(h["score"].alias("score"), i.alias("i"), kept(h).alias("kept"))), lambda h: ~h["kept"])
         weakest = F.array_min(open_to)
-        swapped = F.transform(held, lambda h, i: F.when((i == weakest["i"]) & (x["score"] >= weakest["score"]), x).otherwise(h))
+        swaps = lambda i: (i == weakest["i"]) & (F.lit(definitions) | (x["score"] >= weakest["score"]))
+        swapped = F.transform(held, lambda h, i: F.when(swaps(i), x).otherwise(h))
         return F.when(F.size(held) < k, F.array_append(held, x)).when(weakest.isNull(), held).otherwise(swapped)
 
     made = F.when(F.col("new").isNull(), F.col("held")).otherwise(F.aggregate("new", F.col("held"), put))
@@ -87,3 +95,20 @@ def insert_within(hits: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 def document_order(hits: DataFrame) -> DataFrame:
     """``place`` of hits (query_id, article, section_id, chunk_index) in the order of their document; section ids compare as text."""
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("article", "section_id", "chunk_index")))
+
+
+def siblings(hits: DataFrame, chunks: DataFrame, queries: DataFrame, share: float = SIBLING_SHARE) -> DataFrame:
+    """(query_id, pos, doc_id, section, score): chunks of the hits' sections that aren't among the hits and share a word with the query.
+
+    ``hits`` (query_id, pos, doc_id, section, score, definition), ``chunks`` (doc_id, section, chunk_index, n_tokens, text), ``queries``
+    (query_id, query). A section is expanded by its first hit that is no definition, in the order of its chunks, up to
+    SIBLING_TOKENS words; a chunk that doesn't fit is passed over. Siblings have ``share`` of that hit's score.
+    """
+    first = hits.where("NOT definition").groupBy("query_id", "section").agg(F.min(F.struct("pos", "score")).alias("by"))
+    near = first.join(chunks, "section").join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").join(queries, "query_id")
+    near = near.where(terms_overlap(F.col("query"), F.col("text"), 1, with_synonyms))
+    items = F.array_sort(F.collect_list(F.struct("chunk_index", "doc_id", F.col("n_tokens").alias("n"))))
+    kept = near.groupBy("query_id", "section", "by").agg(within_budget(F.transform(items, lambda x: F.struct(x["doc_id"].alias("key"), x["n"].alias("n"))), SIBLING_TOKENS).alias("taken"))
+    each = kept.select("query_id", "section", "by", F.posexplode("taken").alias("i", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("by.pos", "i"))
+    return each.select("query_id", place.alias("pos"), "doc_id", "section", (F.col("by.score") * share).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,11 +10,36 @@ from lodestar.functions.text import tokenize
 
 # Saturation, length weight and the floor of a match.
 K1, B, DELTA = 1.2, 0.5, 1.0
+#: Digits to which scores are compared.
+EXACT = 11
+
+
+class Index:
+    """Postings (id, token, tf, dl) and one row of statistics (n_docs, avgdl) of a corpus."""
+
+    def __init__(self, postings: DataFrame, stats: DataFrame, id_col: str):
+        self.postings, self.stats, self.id_col = postings, stats, id_col
+
+    def write(self, path: str) -> Index:
+        """The index as stored tables: later questions read postings and tokenise nothing. Replaces what is there."""
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        return read_index(self.postings.sparkSession, path, self.id_col)
+
+
+def read_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.schema("n_docs long, avgdl double").parquet(f"{path}/stats"), id_col)
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Each text is tokenised once for postings; frequencies are counted inside the task before the shuffle."""
+    cut = docs.select(id_col, tokenize(F.col(text_col)).alias("_tokens")).select(id_col, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
+    return Index(cut.groupBy(id_col, "token", "dl").agg(F.count(F.lit(1)).alias("tf")), corpus_stats(docs, id_col, text_col), id_col)
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token, tf): the term frequencies of each document. Tokens are counted inside the task before the shuffle."""
-    return docs.select(id_col, F.explode(tokenize(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, token, tf): the term frequencies of each document."""
+    return index(docs, id_col, text_col).postings.drop("dl")
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,26 +51,29 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lengths(docs, id_col, text_col).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def scores(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score) of queries (query_id, query): BM25Plus with idf ln((N + 1) / df).
+def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score) of queries (query_id, query): BM25Plus with idf ln((N + 1) / df), over documents or a stored index.
 
     Each document gets DELTA * idf of every query token the corpus has, found or not. That part is one number a query, so only
     documents that hold a query token are joined; others have the query's floor and are not listed. Repeated query
     tokens count repeatedly. Postings are cut to the queries' tokens by a semi-join before anything else.
     """
+    of = docs if isinstance(docs, Index) else index(docs, id_col, text_col)
+    id_col = of.id_col
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(docs, id_col, text_col).join(asked.select("token").distinct(), "token", "left_semi")
-    stats = corpus_stats(docs, id_col, text_col)
-    idf = found.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("token", F.log((F.col("n_docs") + 1) / F.col("df")).alias("idf"))
+    found = of.postings.join(asked.select("token").distinct(), "token", "left_semi")
+    stats = F.broadcast(of.stats)  # one row
+    idf = found.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats).select("token", F.log((F.col("n_docs") + 1) / F.col("df")).alias("idf"))
     weighed = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     floor = weighed.groupBy("query_id").agg((F.sum("w") * DELTA).alias("floor"))
-    dl = lengths(docs, id_col, text_col).crossJoin(F.broadcast(stats)).select(id_col, (1 - B + B * F.col("dl") / F.col("avgdl")).alias("norm"))
-    gain = F.col("w") * F.col("tf") * (K1 + 1) / (K1 * F.col("norm") + F.col("tf"))
-    part = found.join(dl, id_col).join(weighed, "token").groupBy("query_id", id_col).agg(F.sum(gain).alias("gain"))
+    tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
+    weight = found.crossJoin(stats).select(id_col, "token", (tf * (K1 + 1) / (K1 * norm + tf)).alias("weight"))
+    part = weight.join(weighed, "token").groupBy("query_id", id_col).agg(F.sum(F.col("w") * F.col("weight")).alias("gain"))
     return part.join(floor, "query_id").select("query_id", id_col, (F.col("floor") + F.col("gain")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
-    """The k best of each query, best first; ties go to the smaller id. Spark keeps k rows per query and task before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("score", F.round("score", digits)).withColumn("rank", place).where(F.col("rank") <= k)
+    """The k best of each query, best first; ties go to the smaller id. Scores are compared to EXACT digits, so that sums in another order
+    rank alike, and shown to ``digits``. Spark keeps k rows per query and task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", EXACT)), id_col))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).withColumn("score", F.round("score", digits))

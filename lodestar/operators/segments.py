@@ -12,9 +12,10 @@ from lodestar.functions.text import OCR_CHARS, article_number, section_type, str
 ARTICLE = r"(?m)(?:^|\n)\s*ARTICLE\s+([IVXLCDM]+|\d+)\s*[:\-—–.]*\s*\n?\s*([A-Z][A-Za-z0-9 ,&()'/-]+)"
 TOP_SECTION = r"(?m)(?:^|\n)\s*SECTION\s+(\d+)\s+([A-Z][A-Z0-9 ,&()'/-]+)"
 SUBSECTION = r"(?m)(?:^|\n)\s*(?:SECTION|Section)?\s*(\d+\.\d+)\s*[.:]?\s+([A-Za-z][^\n.;]{2,80})"
-DEFINITION = r"(?m)^[^\n]*?[\"“]([A-Za-z][A-Za-z0-9\s\-/,()&]+?)[\"”](?=\s*:|\s*(?i:means?|shall\s+mean|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to))"
+DEFINITION = r"[\"“]([A-Za-z][A-Za-z0-9\s\-/,()&]+?)[\"”](?=\s*:|\s*(?i:means?|shall\s+mean|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to))"
 PAGE_BREAK, MIN_PREAMBLE, PACK_TOKENS, OVERLAP_TOKENS, SIBLING_TOKENS = "\n\n", 50, 800, 200, 1200
 PARAGRAPHS = r"\n\s*\n|\n\s*(?=\([a-z]\)|\([ivx]+\))"
+CLAUSES, SENTENCES, MAX_TOKENS = r"(?=\([a-z]\)|\([ivx]+\))", r"(?<=\.)\s+(?=[A-Z])", 1200
 CUT = "\x01"
 
 
@@ -39,11 +40,12 @@ def offset_to_page(points: DataFrame, pages: DataFrame, doc_col: str, page_col:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (offset from 0, match): the text is cut before each match, and lengths of the parts add up to offsets."""
-    parts = F.split(F.regexp_replace(text, pattern, CUT + "$0"), CUT)
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, p: s + F.length(p)))
-    found = F.zip_with(F.slice(parts, 2, F.size(parts)), F.slice(ends, 1, F.size(parts) - 1), lambda p, e: F.struct(e.alias("offset"), p.alias("part")))
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<offset:int,part:string>>"))
+    """Array of (offset from 0, match): the text is cut before each match, and one fold over the parts carries the offset. The text
+    must not hold the character that marks cuts; it counts as a blank."""
+    parts = F.split(F.regexp_replace(F.translate(text, CUT, " "), pattern, CUT + "$0"), CUT)
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,part:string>>").alias("out"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("offset"), p.alias("part"))).alias("out"))
+    return F.aggregate(parts, state, step, lambda s: F.slice(s["out"], 2, F.greatest(F.size(s["out"]) - 1, F.lit(0))))
 
 
 def articles(texts: DataFrame, doc_col: str) -> DataFrame:
@@ -83,14 +85,17 @@ def preambles(texts: DataFrame, found: DataFrame, doc_col: str) -> DataFrame:
     return texts.join(first, doc_col).select(doc_col, text.alias("text")).where(F.length("text") >= MIN_PREAMBLE)
 
 
-def definitions(texts: DataFrame, doc_col: str) -> DataFrame:
-    """(document, term, body): quoted terms with a colon or a verb of definition; the first of each term counts, and a body runs to
-    the line of the next term."""
-    found = texts.select(doc_col, F.length("text").alias("n"), "text", F.explode(matches(F.col("text"), DEFINITION)).alias("m"))
-    found = found.select(doc_col, "n", "text", F.col("m.offset").alias("at"), F.regexp_extract("m.part", DEFINITION, 1).alias("term"))
-    found = found.withColumn("nth", F.row_number().over(Window.partitionBy(doc_col, "term").orderBy("at"))).where("nth = 1")
-    found = found.withColumn("end", F.coalesce(F.lead("at").over(Window.partitionBy(doc_col).orderBy("at")), F.col("n")))
-    return found.select(doc_col, "term", strip(F.col("text").substr(F.col("at") + 1, F.col("end") - F.col("at"))).alias("body"))
+def definitions(texts: DataFrame, doc_col: str, with_offset: bool = False) -> DataFrame:
+    """(document, term, body, [at]): quoted terms with a colon or a verb of definition; the first of each term counts, and a body runs from
+    the start of the term's line to that of the next term's."""
+    found = texts.select(doc_col, "text", F.posexplode(matches(F.col("text"), DEFINITION)).alias("nth", "m"))
+    before = F.substring("text", F.lit(1), F.col("m.offset"))
+    line = F.col("m.offset") - F.length(F.substring_index(before, "\n", -1))
+    found = found.select(doc_col, "text", "nth", line.alias("at"), strip(F.regexp_extract("m.part", DEFINITION, 1)).alias("term")).where("term <> ''")
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy(doc_col, "term").orderBy("nth"))).where("_n = 1")
+    found = found.withColumn("end", F.coalesce(F.lead("at").over(Window.partitionBy(doc_col).orderBy("nth")), F.length("text")))
+    body = strip(F.col("text").substr(F.col("at") + 1, F.col("end") - F.col("at")))
+    return found.select(doc_col, "term", body.alias("body"), *(["at"] if with_offset else []))
 
 
 def greedy_pack(parts: Column, limit: int = PACK_TOKENS) -> Column:
@@ -108,20 +113,35 @@ def greedy_pack(parts: Column, limit: int = PACK_TOKENS) -> Column:
 
 
 def tail_within(items: Column, budget: int) -> Column:
-    """The longest end of an array of (text, n) whose n add up to at most ``budget``."""
-    size = F.size(items)
-    fits = F.filter(F.sequence(F.lit(0), size), lambda k: F.aggregate(F.slice(items, F.least(k + 1, size + 1), size), F.lit(0), lambda s, x: s + x["n"]) <= budget)
-    return F.slice(items, F.least(F.array_min(fits) + 1, size + 1), size)
+    """The longest end of an array of (text, n) whose n add up to at most ``budget``: one fold from the end."""
+    state = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["open"] & (s["sum"] + x["n"] <= budget)
+        return F.struct(F.when(fits, s["sum"] + x["n"]).otherwise(s["sum"]).alias("sum"), F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"), fits.alias("open"))
+
+    n = F.aggregate(F.reverse(items), state, step, lambda s: s["n"])
+    return F.slice(items, F.size(items) - n + 1, n)
+
+
+def split_oversized(paragraph: Column, limit: int = PACK_TOKENS) -> Column:
+    """Parts of a long paragraph packed up to ``limit`` words: cut at clause marks, else at semicolons, else at sentences, else whole."""
+    clauses, halves, sentences = F.split(paragraph, CLAUSES), F.split(paragraph, ";"), F.split(paragraph, SENTENCES)
+    closed = F.transform(halves, lambda p, i: F.when(i < F.size(halves) - 1, F.concat(strip(p), F.lit(";"))).otherwise(strip(p)))
+    parts = F.when(F.size(clauses) > 1, clauses).when(F.size(halves) > 1, closed).when(F.size(sentences) > 1, sentences).otherwise(F.array(paragraph))
+    packed = greedy_pack(F.filter(F.transform(parts, strip), lambda p: p != ""), limit)
+    return F.when(F.size(packed) > 0, packed).otherwise(parts)
 
 
-def overlapping_chunks(text: Column, limit: int = PACK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+def overlapping_chunks(text: Column, limit: int = PACK_TOKENS, overlap: int = OVERLAP_TOKENS, most: int = MAX_TOKENS) -> Column:
     """Chunks of whole paragraphs of up to ``limit`` words; each starts with the end of the one before, up to ``overlap`` words: whole
-    paragraphs, or sentences of the last one if that is longer. Paragraphs end at blank lines or clause marks, else at line ends."""
+    paragraphs, or sentences of the last one if that is longer. A paragraph of more than ``most`` words that comes when nothing
+    is held is cut by itself. Paragraphs end at blank lines or clause marks, else at line ends. The fold carries the words held."""
     filled = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
     wide = filled(F.split(text, PARAGRAPHS))
     counted = F.transform(F.when(F.size(wide) > 1, wide).otherwise(filled(F.split(text, "\n"))), lambda p: F.struct(p.alias("text"), word_count(p).alias("n")))
     kind = "array<struct<text:string,n:int>>"
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(kind).alias("held"))
+    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(kind).alias("held"), F.lit(0).alias("n"))
     total = lambda items: F.aggregate(items, F.lit(0), lambda s, x: s + x["n"])
     joined = lambda items: F.array_join(F.transform(items, lambda x: x["text"]), "\n\n")
 
@@ -133,9 +153,13 @@ def overlapping_chunks(text: Column, limit: int = PACK_TOKENS, overlap: int = OV
         return F.when(F.size(whole) > 0, whole).when(F.size(tail) > 0, sentences).otherwise(whole)
 
     def step(s: Column, p: Column) -> Column:
-        full = (F.size(s["held"]) > 0) & (total(s["held"]) + p["n"] > limit)
-        done = F.when(full, F.array_append(s["done"], joined(s["held"]))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.array_append(F.when(full, ending(s["held"])).otherwise(s["held"]), p).alias("held"))
+        empty = F.size(s["held"]) == 0
+        alone, full = empty & (p["n"] > most), ~empty & (s["n"] + p["n"] > limit)
+        kept = F.when(full, ending(s["held"])).otherwise(s["held"])
+        done = F.when(alone, F.concat(s["done"], split_oversized(p["text"], limit))).when(full, F.array_append(s["done"], joined(s["held"]))).otherwise(s["done"])
+        held = F.when(alone, s["held"]).otherwise(F.array_append(kept, p))
+        n = F.when(alone, s["n"]).when(full, total(kept) + p["n"]).otherwise(s["n"] + p["n"])
+        return F.struct(done.alias("done"), held.alias("held"), n.alias("n"))
 
     return F.aggregate(counted, state, step, lambda s: F.when(F.size(s["held"]) > 0, F.array_append(s["done"], joined(s["held"]))).otherwise(s["done"]))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,36 +11,61 @@ UBIQUITOUS = 0.25
 IN_QUERY, COMMON, METADATA, KEYWORD, LONG = 100, -50, 3, 10, 15
 LONG_DEFINITION = 800
 WORD_BREAK = r"(?U)\W+"
+#: Characters of a term that others are joined on.
+GRAM = 3
 
 
-def found_terms(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """(id, term): terms, of one word or several, that a text (id, text) holds between word borders."""
-    return held_phrases(texts, terms.select("term"), id_col)
+def found_terms(texts: DataFrame, terms: DataFrame, id_col: str, by: str | None = None) -> DataFrame:
+    """(id, term): terms that a text (id, text) names, and the terms that stand inside those.
+
+    Terms are sought from left to right between word borders, the longest first; what is found is consumed, and case counts. Terms that
+    a text may hold come from an equi-join on words, and only these are sought in it. With ``by`` terms (by, term) belong to
+    groups, and a text (by, id, text) is read for the terms of its group.
+    """
+    keys = [by] if by else []
+    own = terms.select(*keys, "term").where("term <> ''").distinct()
+    near = _near(texts, own, id_col, keys)
+    escaped = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))), lambda x: F.regexp_replace(x["term"], r"([^\p{L}\p{N}_])", r"\\$1"))
+    patterns = near.groupBy("_id", *(F.col(k).alias("_by") for k in keys)).agg(F.concat(F.lit(r"(?U)\b(?:"), F.array_join(escaped, "|"), F.lit(r")\b")).alias("pattern"))
+    met = [F.col(id_col).eqNullSafe(F.col("_id")), *(F.col(k).eqNullSafe(F.col("_by")) for k in keys)]
+    hits = texts.join(patterns, met).select(*keys, id_col, F.explode(F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))).alias("term"))
+    inside = hits.join(sub_terms(own, by), [*keys, "term"]).select(*keys, id_col, F.col("sub_term").alias("term"))
+    return hits.union(inside).distinct().select(*keys, id_col, "term")
+
+
+def _near(texts: DataFrame, terms: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+    """(keys, _id, term): texts that hold the longest word of a term; a term without words goes with every text of its group."""
+    sized = F.transform(F.split("term", WORD_BREAK), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
+    words = texts.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.array_append(F.split("text", WORD_BREAK), F.lit("")))).alias("word"))
+    return words.join(terms.withColumn("word", F.array_max(sized)["w"]), [*keys, "word"]).select(*keys, "_id", "term")
 
 
 def held_phrases(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     """(id, term) in lower case of the terms that a text (id, text) holds between word borders, whatever the case.
 
-    Each word of a term is a whole word of a text that holds it, so texts are joined with terms on the term's longest word. Terms that
-    are more than that word are then looked for in the texts of those pairs; a term without words is looked for in all texts.
+    Each word of a term is a whole word of a text that holds it, so texts are joined with terms on the term's longest word, and each
+    term is then looked for in the texts of those pairs.
     """
     known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
-    sized = F.transform(F.split("term", WORD_BREAK), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
-    keyed = known.withColumn("word", F.array_max(sized)["w"])
-    words = texts.select(id_col, F.explode(F.array_distinct(F.array_append(F.split(F.lower("text"), WORD_BREAK), F.lit("")))).alias("word"))
-    single = words.join(keyed.where("term = word"), "word").select(id_col, "term")
-    near = words.join(keyed.where("term <> word"), "word").select(F.col(id_col).alias("_id"), "term").distinct()
-    pattern = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("term", r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
-    whole = texts.select(id_col, F.lower("text").alias("text")).join(near, F.col(id_col).eqNullSafe(F.col("_id"))).where(F.regexp_like("text", pattern))
-    return single.union(whole.select(id_col, "term").distinct())
-
-
-def sub_terms(terms: DataFrame) -> DataFrame:
-    """(term, sub_term): terms that stand inside another. Candidates come from an equi-join on words, not from all pairs."""
-    own = terms.select("term").distinct()
-    words = own.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("w"))
-    first = own.select(F.col("term").alias("sub_term"), F.get(F.split("term", " "), F.lit(0)).alias("w"))
-    return words.join(first, "w").where((F.col("term") != F.col("sub_term")) & F.contains("term", "sub_term")).select("term", "sub_term").distinct()
+    lower = texts.select(id_col, F.lower("text").alias("text"))
+    near = _near(lower, known, id_col, []).distinct()
+    return lower.join(near, F.col(id_col).eqNullSafe(F.col("_id"))).where(F.regexp_like("text", at_borders(F.col("term")))).select(id_col, "term").distinct()
+
+
+def at_borders(term: Column) -> Column:
+    """A pattern that finds the term between word borders."""
+    return F.concat(F.lit(r"(?U)\b"), F.regexp_replace(term, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
+
+
+def sub_terms(terms: DataFrame, by: str | None = None) -> DataFrame:
+    """([by], term, sub_term): terms that stand anywhere inside another (of the same group). A term's first characters, up to GRAM, are
+    joined with all grams of the others, so candidates come from an equi-join and not from all pairs."""
+    keys = [by] if by else []
+    own = terms.select(*keys, "term").where("term <> ''").distinct()
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda k: F.substring("term", k, n))))
+    whole = own.select(*keys, "term", F.explode(F.array_distinct(grams)).alias("gram"))
+    first = own.select(*keys, F.col("term").alias("sub_term"), F.substring("term", 1, GRAM).alias("gram"))
+    return whole.join(first, [*keys, "gram"]).where((F.col("term") != F.col("sub_term")) & F.contains("term", "sub_term")).select(*keys, "term", "sub_term").distinct()
 
 
 def document_frequency(found: DataFrame, total: DataFrame) -> DataFrame:

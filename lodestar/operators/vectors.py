@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.lexical import top_k
+from lodestar.operators.lexical import EXACT, top_k
+
+#: Rows of a block of queries and of vectors.
+QUERIES, VECTORS = 2048, 16384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,11 +24,33 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) of queries (query_id, vector, [label]): the k vectors of the largest (1 + cosine) / 2.
 
-    With a ``label`` in the queries only vectors of that label are compared: the filter comes before the scores.
+    With a ``label`` in the queries only vectors of that label are compared: the filter comes before the scores. A task multiplies a
+    block of queries with a block of vectors and keeps k of each query; blocks have at most about QUERIES and VECTORS rows,
+    so their number follows the tables and nothing is broadcast. Null vectors and such of length zero match nothing.
     """
-    names = [c for c in ("label",) if c in queries.columns]
-    own = vectors.select(id_col, F.col(vector_col).alias("v"), dot(F.col(vector_col), F.col(vector_col)).alias("vv"), *names)
-    asked = queries.select("query_id", F.col("vector").alias("q"), dot(F.col("vector"), F.col("vector")).alias("qq"), *names)
-    pairs = own.join(asked, names) if names else own.join(asked, F.lit(True))
-    score = (1 + dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq"))) / 2
-    return top_k(pairs.select("query_id", id_col, score.alias("score")), k, id_col, 5)
+    label = "label" if "label" in queries.columns else None
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.col(label) if label else F.lit(0)).alias("label"))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v"), (F.col(label) if label else F.lit(0)).alias("label"))
+    filled = F.col("label").isNotNull() & F.exists("v", lambda x: x != 0)
+    own, asked = own.where(filled), asked.where(filled)
+    blocks = lambda frame, size, name: frame.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = blocks(own, VECTORS, "n_own").join(blocks(asked, QUERIES, "n_asked"), "label")
+    dealt = lambda frame, mine, other: frame.join(sizes, "label").select(
+        "label", "id", "v", F.pmod(F.xxhash64("id"), mine).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+    )
+    keys = ["label", "n_own", "n_asked"]
+    kind, query_kind = own.schema["id"].dataType.simpleString(), asked.schema["id"].dataType.simpleString()
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": [], "id": [], "score": []})
+        if not len(left) or not len(right):
+            return out
+        unit = lambda frame: (m := np.stack(frame["v"].to_numpy())) / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        left = left.sort_values("id", kind="stable")
+        score = (1 + unit(right) @ unit(left).T) / 2
+        best = np.argsort(-np.round(score, EXACT), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(right)), best.shape[1])
+        return pd.DataFrame({"query_id": right["id"].to_numpy()[row], "id": left["id"].to_numpy()[best.ravel()], "score": score[row, best.ravel()]})
+
+    pairs = dealt(own, "n_own", "n_asked").groupBy(*keys).cogroup(dealt(asked, "n_asked", "n_own").groupBy(*keys)).applyInPandas(compare, f"query_id {query_kind}, id {kind}, score double")
+    return top_k(pairs.withColumnRenamed("id", id_col), k, id_col, 5)

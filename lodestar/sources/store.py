@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = "chunk_id string, text string, section_type string, chunk_index int, embedding array<float>, model string, document_id string"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in that of spark.checkpoint.dir, which all executors share; where that is unset a local session gets one of its own,
+    and on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what several later steps read is made once, and lost executors cost no more than a step."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class ChunkStore:
     """Parquet partitioned by document; creating it again keeps what is there."""
 

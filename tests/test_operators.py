@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lodestar.operators import citations, dialogue, fusion, knowledge, lexical, segments, terms, vectors
 from lodestar.plans import catalog
 from lodestar.sources.store import ChunkStore, markdown_table
@@ -21,7 +22,10 @@ def plain(x):
     return repr(round(x, 9)) if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+NAMES = sorted(n for n in __spark_entry__.oracle_sql() if n in catalog.QUERIES)
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_twin(spark, name):
     frame = catalog.QUERIES[name](spark, DATA)
     columns = sorted(frame.columns)
@@ -105,20 +109,48 @@ def test_terms(spark):
     assert {(r.term, r.sub_term) for r in terms.sub_terms(t).collect()} == {("net income", "income"), ("consolidated net income", "net income"), ("consolidated net income", "income")}
 
 
+def test_sub_terms_are_substrings(spark):
+    names = ["Term Loans", "Loan", "oan", "Net Income", "a", "Term", "Ter", "ms"]
+    t = spark.createDataFrame([(n,) for n in names], "term string")
+    assert {(r.term, r.sub_term) for r in terms.sub_terms(t).collect()} == {(a, b) for a in names for b in names if a != b and b in a}
+
+
+def test_found_terms_longest_first(spark):
+    """Terms are sought from left to right, the longest first, with case; terms inside those found count, too."""
+    names = ["Net Income", "Consolidated Net Income", "Loan", "Term Loan", "Income of", "J.Crew", "EBITDA", "S&P (a)"]
+    texts = [(1, "The Consolidated Net Income of the Loan"), (2, "a loan and Loans"), (3, "Term Loan, J.Crew and JxCrew"), (4, None), (5, ""), (None, "EBITDA"), (6, "Net Income of"), (7, "the S&P (a)b")]
+    pattern = re.compile(r"\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")\b")
+    want = set()
+    for i, text in texts:
+        for hit in pattern.findall(text or ""):
+            want |= {(i, n) for n in names if n in hit}
+    frame, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in [*names, None, ""]], "term string")
+    assert {(r.id, r.term) for r in terms.found_terms(frame, known, "id").collect()} == want and (1, "Net Income") in want and (6, "Income of") not in want
+    by = spark.createDataFrame([(1, "Loan"), (2, "Term Loan")], "doc int, term string")
+    both = spark.createDataFrame([(1, 10, "Term Loan"), (2, 20, "Term Loan")], "doc int, id long, text string")
+    assert {(r.doc, r.term) for r in terms.found_terms(both, by, "id", "doc").collect()} == {(1, "Loan"), (2, "Term Loan")}
+
+
 def test_phrases_of_several_words(spark):
     texts = [(1, "A Trap Door? (IP-stripping), e.g. J.Crew"), (2, "trapdoor strap door"), (3, "net  income"), (4, "Net income."), (5, None), (6, ""), (7, "EBITDA"), (None, "the trap door")]
     phrases = ["trap door", "IP-Stripping", "j.crew", "net income", "door", "jxcrew", "ebit", None, ""]
     frame = spark.createDataFrame(texts, "question_id long, text string")
-    got = {(r.question_id, r.term) for r in terms.found_terms(frame, spark.createDataFrame([(p,) for p in phrases], "term string"), "question_id").collect()}
+    got = {(r.question_id, r.term) for r in terms.held_phrases(frame, spark.createDataFrame([(p,) for p in phrases], "term string"), "question_id").collect()}
     want = {(i, p.lower()) for i, t in texts for p in phrases if t and p and re.search(rf"\b{re.escape(p)}\b", t, re.IGNORECASE)}
     assert got == want and {(1, "trap door"), (1, "ip-stripping"), (None, "trap door")} <= got
     asked = frame.withColumnRenamed("text", "question")
     concepts = spark.createDataFrame([("leak", "trap door"), ("leak", "door"), ("pay", "net income")], "concept_id string, alias string")
     found = {(r.question_id, r.concept_id, r.alias) for r in knowledge.concept_matches(asked, concepts).collect()}
     assert found == {(1, "leak", "trap door"), (2, "leak", "door"), (None, "leak", "trap door"), (4, "pay", "net income")}
-    synonyms = spark.createDataFrame([(1, "EBIT"), (1, "operating profit"), (2, "net income"), (2, "net profit"), (3, "ip"), (3, "patents")], "group_id int, term string")
-    assert {(r.question_id, r.terms) for r in knowledge.synonym_terms(asked, synonyms).collect()} == {(7, "operating profit"), (4, "net profit")}
-    assert {(r.question_id, r.terms) for r in knowledge.synonym_terms(asked, synonyms, within_words=False).collect()} == {(4, "net profit")}
+    synonyms = spark.createDataFrame([(1, 0, "EBIT"), (1, 1, "Operating profit"), (1, 2, "earnings"), (2, 0, "net income"), (2, 1, "net profit"), (3, 0, "ip"), (3, 1, "patents")], "group_id int, pos int, term string")
+    assert {(r.question_id, tuple(r.terms)) for r in knowledge.synonym_terms(asked, synonyms).collect()} == {(7, ("Operating profit", "earnings")), (4, ("net profit",))}
+
+
+def test_dimension_rows_without_names_go(spark, tmp_path):
+    rows = [("leak", ["trap door"]), ("none", []), ("null", None), ("", ["x"]), (None, ["y"])]
+    spark.createDataFrame(rows, "concept_id string, aliases array<string>").write.json(str(tmp_path / "c"))
+    got = knowledge.load_dimension(spark, str(tmp_path / "c"), "concept_id string, aliases array<string>", ("concept_id", "aliases")).collect()
+    assert [r.concept_id for r in got] == ["leak"]
 
 
 def test_store(spark, tmp_path):
