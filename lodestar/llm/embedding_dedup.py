@@ -90,7 +90,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     Vectors are compared if their labels are equal and not null, and their lengths are equal. Vectors that are null or
     empty, have length zero or hold null or non-finite entries link with nothing, and so do rows with a null id: each of
     these has n_links 0 and its own id as component. Equal vectors are one class and compared once; their links count each
-    row. Rows that repeat an id count as vectors of their own. A class is dealt to blocks of BLOCK vectors, and each pair of
+    row. Rows that repeat an id count as vectors of their own; other
+    columns are left out, whatever their names. An empty table gives an empty result. A class is dealt to blocks of BLOCK vectors, and each pair of
     blocks of a label is a task's work, so a label with a third of all rows spreads over many tasks.
     """
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))

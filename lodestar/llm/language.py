@@ -273,7 +273,9 @@ def _predict(model: Model, docs: DataFrame, id_col: str, text_col: str, words: b
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the language of each whole text and its mean marginal.
 
-    A text that is null or has no letter, or any text if the model knows no language, is ``und`` with score 0. Only the text is read.
+    A text that is null or has no letter, or any text if the model knows no language, is ``und`` with score 0. Only the text is read:
+    other columns are left out, whatever their names. Of languages with equal sums the first by name counts. Texts of any length are
+    taken whole; repeated rows and null ids keep their own row. An empty table gives an empty result.
     """
     return _predict(model, docs, id_col, text_col, False)
 

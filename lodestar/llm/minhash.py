@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``words``-word shingles. A text with
     fewer words is one shingle; a text without words, or null, has an empty set and links with nothing. Rows with a null id
-    link with nothing and are kept with a null component; rows that repeat an id share its component.
+    link with nothing and are kept with a null component; rows that repeat an id share its component. Texts of any length are taken
+    whole; other columns are left out, whatever their names. An empty table gives an empty result.
 
     Equal sets are one class, found by a combining aggregation. Buckets of the tables tie classes to clusters; all pairs of a
     cluster are verified on whole sets, by tasks of two blocks of at most about BLOCK documents. A task gives ties that span

@@ -11,16 +11,19 @@ from lodestar.llm.common import documents, tokenizer_file
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``embeddings``: links at 0.98 within a label. Unusable vectors stand alone; no row is left out."""
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: learned on three folds of four, predicted on each whole text; null texts and texts without letters are ``und``."""
     docs = documents(spark, sf_dir)
     model = language.train(docs, language.in_training())
     return language.predict(docs, model).select("doc_id", (language.doc_fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: spans of the fixed patterns and of the models, as counts, a digest and a list; null texts have none."""
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -29,17 +32,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 40 shards of near-equal bytes; null texts weigh 16 bytes."""
     rows, _ = sharding.shard(documents(spark, sf_dir), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: bytes that an earlier 100-byte string covers are taken out; null texts have none."""
     found = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), 100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All documents: ids and decoded texts as digests; null texts have no ids and an empty text."""
     path = path or tokenizer_file("byte_bpe_50k.json")
     both = bpe.round_trip(documents(spark, sf_dir), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -47,18 +53,22 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: statistics of whole texts and the verdict of the line rules; null texts have no words."""
     return quality.clean_lines(documents(spark, sf_dir)).drop("clean_text")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All documents as pieces in windows of 4096 tokens; a null text is its end id alone."""
     return packing.pack_documents(documents(spark, sf_dir), path or tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: passages of 50 words or more that repeat one of an earlier document; null texts have none."""
     return compact_windows.near_duplicate_passages(documents(spark, sf_dir))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: sets of 3-word shingles, linked from 85 per cent on; texts without words link with nothing."""
     return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 

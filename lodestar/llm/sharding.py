@@ -73,7 +73,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     """(rows with shard and slot, the stored map) under the law of near-equal bytes.
 
     Records are reduced to id, size and checksum before anything is shuffled. Equal texts under different ids spread like
-    any others. An empty table gives an empty map and no rows; null texts weigh 16 bytes.
+    any others. An empty table gives an empty map and no rows; null texts weigh 16 bytes; null ids count as empty ones. Slots of equal
+    size go by number, rows of a slot by id, size and checksum; other columns are left out. An id that very many rows
+    repeat keeps them in one slot, so such tables don't come out near equal.
     """
     rows = stored(records(docs, id_col, text_col), "shard-records")
     slot_map = stored(first_map(slot_sizes(rows), shards), "slot-map", "version")
