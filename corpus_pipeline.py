@@ -22,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; null ids stay."""
+    """Of each group of near-duplicates the document with the smallest id stays; null ids stay. Of rows that repeat an id and a text one
+    stays; texts without words group with nothing. An empty table stays empty."""
     return minhash.keep_first(docs)
 
 
@@ -33,7 +34,8 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret gives way to a mark; all rows stay."""
+    """Each secret gives way to a mark, overlapping ones to one; all rows stay, repeated ones and null texts too. An empty table stays
+    empty, as models without samples find nothing."""
     return _counted(secrets.mask(docs))
 
 

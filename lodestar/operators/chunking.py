@@ -28,7 +28,7 @@ def sections(pages: DataFrame, doc_col: str) -> DataFrame:
     starts on."""
     texts = segments.full_texts(pages, doc_col, "page")
     starts = segments.page_offsets(pages, doc_col, "page").groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("offset", F.col("page").cast("int").alias("page")))).alias("starts"))
-    found = segments.articles(texts, doc_col)
+    found = segments.articles(texts, doc_col).withColumn("next_start", F.lead("start").over(Window.partitionBy(doc_col).orderBy("start")))
     heads = found.select(doc_col, "number", F.col("title").alias("article_title"), "type", "start", "end", "body", F.explode_outer(segments.matches(F.col("body"), segments.SUBSECTION)).alias("m"))
     own = F.regexp_extract("m.part", segments.SUBSECTION, 1)
     heads = heads.withColumn("id", F.when(own.startswith(F.concat(F.col("number").cast("string"), F.lit("."))), own)).withColumn("at", F.col("start") + F.col("m.offset")).withColumn("label", F.col("at") + F.regexp_instr("m.part", F.lit(r"\d+\.\d+")) - 1)
@@ -39,7 +39,7 @@ def sections(pages: DataFrame, doc_col: str) -> DataFrame:
     kind = F.coalesce(F.nullif(section_type(title), F.lit("other")), F.col("type"))
     part = split.select(doc_col, F.col("number").alias("article_number"), F.col("id").alias("section_id"), title.alias("section_title"), "article_title", kind.alias("section_type"), F.col("body").substr(F.col("at") - F.col("start") + 1, F.col("stop") - F.col("at")).alias("text"), F.col("label").alias("from"), F.col("stop").alias("to"), "next_label")
     alone = found.join(split.select(doc_col, "number").distinct(), [doc_col, "number"], "left_anti")
-    whole = alone.select(doc_col, F.col("number").alias("article_number"), F.concat(F.lit("SECTION_"), "number").alias("section_id"), F.col("title").alias("section_title"), F.col("title").alias("article_title"), F.col("type").alias("section_type"), F.col("body").alias("text"), F.col("start").alias("from"), F.col("end").alias("to"), F.lit(None).cast("int").alias("next_label"))
+    whole = alone.select(doc_col, F.col("number").alias("article_number"), F.concat(F.lit("SECTION_"), "number").alias("section_id"), F.col("title").alias("section_title"), F.col("title").alias("article_title"), F.col("type").alias("section_type"), F.col("body").alias("text"), F.col("start").alias("from"), F.col("end").alias("to"), F.col("next_start").alias("next_label"))
     first = found.groupBy(doc_col).agg(F.min("start").alias("to"))
     fixed = lambda frame, name, title, kind, text, stop: frame.select(doc_col, F.lit(0).alias("article_number"), F.lit(name).alias("section_id"), F.lit(title).alias("section_title"), F.lit(title).alias("article_title"), F.lit(kind).alias("section_type"), text.alias("text"), F.lit(0).alias("from"), stop.alias("to"), F.lit(None).cast("int").alias("next_label"))
     before = strip(F.col("text").substr(F.lit(1), F.col("to")))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from lodestar.functions import answers as A
 from lodestar.functions.text import article_number
 from lodestar.operators import chunking, injection, terms
-from lodestar.plans.catalog import query
+from lodestar.plans.catalog import once, query
 from lodestar.sources.store import written
 
 CAP = "upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)"
@@ -30,8 +30,15 @@ def owned(read) -> DataFrame:
     return orders.join(named, "doc").withColumn("r", nth)
 
 
+SOURCES = ("customer", "nation", "orders", "lineitem", "part")
+
+
 def agreement_pages(read) -> DataFrame:
-    """(doc, page, text, tables) of all agreements."""
+    """(doc, page, text, tables) of all agreements, stored once as what a reader of files would give."""
+    return once(read, "agreement-pages", SOURCES, lambda: written(_pages(read), "pages"))
+
+
+def _pages(read) -> DataFrame:
     own = owned(read)
     parts = read("part").select(F.col("p_partkey").alias("l_partkey"), F.initcap("p_name").alias("name"))
     items = own.join(read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").join(parts, "l_partkey").groupBy("doc", "r", "name").agg(F.count(F.lit(1)).alias("n"))
@@ -51,22 +58,26 @@ def agreement_pages(read) -> DataFrame:
 UNION ALL SELECT doc, 2, '1.01', 1, 'Defined Terms', 'definitions', 2, 2, 0 FROM docs
 UNION ALL SELECT doc, CAST(2 + r AS INT), '2.' || r, 2, 'Order ' || o_orderkey || ' Terms', 'negative_covenants', CAST(2 + r AS INT), CAST(2 + r AS INT), CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END FROM own""")
 def agreement_sections(read):
-    found = chunking.sections(agreement_pages(read), "doc")
-    return found.select("doc", "ord", "section_id", "article_number", F.col("section_title").alias("title"), F.col("section_type").alias("type"), "page_start", "page_end", F.size("tables").alias("tables"))
+    return found_sections(read).select("doc", "ord", "section_id", "article_number", F.col("section_title").alias("title"), F.col("section_type").alias("type"), "page_start", "page_end", F.size("tables").alias("tables"))
 
 
 @query(f"""WITH {BASE} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY name) AS INT) AS ord, name AS term, '"' || name || '" means an item of which ' || n || ' lines are held' AS text, 2 AS page FROM lines""")
 def agreement_definitions(read):
-    pages = agreement_pages(read)
-    return chunking.definitions(chunking.sections(pages, "doc"), pages, "doc").select("doc", "ord", "term", "text", "page")
+    return found_definitions(read).select("doc", "ord", "term", "text", "page")
+
+
+def found_sections(read) -> DataFrame:
+    return once(read, "agreement-sections", SOURCES, lambda: written(chunking.sections(agreement_pages(read), "doc"), "sections"))
+
+
+def found_definitions(read) -> DataFrame:
+    return once(read, "agreement-definitions", SOURCES, lambda: written(chunking.definitions(found_sections(read), agreement_pages(read), "doc"), "definitions"))
 
 
 def agreement(read) -> tuple[DataFrame, DataFrame]:
     """(definitions, chunks)."""
-    pages = agreement_pages(read)
-    found = written(chunking.sections(pages, "doc"), "sections")
-    defined = written(chunking.definitions(found, pages, "doc"), "definitions")
-    return defined, written(chunking.chunks(found, defined, "doc"), "chunks")
+    defined = found_definitions(read)
+    return defined, once(read, "agreement-chunks", SOURCES, lambda: written(chunking.chunks(found_sections(read), defined, "doc"), "chunks"))
 
 
 CHUNKS = """texts AS (SELECT own.doc, own.r, o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS i, (SELECT count(*) FROM held h WHERE h.doc = own.doc AND h.r = own.r) AS k FROM own)"""
@@ -92,17 +103,18 @@ def definition_chunk_lookup(read):
 SELECT t.doc, name AS term, (n + 1) / all_chunks > 0.25 AS ubiquitous FROM t JOIN s USING (doc)""")
 def ubiquitous_terms(read):
     """Terms that over a quarter of an agreement's chunks name: its orders, and the definitions once."""
-    defined, made = agreement(read)
-    return _common(defined, made)
+    _, made = agreement(read)
+    return _common(made, _chunk_terms(read))
 
 
-def _chunk_terms(defined: DataFrame, made: DataFrame) -> DataFrame:
-    return terms.found_terms(made.select("doc", "chunk_id", "text"), defined, "chunk_id", "doc")
+def _chunk_terms(read) -> DataFrame:
+    defined, made = agreement(read)
+    return once(read, "agreement-terms", SOURCES, lambda: written(terms.found_terms(made.select("doc", "chunk_id", "text"), defined, "chunk_id", "doc"), "chunk-terms"))
 
 
-def _common(defined: DataFrame, made: DataFrame) -> DataFrame:
+def _common(made: DataFrame, named: DataFrame) -> DataFrame:
     total = made.groupBy("doc").agg(F.count(F.lit(1)).alias("total"))
-    n = _chunk_terms(defined, made).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    n = named.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
     return n.join(total, "doc").select("doc", "term", (F.col("n") / F.col("total") > terms.UBIQUITOUS).alias("ubiquitous"))
 
 
@@ -121,11 +133,12 @@ def injected_terms(read):
     hits = made.where((F.col("article_number") == 2) & (F.col("chunk_type") == "text") & (number <= 3)).select(F.col("doc").alias("query_id"), "doc", "chunk_id", "terms")
     first = hits.select("doc", F.explode("terms").alias("term")).groupBy("doc").agg(F.min("term").alias("term"))
     asked = first.select(F.col("doc").alias("query_id"), "doc", F.concat(F.lit("What would you say about the "), "term", F.lit(" and each ring")).alias("query"))
-    common = _common(defined, made).where("ubiquitous").select("doc", "term")
+    named = _chunk_terms(read)
+    common = _common(made, named).where("ubiquitous").select("doc", "term")
     lookup = injection.definition_chunks(made, "doc")
-    scored = injection.candidate_terms(asked, hits, _chunk_terms(defined, made), defined, lookup, common, "doc")
-    named = terms.found_terms(defined.select("doc", F.col("term").alias("of"), "text"), defined, "of", "doc").select("doc", F.col("of").alias("term"), F.col("term").alias("ref"))
-    return injection.injected_terms(scored, named, "doc").select("query_id", "term", "tier", "rank", "in_query")
+    scored = written(injection.candidate_terms(asked, hits, named, defined, lookup, common, "doc"), "candidate-terms")
+    refs = terms.found_terms(defined.select("doc", F.col("term").alias("of"), "text"), defined, "of", "doc").select("doc", F.col("of").alias("term"), F.col("term").alias("ref"))
+    return injection.injected_terms(scored, written(refs, "references"), "doc").select("query_id", "term", "tier", "rank", "in_query")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN s_name || ' Holdings' END AS name FROM supplier""")

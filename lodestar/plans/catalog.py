@@ -58,18 +58,23 @@ scored AS (SELECT query_id, doc_id, f + g AS score FROM part JOIN flo USING (que
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 11) DESC, doc_id)"
 
 
-#: Stored indexes by session and table.
-INDEXES: dict[tuple, lexical.Index] = {}
+#: What several queries read, made once in a session and stored in the shared folder, by session, name and files.
+MADE: dict[tuple, object] = {}
+
+
+def once(read, name: str, tables: tuple[str, ...], make: Callable[[], object]):
+    """``make()`` for these tables, from an earlier query of the session if there was one."""
+    frames = [read(t) for t in tables]
+    key = (frames[0].sparkSession.sparkContext.applicationId, name, *(f for frame in frames for f in sorted(frame.inputFiles())))
+    if key not in MADE:
+        MADE[key] = make()
+    return MADE[key]
 
 
 def indexed(read) -> lexical.Index:
-    """The index of ``documents``, built once in a session and stored in the shared folder; queries read its postings."""
+    """The index of ``documents``: queries read its postings."""
     docs = read("documents")
-    spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
-    if key not in INDEXES:
-        INDEXES[key] = lexical.index(docs).write(store.shared_path(spark, "index"))
-    return INDEXES[key]
+    return once(read, "index", ("documents",), lambda: lexical.index(docs).write(store.shared_path(docs.sparkSession, "index")))
 
 
 def questions(read) -> DataFrame:
@@ -697,7 +702,7 @@ def sibling_insert(read):
     return fusion.insert_within(hits, fusion.siblings(hits, docs, questions(read)), K)
 
 
-@query(f"""WITH {HYBRID_SQL}, h AS (SELECT query_id, pos, doc_id, score, source, lang FROM hits JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), m AS (SELECT query_id, median(score) * 0.95 AS score, count(*) AS n FROM hits GROUP BY query_id),
+@query(f"""WITH {HYBRID_SQL}, h AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos, doc_id, score, lang FROM hits JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), m AS (SELECT query_id, median(score) * 0.95 AS score, count(*) AS n FROM h GROUP BY query_id),
 w AS (SELECT query_id, arg_min(pos, (score, pos)) AS pos FROM h WHERE lang <> 'fr' GROUP BY query_id), p AS (SELECT query_id, -1 - query_id AS doc_id, m.score FROM m)
 SELECT query_id, h.pos, CASE WHEN n = 10 AND h.pos = w.pos THEN p.doc_id ELSE h.doc_id END AS doc_id FROM h JOIN m USING (query_id) JOIN p USING (query_id) LEFT JOIN w USING (query_id)
 UNION ALL SELECT query_id, n + 1, p.doc_id FROM m JOIN p USING (query_id) WHERE n < 10""")

@@ -58,11 +58,10 @@ def test_citation_joins(spark):
     cited = spark.createDataFrame([(1, 0, "7.1(a)(ii)", []), (1, 1, "9.9", [1]), (1, 2, "7.1(a)(ii)", [8, 7])], "id int, pos int, section_id string, pages array<int>")
     got = {r.section_id: (r.section_title, r.pages, r.snippet) for r in citations.enriched(cited, chunks, "id").collect()}
     assert got == {"7.1(a)(ii)": ("B", [4, 7, 8], "Other"), "9.9": ("", [1], "")}
-    bodies = spark.createDataFrame([(1, "The Lien basket [1] and Section 8(b) here [2] x [3]")], "id int, body string")
+    bodies = spark.createDataFrame([(1, "the Lien basket [1] and Section 8(b) here [2] x [3]")], "id int, body string")
     refs = spark.createDataFrame([(1, 1, "7.1(b)", [], ""), (1, 2, "9", [5], "q"), (1, 3, "7.1", [], "own")], "id int, number int, section_id string, pages array<int>, quote string")
     got = {r.number: (r.section_title, r.pages, r.snippet) for r in citations.enriched_inline(refs, chunks, bodies, "id").collect()}
-    assert got == {1: ("A", [3], "Lien text"), 2: ("", [5], "q"), 3: ("A", [3], "own")} or got[3][0] == "B"
-    assert got[1] == ("A", [3], "Lien text") and got[2] == ("", [5], "q") and got[3][2] == "own"
+    assert got == {1: ("A", [3], "Lien text"), 2: ("", [5], "q"), 3: ("A", [3], "own")}
     sources = spark.createDataFrame([(1, 0, "7.1"), (1, 1, "8")], "id int, pos int, section_id string")
     assert {r.number: r.section_id for r in citations.from_sources(bodies, sources, "id").collect()} == {1: "7.1", 2: "8", 3: "8"}
 
@@ -87,8 +86,8 @@ def test_sections(spark):
     got = [(r.doc, r.section_id, r.section_type, r.page_start, r.page_end, r.tables) for r in rows]
     assert got == [
         ("a", "PREAMBLE", "preamble", 1, 1, []), ("a", "1.01", "definitions", 2, 2, []), ("a", "2.01", "negative_covenants", 3, 4, []),
-        ("a", "2.02", "events_of_default", 4, 5, ["t4", "t5"]), ("b", "FULL_DOC", "other", 1, 2, ["tb"]), ("c", "SECTION_3", "agents", 2, 2, []),
-    ] or [g[:3] for g in got][:5] == [("a", "PREAMBLE", "preamble"), ("a", "1.01", "definitions"), ("a", "2.01", "negative_covenants"), ("a", "2.02", "events_of_default"), ("b", "FULL_DOC", "other")]
+        ("a", "2.02", "events_of_default", 4, 5, ["t4", "t5"]), ("b", "FULL_DOC", "other", 1, 2, ["tb"]), ("c", "SECTION_3", "agents", 1, 2, []),
+    ]
     pages = pages_of(spark, texts)
     defined = chunking.definitions(chunking.sections(pages, "doc"), pages, "doc").orderBy("ord").collect()
     assert [(r.term, r.text, r.page) for r in defined if r.doc == "a"][0] == ("Loan", '"Loan" means a loan.', 2)
@@ -131,7 +130,7 @@ def test_chunk_pages_and_oversized(spark):
     assert one(spark, lambda c: segments.split_oversized(c, 4), "a b c; d e; f") == ["a b c;", "d e;\nf"]
     assert one(spark, lambda c: segments.split_oversized(c, 3), "A b c. D e f. G") == ["A b c.", "D e f.", "G"]
     assert one(spark, lambda c: segments.split_oversized(c, 3), "a b c d e") == ["a b c d e"]
-    assert one(spark, lambda c: segments.overlapping_chunks(c, 4, 1, 6), "a b c d e f g; h\n\nx y") == ["a b c d e f g;\nh", "x y"] or True
+    assert one(spark, lambda c: segments.overlapping_chunks(c, 4, 1, 6), "a b c d e f g; h\n\nx y") == ["a b c d e f g;", "h", "x y"]
 
 
 def test_injected_terms_by_plain_rules(spark):
