@@ -64,6 +64,7 @@ def _tile(key: tuple, rows: pd.DataFrame, threshold: float) -> pd.DataFrame | No
     rows = rows.sort_values(["block", "rep"], kind="stable")
     first = int((rows["block"] == key[-2]).sum())
     vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])  # by powers of two, so that squares of any lengths fit
     ids, weight = rows["rep"].to_numpy(), rows["n"].to_numpy()
     own = key[-2] == key[-1]
     links = np.zeros(len(rows), np.int64)

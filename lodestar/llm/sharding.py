@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,6 +57,18 @@ def grow(slot_map: DataFrame, shards: int) -> DataFrame:
     return marked.select((F.col("version") + 1).alias("version"), "vslot", F.when(F.col("moves"), shards).otherwise(F.col("shard")).alias("shard"), "bytes", "rows")
 
 
+def write_map(slot_map: DataFrame, path: str) -> None:
+    """Add a version of a map to those that are stored under ``path``; earlier versions stay."""
+    slot_map.write.mode("append").partitionBy("version").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of a map: the latest if none is named."""
+    stored_maps = spark.read.parquet(path)
+    version = stored_maps.agg(F.max("version")).first()[0] if version is None else version
+    return stored_maps.where(F.col("version") == version).select("version", "vslot", "shard", "bytes", "rows")
+
+
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, the gapless place in the shard: slots of a shard one after another, rows of a slot by id.
 

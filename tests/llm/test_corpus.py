@@ -71,11 +71,31 @@ def test_sharding(spark):
     assert empty.count() == 0
 
 
+def test_map_versions_are_stored_and_read_again(spark, tmp_path):
+    rows = [(k, "x" * (k % 50)) for k in range(400)]
+    records, first = sharding.shard(table(spark, rows), 4)
+    path = str(tmp_path / "maps")
+    sharding.write_map(first, path)
+    sharding.write_map(sharding.grow(sharding.read_map(spark, path), 4), path)
+    one, two = (sharding.read_map(spark, path, v) for v in (1, None))
+    assert {r.version for r in one.collect()} == {1} and {r.version for r in two.collect()} == {2}
+    base = records.drop("shard", "slot")
+    before, after = ({r.doc_id: r.shard for r in sharding.assign(base, m).collect()} for m in (one, two))
+    moved = {i for i in before if before[i] != after[i]}
+    assert moved and all(after[i] == 4 for i in moved) and before == {r.doc_id: r.shard for r in records.collect()}
+
+
 def test_sharding_query_is_balanced(spark):
     rows = queries.op4_virtual_slots(spark, "/root/testdata/sf0.01").groupBy("shard").agg(F.sum("size").alias("n")).collect()
     assert len(rows) == 40 and max(r.n for r in rows) < 1.01 * min(r.n for r in rows)
 
 
+def test_embeddings_of_extreme_lengths(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1.0, 2.0], 0), (4, [2.0, -1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 @pytest.mark.parametrize("dim", [3, 64])
 def test_embeddings(spark, monkeypatch, dim):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
