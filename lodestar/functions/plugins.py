@@ -14,6 +14,7 @@ from lodestar.operators.lexical import top_k
 
 # How many times more hits a scorer gets, and what some embedders want before a question.
 OVERFETCH = 3
+PREFIXED = "bge"
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -31,6 +32,11 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("float"))
 
 
+def as_query(text: Column, model: str) -> Column:
+    """A question as the embedder wants it: models of one family want a sentence before it, others the question alone."""
+    return F.concat(F.lit(QUERY_PREFIX), text) if PREFIXED in model.lower() else text
+
+
 def embed(texts: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "text") -> DataFrame:
     """``texts`` with ``embedding`` by a model that ``make`` loads once in each task."""
 

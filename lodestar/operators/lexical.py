@@ -20,6 +20,9 @@ class Index:
     def __init__(self, postings: DataFrame, stats: DataFrame, id_col: str):
         self.postings, self.stats, self.id_col = postings, stats, id_col
 
+    def tables(self) -> list[DataFrame]:
+        return [self.postings, self.stats]
+
     def write(self, path: str) -> Index:
         """The index as stored tables: later questions read postings and tokenise nothing. Replaces what is there."""
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
@@ -72,6 +75,13 @@ def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id",
     return part.join(floor, "query_id").select("query_id", id_col, (F.col("floor") + F.col("gain")).alias("score"))
 
 
+def in_sections(scored: DataFrame, types: DataFrame, only: str | None = None, exclude: tuple[str, ...] = (), id_col: str = "doc_id") -> DataFrame:
+    """Scored documents of one section type of ``types`` (id, section_type), or, if none is named, of all but some. Scores stay those of
+    the whole corpus."""
+    kept = types.where(F.col("section_type") == only) if only is not None else types.where(~F.col("section_type").isin(*exclude))
+    return scored.join(kept.select(id_col), id_col, "left_semi")
+
+
 def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
     """The k best of each query, best first; ties go to the smaller id. Scores are compared to EXACT digits, so that sums in another order
     rank alike, and shown to ``digits``. Spark keeps k rows per query and task before the shuffle."""

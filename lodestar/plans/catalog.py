@@ -66,7 +66,7 @@ def once(read, name: str, tables: tuple[str, ...], make: Callable[[], object]):
     """``make()`` for these tables, from an earlier query of the session if there was one."""
     frames = [read(t) for t in tables]
     key = (frames[0].sparkSession.sparkContext.applicationId, name, *(f for frame in frames for f in sorted(frame.inputFiles())))
-    if key not in MADE:
+    if key not in MADE or not all(store.still_there(t) for t in (MADE[key].tables() if isinstance(MADE[key], lexical.Index) else [MADE[key]])):
         MADE[key] = make()
     return MADE[key]
 
@@ -93,6 +93,34 @@ def bm25_filtered_after_scoring(read):
     return lexical.top_k(lexical.scores(questions(read), indexed(read)).join(allowed, "doc_id", "left_semi"), K)
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, {TOP} AS rank FROM scored JOIN documents USING (doc_id) WHERE lang = 'fr' QUALIFY rank <= 10")
+def bm25_in_section(read):
+    """A section type that is named counts alone, whatever is excluded."""
+    types = read("documents").select("doc_id", F.col("lang").alias("section_type"))
+    return lexical.top_k(lexical.in_sections(lexical.scores(questions(read), indexed(read)), types, "fr", ("fr",)), K)
+
+
+HALVES_SQL = "halves AS (SELECT item_id * 2 AS query_id, substr(text, 1, length(text) // 2) AS text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, length(text) // 2 + 1) FROM benchmark)"
+
+
+@query(f"""WITH {HALVES_SQL}, {BM25_SQL.replace("item_id AS query_id", "query_id").replace("FROM benchmark", "FROM halves")}, r AS (SELECT query_id // 2 AS group_id, query_id % 2 AS query_idx, doc_id, {TOP} AS rank FROM scored QUALIFY rank <= 10),
+t AS (SELECT group_id, doc_id, min((rank, query_idx)) AS t FROM r GROUP BY ALL) SELECT group_id, doc_id, row_number() OVER (PARTITION BY group_id ORDER BY t) AS pos FROM t QUALIFY pos <= 15""")
+def multi_query_search(read):
+    """Two queries of each question, here its halves, in one plan; their lists are taken in turns."""
+    own, half = read("benchmark"), F.expr("length(text) div 2").cast("int")
+    first = own.select((F.col("item_id") * 2).alias("query_id"), F.col("text").substr(F.lit(1), half).alias("query"))
+    second = own.select((F.col("item_id") * 2 + 1).alias("query_id"), F.col("text").substr(half + 1, F.length("text")).alias("query"))
+    found = lexical.top_k(lexical.scores(first.union(second), indexed(read)), K)
+    lists = found.select(F.floor(F.col("query_id") / 2).cast("long").alias("group_id"), (F.col("query_id") % 2).alias("query_idx"), "rank", "doc_id")
+    return fusion.round_robin(lists, 15)
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Represent this sentence for searching relevant passages: ' ELSE '' END || text AS query FROM benchmark")
+def embedder_queries(read):
+    asked = F.when(F.col("item_id") % 2 == 0, plugins.as_query(F.col("text"), "BAAI/bge-small-en-v1.5")).otherwise(plugins.as_query(F.col("text"), "other"))
+    return read("benchmark").select("item_id", asked.alias("query"))
+
+
 @query(f"SELECT count(*) AS n_docs, round(avg(len({TOK.format('text')})), 6) AS avgdl FROM documents")
 def corpus_stats(read):
     return lexical.corpus_stats(read("documents")).withColumn("avgdl", F.round("avgdl", 6))

@@ -29,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def still_there(table: DataFrame) -> bool:
+    """Whether a stored table's first file exists."""
+    sc = table.sparkSession.sparkContext
+    files = table.inputFiles()
+    if not files:
+        return False
+    path = sc._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path)
+
+
 class ChunkStore:
     """Parquet partitioned by document; creating it again keeps what is there."""
 
