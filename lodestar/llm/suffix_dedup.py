@@ -7,15 +7,15 @@ Each anchor owns the windows it is the least of; the bytes they span are its blo
 A batch's suffix array holds its sampled suffixes in the order of (hash of the seed, hash of the block, document, place). It is merged with
 the arrays of the levels in that order: suffixes of one seed stand together, and among them equal blocks. The first of
 equal blocks stays and goes into the batch's own array, which becomes a level; all windows of the others repeat an earlier
-text. Where blocks of one seed differ, their windows are compared afterwards: byte by byte in one task if a seed has few blocks, by a
-shuffle of 128-bit hashes of the windows if it has many. When two levels hold as many
+text. Where blocks of one seed differ, their windows are compared afterwards, by shuffles of 128-bit hashes: of the bytes
+that neighbouring windows share, then of the windows of which these come again. When two levels hold as many
 batches, the next batch's pass writes them as one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ LENGTH, SEED = 100, 16
 BATCHES = 3
 #: Bytes of a text that are sampled at a time; places within fit into the low bits of a hash.
 STEP, LOW = 1 << 19, 20
-#: Blocks of a seed that a task may hold to compare their windows; rows of window hashes that it hands on at a time.
-HELD, ROWS = 4096, 1 << 15
+#: Ranges of where an anchor lies in its windows, whose cores are counted; rows of hashes that a task hands on at a time.
+RANGES, ROWS = 4, 1 << 15
 #: Where rows come from: levels that become one, other levels, the batch. Rows of levels are earlier than the batch's.
 MERGING, LEVEL, BATCH = 0, 1, 2
 
@@ -144,87 +144,61 @@ class SuffixLevels:
 
 
 def compare(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, hi): runs of windows of undecided suffixes that equal a window of an earlier one.
+    """(doc, lo, hi) of single windows of undecided suffixes that equal a window of an earlier one.
 
-    Windows of a seed with at most HELD blocks are compared in one task, those of other seeds by their hashes, so that no task holds
-    more than HELD blocks. The table of seeds with more is broadcast; it has at most a row for HELD undecided suffixes.
+    A suffix's windows are taken in RANGES of where the anchor lies in them. Windows of a range share a core of bytes around the anchor, so
+    those of suffixes with a core of their own repeat nothing: cores are counted by their hashes. Where a core comes again, its
+    windows become rows of their own 128-bit hashes, and the first of equal ones comes from a combining aggregation. So no
+    task holds a seed's blocks, however frequent the seed is, and all sizes of groups go the same way.
     """
     small_batches(texts.sparkSession)
-    many = stored(undecided.groupBy("seed").count().where(F.col("count") > HELD).select("seed"), "frequent-seeds")
-    if many.isEmpty():
-        return _compare_held(undecided, texts, length)
-    few = undecided.join(F.broadcast(many), "seed", "left_anti")
-    return _compare_held(few, texts, length).union(_compare_hashed(undecided.join(F.broadcast(many), "seed", "left_semi"), texts, length))
+    span = -(-(length - SEED + 1) // RANGES)
+    by_doc = undecided.groupBy("doc").agg(F.collect_set("packed").alias("at"))
 
+    def cores(data: bytes, packed: int) -> Iterator[tuple[bytes, int, int]]:
+        place, lo, hi = _windows(packed)
+        for part in range((place - hi) // span, (place - lo) // span + 1):
+            first, last = part * span, min((part + 1) * span, length - SEED + 1) - 1
+            yield data[place - first : place + length - last] + bytes([part]), packed, part
 
-def _compare_hashed(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, hi) of single windows; the first of equal windows comes from a combining aggregation of their 128-bit hashes."""
-    by_doc = undecided.groupBy("doc").agg(F.collect_set("packed").alias("at"))
+    def windows(data: bytes, x: dict) -> Iterator[tuple[bytes, int]]:
+        place, lo, hi = _windows(x["packed"])
+        for k in range(max(lo, place - (x["part"] + 1) * span + 1), min(hi, place - x["part"] * span) + 1):
+            yield data[k : k + length], k
+
+    found = texts.join(by_doc, "doc").select("doc", "text", "at").mapInArrow(_hashes(cores, "packed", "part"), "h long, g long, doc long, packed long, part long")
+    again = found.groupBy("h", "g").count().where("count > 1").select("h", "g")
+    open_ = found.join(again, ["h", "g"]).groupBy("doc").agg(F.collect_set(F.struct("packed", "part")).alias("at"))
+    rows = stored(texts.join(open_, "doc").select("doc", "text", "at").mapInArrow(_hashes(windows, "lo"), "h long, g long, doc long, lo long"), "window-hashes")
+    least = rows.groupBy("h", "g").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
+    repeats = rows.join(least, ["h", "g"]).where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
+    return repeats.select("doc", "lo", F.col("lo").alias("hi"))
 
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [])
-        kinds = (pa.binary(), pa.int64(), pa.int64())
-        for batch in batches:
-            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                for packed in at.as_py():
-                    _, lo, hi = _windows(packed)
-                    for k in range(lo, hi + 1):
-                        _append(out, hashlib.blake2b(data[k : k + length], digest_size=16).digest(), doc, k)
-                    if len(out[0]) >= ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["window", "doc", "lo"])
-                        out = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["window", "doc", "lo"])
-
-    rows = stored(texts.join(by_doc, "doc").select("doc", "text", "at").mapInArrow(hashed, "window binary, doc long, lo long"), "window-hashes")
-    least = rows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
-    again = rows.join(least, "window").where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
-    return again.select("doc", "lo", F.col("lo").alias("hi"))
-
-
-def _compare_held(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, hi): runs of windows of undecided suffixes that equal a window of an earlier one of the same seed.
-
-    Bytes of the suffixes' blocks are cut out of the texts, then sorted by seed. A seed's windows are compared by where the seed
-    lies in them, too; equal windows have it at the same place.
-    """
-    by_doc = undecided.groupBy("doc").agg(F.collect_set(F.struct("seed", "packed")).alias("at"))
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(each: Callable, *names: str) -> Callable:
+    """Rows (h, g, doc, *names) of texts (doc, text, at): a 128-bit hash, in two halves, of what ``each`` gives for each of ``at``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests: list[bytes] = []
+        out: tuple[list, ...] = ([], *([] for _ in names))
+
+        def made() -> pa.RecordBatch:
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *(pa.array(x, pa.int64()) for x in out)], names=["h", "g", "doc", *names])
+
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
             for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
-                    _, lo, hi = _windows(x["packed"])
-                    for column, value in zip(out, (x["seed"], doc, x["packed"], data[lo : hi + length]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["seed", "doc", "packed", "block"])
-
-    blocks = texts.join(by_doc, "doc").select("doc", "text", "at").mapInArrow(cut, "seed long, doc long, packed long, block binary")
-
-    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, set()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
-            for seed, doc, packed, block in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if seed != now:
-                    now, seen = seed, set()
-                _, lo, hi = _windows(packed)
-                own = [block[k : k + length] for k in range(hi - lo + 1)]
-                run = -1
-                for k, window in enumerate(own):
-                    if window in seen:
-                        run = k if run < 0 else run
-                    elif run >= 0:
-                        _append(out, doc, lo + run, lo + k - 1)
-                        run = -1
-                if run >= 0:
-                    _append(out, doc, lo + run, hi)
-                seen.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc", "lo", "hi"])
-
-    return blocks.repartition("seed").sortWithinPartitions("seed", "doc", "packed").mapInArrow(match, "doc long, lo long, hi long")
+                    for piece, *values in each(data, x):
+                        digests.append(hashlib.blake2b(piece, digest_size=16).digest())
+                        _append(out, doc, *values)
+                if len(digests) >= ROWS:
+                    yield made()
+                    digests, out = [], ([], *([] for _ in names))
+        yield made()
+
+    return run
 
 
 def _append(columns: tuple[list, ...], *row: int) -> None:

@@ -204,24 +204,18 @@ def test_suffix_dedup(spark, monkeypatch):
     assert all(bytes(r.kept).decode() is not None for r in whole)
 
 
-def test_suffix_dedup_holds_few_blocks_of_a_seed(spark, monkeypatch):
-    """A line in very many contexts: no task holds the blocks of its seeds, and results stay those of brute force."""
+@pytest.mark.parametrize("ranges", [1, 4, 85])
+def test_suffix_dedup_of_a_line_in_many_contexts(spark, monkeypatch, ranges):
+    """A line in very many contexts: results stay those of brute force, however windows are taken together."""
     rng = random.Random(12)
     line, longer = prose(rng, 14)[:60], prose(rng, 40)[:150]
     rows = [(k, prose(rng, 12) + line + prose(rng, 12) + (longer + prose(rng, 5) if k % 4 == 0 else "")) for k in range(80)]
     rows += [(200 + k, rows[k][1][20:] + prose(rng, 20)) for k in range(0, 80, 3)]
-    monkeypatch.setattr(suffix_dedup, "HELD", 8)
-    held, undecided = [], suffix_dedup._compare_held
-
-    def spy(few, *rest):
-        held.extend(few.groupBy("seed").count().select(F.max("count")).first())
-        return undecided(few, *rest)
-
-    monkeypatch.setattr(suffix_dedup, "_compare_held", spy)
+    rows += [(300 + k, prose(rng, 2) + longer[k : k + 95 + k] + prose(rng, 2)) for k in range(30)]
+    monkeypatch.setattr(suffix_dedup, "RANGES", ranges)
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, rows), 100).collect()}
     for i, hit, kept in brute_repeats(rows, 100):
         assert bytes(got[i].kept) == kept and sum(s.end - s.start for s in got[i].spans) == sum(hit), i
-    assert held and (held[0] or 0) <= 8
 
 
 def test_compact_windows_against_recursion():
