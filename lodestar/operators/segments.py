@@ -53,9 +53,8 @@ def articles(texts: DataFrame, doc_col: str) -> DataFrame:
 
     Where a document has no ARTICLE header, SECTION headers with a whole number serve. Number 0 is no article.
     """
-    own, other = matches(F.col("text"), ARTICLE), matches(F.col("text"), TOP_SECTION)
-    pattern = F.when(F.size(own) > 0, F.lit(ARTICLE)).otherwise(F.lit(TOP_SECTION))
-    found = texts.select(doc_col, "text", pattern.alias("pattern"), F.explode(F.when(F.size(own) > 0, own).otherwise(other)).alias("m"))
+    seen = texts.select(doc_col, "text", matches(F.col("text"), ARTICLE).alias("_own"))  # a step of its own, so that it is computed once
+    found = seen.select(doc_col, "text", F.explode(F.when(F.size("_own") > 0, F.col("_own")).otherwise(matches(F.col("text"), TOP_SECTION))).alias("m"))
     group = lambda k: F.coalesce(F.nullif(F.regexp_extract("m.part", ARTICLE, k), F.lit("")), F.regexp_extract("m.part", TOP_SECTION, k))
     found = found.select(doc_col, "text", F.col("m.offset").alias("start"), article_number(group(1)).alias("number"), strip(group(2)).alias("title")).where("number > 0")
     last = found.withColumn("nth", F.row_number().over(Window.partitionBy(doc_col, "number").orderBy(F.desc("start")))).where("nth = 1").drop("nth")
