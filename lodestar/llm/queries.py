@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import bpe, compact_windows, embedding_dedup, language, minhash, packing, quality, secrets, sharding, suffix_dedup
+from lodestar.llm import bpe, compact_windows, embedding_dedup, language, minhash, packing, quality, secrets, sharding, spelling, suffix_dedup, whitening
 from lodestar.llm.common import documents, tokenizer_file
 
 
@@ -72,6 +72,16 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: words of whole texts, one run in 97 with a letter left out, their forms and roots; null texts have none."""
+    return spelling.variants(documents(spark, sf_dir), spelling.TYPO)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable rows of ``embeddings`` on the 32 leading components; null and non-finite vectors are left out."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP1_SQL = """
 WITH RECURSIVE ok AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
@@ -186,6 +196,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM stats
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(c ORDER BY n) AS t FROM (
+        SELECT n, list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+found AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+runs AS (SELECT doc_id, r, count(*) AS c FROM found WHERE length(r) >= 5 GROUP BY ALL),
+hashed AS (
+    SELECT r, c, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)), '..'), lambda b: ('0x' || b)::UBIGINT)),
+        lambda v, b: xor(v >> 8, t[((xor(v, b) & 255) + 1)::BIGINT])))::BIGINT AS h FROM runs, crc),
+words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, sum(c)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+    UNION
+    SELECT cuts.word, words.word, words.n FROM cuts JOIN words ON words.word = cut
+    UNION
+    SELECT words.word, cuts.word, cuts.n FROM cuts JOIN words ON words.word = cut),
+counted AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+best AS (SELECT word, other, n AS other_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+forms AS (SELECT words.word, other, other_n FROM words JOIN best ON best.word = words.word WHERE other_n >= 2 * n),
+walk AS (
+    SELECT word, other AS at, 1 AS step FROM forms
+    UNION ALL
+    SELECT walk.word, forms.other, step + 1 FROM walk JOIN forms ON forms.word = at),
+last AS (SELECT word, max_by(at, step) AS root FROM walk GROUP BY word)
+SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, other AS form, other_n AS form_n, coalesce(root, words.word) AS root
+FROM words LEFT JOIN counted ON counted.word = words.word LEFT JOIN forms ON forms.word = words.word LEFT JOIN last ON last.word = words.word
+"""
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
@@ -197,6 +239,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_compact_windows": op9_compact_windows,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_virtual_slots": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op4_virtual_slots": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_quality_rules": OP7_SQL, "op10_minhash_dedup": OP10_SQL, "op12_spelling_variants": OP12_SQL}
