@@ -220,12 +220,12 @@ counted AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
 best AS (SELECT word, other, n AS other_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
 forms AS (SELECT words.word, other, other_n FROM words JOIN best ON best.word = words.word WHERE other_n >= 2 * n),
 walk AS (
-    SELECT word, other AS at, 1 AS step FROM forms
+    SELECT word, other AS here, 1 AS step FROM forms
     UNION ALL
-    SELECT walk.word, forms.other, step + 1 FROM walk JOIN forms ON forms.word = at),
-last AS (SELECT word, max_by(at, step) AS root FROM walk GROUP BY word)
+    SELECT walk.word, forms.other, step + 1 FROM walk JOIN forms ON forms.word = here),
+ends AS (SELECT word, max_by(here, step) AS root FROM walk GROUP BY word)
 SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, other AS form, other_n AS form_n, coalesce(root, words.word) AS root
-FROM words LEFT JOIN counted ON counted.word = words.word LEFT JOIN forms ON forms.word = words.word LEFT JOIN last ON last.word = words.word
+FROM words LEFT JOIN counted ON counted.word = words.word LEFT JOIN forms ON forms.word = words.word LEFT JOIN ends ON ends.word = words.word
 """
 
 QUERIES = {
