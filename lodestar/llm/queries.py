@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import bpe, compact_windows, embedding_dedup, language, minhash, packing, quality, secrets, sharding, spelling, suffix_dedup, whitening
+from lodestar.llm import bpe, compact_windows, embedding_dedup, language, minhash, packing, quality, secrets, sharding, spelling, suffix_dedup, toxicity, whitening
 from lodestar.llm.common import documents, tokenizer_file
 
 
@@ -72,6 +72,14 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: learned from the labels of three folds of four, scored on each whole text; null texts count as empty."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), language.in_training())
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (language.doc_fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: words of whole texts, one run in 97 with a letter left out, their forms and roots; null texts have none."""
     return spelling.variants(documents(spark, sf_dir), spelling.TYPO)
@@ -239,6 +247,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_compact_windows": op9_compact_windows,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
