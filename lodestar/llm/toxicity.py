@@ -28,10 +28,10 @@ SPANS = 8
 #: Words are taken in pieces of as many letters, sentences in stretches of as many words, texts in parts of as many characters.
 PIECE, SENTENCE, PART = 64, 8, 1 << 20
 #: The training sample's bound: different texts with and without the label on average, and characters of each, at a place set by its hash.
-TOXIC, CLEAN, SAMPLE_CHARS = 2500, 5000, 8000
+TOXIC, CLEAN, SAMPLE_CHARS = 1200, 2400, 6000
 LANDMARKS, ASSOCIATED, OTHERS = 256, 900, 600
 #: Rounds of choosing sentences; sentences of a toxic document in the first and in later ones, of a clean one in all.
-ROUNDS, FIRST, WORST, PER_CLEAN = 4, 40, 2, 8
+ROUNDS, FIRST, WORST, PER_CLEAN = 4, 12, 2, 6
 COST = 0.3
 MEMO = 1 << 19
 LETTERS = re.compile(r"[\W\d_]+")
@@ -230,8 +230,8 @@ class Nystrom:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.root.shape[1]), np.float32)
-        for k in range(0, len(words), 512):
-            word, feature, weight = subsequences(words[k : k + 512])
+        for k in range(0, len(words), 256):
+            word, feature, weight = subsequences(words[k : k + 256])
             at = np.minimum(np.searchsorted(self.names, feature), len(self.names) - 1)
             hit = self.names[at] == feature
             word, at, weight = word[hit], at[hit], weight[hit]
@@ -247,6 +247,12 @@ class Nystrom:
         return out
 
 
+def sums_of(z: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``place`` of ``z`` from each of ``begin`` to the next, a stretch at a time."""
+    ends = np.append(begin[1:], len(place))
+    return np.concatenate([np.add.reduceat(z[place[begin[k] : ends[min(k + 2048, len(begin)) - 1]]], begin[k : k + 2048] - begin[k]) for k in range(0, len(begin), 2048)])
+
+
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """(direction, bias) of the squared-hinge support vector machine, by Newton steps over the vectors inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -261,7 +267,9 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
     for _ in range(30):
         inside = y * (x @ w) < 1
         own, t = x[inside], weight[inside]
-        aim = np.linalg.solve(ridge + 2 * COST * (own * t[:, None]).T @ own, 2 * COST * (own.T @ (t * y[inside])))
+        right = own.T @ (t * y[inside])
+        own *= np.sqrt(t, dtype=np.float32)[:, None]
+        aim = np.linalg.solve(ridge + 2 * COST * (own.T @ own), 2 * COST * right)
         step = 1.0
         while step > 1e-4 and cost(w + step * (aim - w)) > now:
             step /= 2
@@ -315,7 +323,6 @@ def fit(texts: list[str], toxic: np.ndarray, rates: tuple[float, float]) -> Mode
         return blank
     marks = landmarks(words, counts[1], counts[0], max(1, int(own_y.sum())), max(1, int((~own_y).sum())))
     space = Nystrom([words[k] for k in marks])
-    z = space(words)
     random, value, model = np.random.default_rng(12), None, blank
     for _ in range(ROUNDS):
         x, label = [], []
@@ -330,15 +337,17 @@ def fit(texts: list[str], toxic: np.ndarray, rates: tuple[float, float]) -> Mode
                 take = some[:FIRST] if value is None else order[:WORST]
             else:
                 take = some[:PER_CLEAN] if value is None else np.unique(np.append(order[:3], some[:PER_CLEAN]))
-            x += [z[sentences[k]].sum(axis=0) for k in take]
+            x += [sentences[k] for k in take]
             label += [1.0 if positive else -1.0] * len(take)
         label = np.array(label)
         if (label > 0).all() or (label < 0).all():
             return blank
         balance = np.where(label > 0, min(10.0, max(1.0, (label < 0).sum() / (label > 0).sum())), 1.0)
-        direction, bias = machine(np.array(x, np.float32), label, balance)
+        used, place = np.unique(np.concatenate(x), return_inverse=True)
+        begin = np.cumsum([0, *map(len, x[:-1])])
+        direction, bias = machine(sums_of(space([words[k] for k in used]), place, begin), label, balance)
         model = Model(space.folded(direction).astype(np.float32), bias, 1.0, 0.0)
-        value = z @ direction
+        value = np.concatenate([model.words(words[k : k + 4096]) for k in range(0, len(words), 4096)])
     tried = held if (held & y).any() and (held & ~y).any() else np.ones(len(y), bool)
     found = worst(model, Words(model), [texts[k] for k in np.flatnonzero(tried)])
     model.slope, model.offset = calibrate(found, np.where(y[tried], 1, -1), weight[tried])
