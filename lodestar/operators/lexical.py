@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import tokenize
+from lodestar.functions.text import EDGE_MARKS, tokenize
 
 # Saturation, length weight and the floor of a match.
 K1, B, DELTA = 1.2, 0.5, 1.0
 #: Digits to which scores are compared.
 EXACT = 11
+#: Texts that are counted together; what separates pieces.
+ROWS, BLANKS = 200, re.compile(r"[ \t\n\x0b\f\r]+")
+#: From a piece's first character that isn't an edge mark to its end.
+TOKEN = rf"[^\s{re.escape(EDGE_MARKS)}]\S*"
 
 
 class Index:
@@ -35,9 +45,30 @@ def read_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> Index:
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Each text is tokenised once for postings; frequencies are counted inside the task before the shuffle."""
-    cut = docs.select(id_col, tokenize(F.col(text_col)).alias("_tokens")).select(id_col, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
-    return Index(cut.groupBy(id_col, "token", "dl").agg(F.count(F.lit(1)).alias("tf")), corpus_stats(docs, id_col, text_col), id_col)
+    return Index(counted(docs, id_col, text_col), corpus_stats(docs, id_col, text_col), id_col)
+
+
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token, dl, tf) of each document, counted in Arrow batches where the text is read: no row for an occurrence, and no shuffle."""
+    source = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("text IS NOT NULL")
+    kind = source.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):  # long texts make many rows
+                part = batch.slice(at, ROWS)
+                found = [Counter(filter(None, (w.strip(EDGE_MARKS) for w in BLANKS.split(t)))) for t in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(found)), [len(c) for c in found])
+                length = np.array([sum(c.values()) for c in found], np.int32)
+                tokens, counts = [w for c in found for w in c], [n for c in found for n in c.values()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(tokens, pa.string()), pa.array(length[row]), pa.array(counts, pa.int64())], names=[id_col, "token", "dl", "tf"])
+
+    return source.mapInArrow(run, f"`{id_col}` {kind}, token string, dl int, tf long")
+
+
+def token_number(text: Column) -> Column:
+    """The number of tokens: pieces between blanks with a character that isn't cut off at edges."""
+    return F.regexp_count(F.lower(text), F.lit(TOKEN))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,7 +77,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(id_col, F.size(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
+    return docs.select(id_col, token_number(F.coalesce(F.col(text_col), F.lit(""))).alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

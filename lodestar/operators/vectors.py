@@ -21,12 +21,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = 5) -> DataFrame:
     """(query_id, id, score, rank) of queries (query_id, vector, [label]): the k vectors of the largest (1 + cosine) / 2.
 
     With a ``label`` in the queries only vectors of that label are compared: the filter comes before the scores. A task multiplies a
     block of queries with a block of vectors and keeps k of each query; blocks have at most about QUERIES and VECTORS rows,
-    so their number follows the tables and nothing is broadcast. Null vectors and such of length zero match nothing.
+    so their number follows the tables and nothing is broadcast. Null vectors and such of length zero match nothing. Scores are
+    shown to ``digits``; with None all that blocks found is given, unranked and unrounded: k or more of each query.
     """
     label = "label" if "label" in queries.columns else None
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.col(label) if label else F.lit(0)).alias("label"))
@@ -53,4 +54,5 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
         return pd.DataFrame({"query_id": right["id"].to_numpy()[row], "id": left["id"].to_numpy()[best.ravel()], "score": score[row, best.ravel()]})
 
     pairs = dealt(own, "n_own", "n_asked").groupBy(*keys).cogroup(dealt(asked, "n_asked", "n_own").groupBy(*keys)).applyInPandas(compare, f"query_id {query_kind}, id {kind}, score double")
-    return top_k(pairs.withColumnRenamed("id", id_col), k, id_col, 5)
+    pairs = pairs.withColumnRenamed("id", id_col)
+    return pairs if digits is None else top_k(pairs, k, id_col, digits)

@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 from lodestar.functions import plugins
 from lodestar.functions import text as T
 from lodestar.operators import citations, dialogue, fusion, injection, knowledge, lexical, segments, terms, vectors
+from lodestar.operators.cells import CellIndex
 from lodestar.sources import store
+from lodestar.sources.posting_log import PostingLog
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,23 +60,32 @@ scored AS (SELECT query_id, doc_id, f + g AS score FROM part JOIN flo USING (que
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 11) DESC, doc_id)"
 
 
-#: What several queries read, made once in a session and stored in the shared folder, by session, name and files.
+#: What several queries read, made once in a session and stored in the shared folder: by session, name and the state of the files.
 MADE: dict[tuple, object] = {}
+#: Logs of postings by session and folder, with the state of the files that they follow.
+LOGS: dict[tuple, tuple[tuple, PostingLog]] = {}
 
 
 def once(read, name: str, tables: tuple[str, ...], make: Callable[[], object]):
-    """``make()`` for these tables, from an earlier query of the session if there was one."""
+    """``make()`` for these tables, from an earlier query of the session if there was one and no file has changed since."""
     frames = [read(t) for t in tables]
-    key = (frames[0].sparkSession.sparkContext.applicationId, name, *(f for frame in frames for f in sorted(frame.inputFiles())))
-    if key not in MADE or not all(store.still_there(t) for t in (MADE[key].tables() if isinstance(MADE[key], lexical.Index) else [MADE[key]])):
+    key = (frames[0].sparkSession.sparkContext.applicationId, name, *(store.state(frame) for frame in frames))
+    if key not in MADE or not store.still_there(MADE[key]):
         MADE[key] = make()
     return MADE[key]
 
 
 def indexed(read) -> lexical.Index:
-    """The index of ``documents``: queries read its postings."""
+    """The index of ``documents``, as a log that follows the table: a changed table costs its changes, an unchanged one nothing."""
     docs = read("documents")
-    return once(read, "index", ("documents",), lambda: lexical.index(docs).write(store.shared_path(docs.sparkSession, "index")))
+    state = store.state(docs)
+    key = (docs.sparkSession.sparkContext.applicationId, tuple(sorted({path.rpartition("/")[0] for path, _, _ in state})))
+    if key not in LOGS or not LOGS[key][1].version():
+        LOGS[key] = ((), PostingLog(docs.sparkSession, store.shared_path(docs.sparkSession, "index")))
+    if LOGS[key][0] != state:
+        LOGS[key][1].sync(docs.select("doc_id", "text"))
+        LOGS[key] = (state, LOGS[key][1])
+    return LOGS[key][1].index()
 
 
 def questions(read) -> DataFrame:
@@ -100,6 +111,40 @@ def bm25_in_section(read):
     return lexical.top_k(lexical.in_sections(lexical.scores(questions(read), indexed(read)), types, "fr", ("fr",)), K)
 
 
+CHANGED = "(SELECT doc_id, lang, source, CASE WHEN lang = 'fr' THEN text || ' revised ' || source ELSE text END AS text FROM documents WHERE lang <> 'es')"
+
+
+def changed_log(read) -> PostingLog:
+    """All documents; then Spanish ones are deleted and French ones revised; then the log is compacted."""
+    docs = read("documents").select("doc_id", "text", "lang", "source")
+    log = PostingLog(docs.sparkSession, store.shared_path(docs.sparkSession, "changed-index"))
+    log.add(docs.where("lang <> 'de'"))
+    log.add(docs.where("lang = 'de'"))
+    log.delete(docs.where("lang = 'es'").select("doc_id"))
+    log.add(docs.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit(" revised "), "source")))
+    log.compact()
+    return log
+
+
+@query(f"WITH {BM25_SQL.replace('FROM documents', f'FROM {CHANGED}')} SELECT query_id, doc_id, round(score, 6) AS score, {TOP} AS rank FROM scored QUALIFY rank <= 10")
+def bm25_after_changes(read):
+    """An index that was added to, deleted from and revised ranks as one that is built anew."""
+    return lexical.top_k(lexical.scores(questions(read), changed_log(read).index()), K)
+
+
+@query(f"""SELECT count(*) AS n_docs, round(avg(len(ts)), 6) AS avgdl, sum(len(ts))::BIGINT AS n_tokens, (SELECT count(*) FROM documents WHERE lang = 'es') AS deleted, (SELECT count(*) FROM documents WHERE lang = 'fr') AS revised
+FROM (SELECT {TOK.format("text")} AS ts FROM {CHANGED})""")
+def index_versions(read):
+    """A version's statistics, from the manifest alone; what changes ended, from the versions before."""
+    log = changed_log(read)
+    now, at = log.index(), log.version()
+    alive = [log.index(v).stats.select("n_docs") for v in (at - 3, at - 2, at - 1)]
+    counts = alive[0].select(F.col("n_docs").alias("all")).crossJoin(alive[1].select(F.col("n_docs").alias("left"))).crossJoin(alive[2].select(F.col("n_docs").alias("after")))
+    revised = log.documents(at - 1).join(log.documents(at - 2).select("doc_id", F.col("content").alias("was")), "doc_id").where("content <> was").agg(F.count(F.lit(1)).alias("revised"))
+    tokens = log.documents().agg(F.sum("dl").alias("n_tokens"))
+    return now.stats.crossJoin(tokens).crossJoin(counts).crossJoin(revised).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_tokens", (F.col("all") - F.col("left")).alias("deleted"), "revised")
+
+
 HALVES_SQL = "halves AS (SELECT item_id * 2 AS query_id, substr(text, 1, length(text) // 2) AS text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, length(text) // 2 + 1) FROM benchmark)"
 
 
@@ -168,6 +213,32 @@ def cosine_topk_in_label(read):
     return vectors.nearest(vector_queries(read, "label"), read("embeddings"), K)
 
 
+def cell_index(read) -> CellIndex:
+    """The cells of ``embeddings``, by label as well."""
+    own = read("embeddings")
+    key = (own.sparkSession.sparkContext.applicationId, "cells", store.state(own))
+    if key not in MADE or not store.still_there(MADE[key].cells()):
+        MADE[key] = CellIndex.build(own, store.shared_path(own.sparkSession, "cells"), K, label_col="label")
+    return MADE[key]
+
+
+@query()
+def approximate_topk(read):
+    """Neighbours in the nearest cells alone; tests hold the recall against ``cosine_topk``."""
+    return cell_index(read).search(vector_queries(read), K)
+
+
+@query(f"WITH {VEC_SQL.format(on='true')} SELECT query_id, vec_id, round(score, 5) AS score, rank FROM top WHERE rank <= 10")
+def cell_topk(read):
+    """The nearest cells first, then those alone that can hold anything better: exact."""
+    return cell_index(read).search(vector_queries(read), K, exact=True)
+
+
+@query(f"WITH {VEC_SQL.format(on='q.label = d.label')} SELECT query_id, vec_id, round(score, 5) AS score, rank FROM top WHERE rank <= 10")
+def cell_topk_in_label(read):
+    return cell_index(read).search(vector_queries(read, "label"), K, exact=True)
+
+
 # fusion
 
 HYBRID_SQL = f"""{BM25_SQL},

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.plans.catalog import ORACLE_SQL, QUERIES
+from lodestar.operators import lexical
+from lodestar.plans.catalog import BM25_SQL, ORACLE_SQL, QUERIES, TOP, K
 from lodestar.sources.store import shared_path
 from lodestar.streaming import ingest
 
@@ -37,6 +38,19 @@ def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("turns", lambda x: x["turn"].cast("string")), ",").alias("turns"))
 
 
+def stream_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over the postings of a stream of texts, of which each content is stored and indexed once."""
+    path = shared_path(spark, "intake")
+    intake = ingest.Intake(spark, path)
+    kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    intake.run(spark.readStream.schema(kind).parquet(f"{sf_dir}/documents*.parquet").select("text"), f"{path}/state").awaitTermination()
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return lexical.top_k(lexical.scores(asked, intake.log.index()), K, "document_id")
+
+
+CONTENTS = "(SELECT DISTINCT substr(sha256(text), 1, 12) AS doc_id, text, '' AS lang, '' AS source FROM documents WHERE text IS NOT NULL)"
+QUERIES["stream_indexed_search"] = stream_indexed_search
+ORACLE_SQL["stream_indexed_search"] = f"WITH {BM25_SQL.replace('FROM documents', f'FROM {CONTENTS}')} SELECT query_id, doc_id AS document_id, round(score, 6) AS score, {TOP} AS rank FROM scored QUALIFY rank <= 10"
 QUERIES["stream_new_content"] = stream_new_content
 ORACLE_SQL["stream_new_content"] = "SELECT DISTINCT substr(sha256(text), 1, 12) AS document_id FROM conversations"
 QUERIES["stream_memory"] = stream_memory

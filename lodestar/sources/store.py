@@ -39,6 +39,17 @@ def still_there(table: DataFrame) -> bool:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path)
 
 
+def state(table: DataFrame) -> tuple:
+    """(path, size, time) of each file of a table that is read from files: it changes when they do."""
+    sc = table.sparkSession.sparkContext
+    out = []
+    for name in table.inputFiles():
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        found = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, found.getLen(), found.getModificationTime()))
+    return tuple(sorted(out))
+
+
 class ChunkStore:
     """Parquet partitioned by document; creating it again keeps what is there."""
 

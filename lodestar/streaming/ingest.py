@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.operators.dialogue import HISTORY_TURNS
+from lodestar.sources.posting_log import PostingLog
 from lodestar.sources.store import content_id
 
 
@@ -19,6 +20,42 @@ def new_content(stream: DataFrame, content_col: str, time_col: str, keep: str =
     return named.withWatermark(time_col, keep).dropDuplicatesWithinWatermark(["document_id"])
 
 
+class Intake:
+    """New contents of a stream into a stored table and a log of postings, each once, whatever comes again or fails between.
+
+    A batch's contents are a partition of ``path`` that is named by the stream and the batch, so a batch that is run again writes over its own
+    rows alone; the log knows the batches it has. A content that any other batch has stored is used again, not stored twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, text_col: str = "text"):
+        self.spark, self.path, self.text_col = spark, path, text_col
+        self.schema = f"document_id string, `{text_col}` string"
+        self.log = PostingLog(spark, f"{path}/log", "document_id", "string")
+        spark.createDataFrame([], f"{self.schema}, batch string").write.mode("ignore").partitionBy("batch").parquet(f"{path}/contents")
+
+    def contents(self) -> DataFrame:
+        """(document_id, text, batch) of all that is stored."""
+        return self.spark.read.schema(f"{self.schema}, batch string").parquet(f"{self.path}/contents")
+
+    def take(self, batch: DataFrame, number: int, source: str = "batch") -> None:
+        """Store a batch's new contents and their postings; the same (source, number) again adds nothing."""
+        name = f"{source}-{number:09d}"
+        named = batch.where(F.col(self.text_col).isNotNull()).select(content_id(F.col(self.text_col)).alias("document_id"), self.text_col).dropDuplicates(["document_id"])
+        new = named.join(self.contents().where(F.col("batch") != name).select("document_id"), "document_id", "left_anti")
+        own = f"{self.path}/contents/batch={name}"
+        new.write.mode("overwrite").parquet(own)
+        self.log.add(self.spark.read.schema(self.schema).parquet(own), self.text_col, (source, number))
+        self.log.compact()
+
+    def run(self, stream: DataFrame, checkpoint: str):
+        """Start taking a stream's rows; a restart from the same checkpoint goes on where it was. Batches are numbered by the checkpoint, whose id is their source."""
+
+        def each(batch: DataFrame, number: int) -> None:
+            self.take(batch, number, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+
+        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+
+
 def remembered(stream: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
     """(conv_id, turns): the last n turns (turn, text) of each conversation after each batch; state is n turns a conversation."""
 
