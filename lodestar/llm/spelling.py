@@ -60,6 +60,15 @@ def _cut(rows: DataFrame) -> DataFrame:
     return out.withColumn("key", _key("word", "l"))
 
 
+def _one_edit() -> Column:
+    """The kept ends of both words are equal, and one edit is all between them; so what is compared letter by letter is the open part."""
+    part = lambda w, at, n: F.substring(F.col(w), at, n)
+    first = part("word", F.lit(1), F.col("a")) == part("near", F.lit(1), F.col("a"))
+    last = part("word", F.length("word") - F.col("b") + 1, F.col("b")) == part("near", F.length("near") - F.col("b") + 1, F.col("b"))
+    open_ = [part(w, F.col("a") + 1, F.length(w) - F.col("a") - F.col("b")) for w in ("word", "near")]
+    return first & last & (F.levenshtein(*open_, 1) == 1)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of words that differ by exactly one code point. ``words`` has (word, n), words once."""
     side = words.select("word", "n", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1), F.lit(2))).alias("as"))
@@ -72,9 +81,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
         met = stored(rows.join(sizes, "key"), "met-chunks")
         refined = (F.greatest("chunks", "grams") > SHARED) & (F.col("open") > 1)
         pairs = met.where(~refined)
-        left = pairs.where("chunk").select("key", "word", "n")
+        left = pairs.where("chunk").select("key", "word", "n", "a", "b")
         right = pairs.where("NOT chunk").select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-        near = left.join(right, "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).drop("key")
+        near = left.join(right, "key").where(_one_edit()).select("word", "n", "near", "near_n")
         found = near if found is None else found.union(near)
         hot = met.where(refined).select("word", "n", "chunk", "l", "a", "b")
         if hot.isEmpty():
