@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions import plugins
 from lodestar.functions import text as T
-from lodestar.operators import citations, dialogue, fusion, injection, knowledge, lexical, segments, terms, vectors
+from lodestar.operators import asking, blocks, citations, dialogue, fusion, injection, knowledge, lexical, segments, terms, vectors
 from lodestar.operators.cells import CellIndex
 from lodestar.sources import store
 from lodestar.sources.posting_log import PostingLog
@@ -319,6 +319,46 @@ def promotion_score(read):
     return hybrid_hits(read).groupBy("query_id").agg((F.median("score") * 0.95).alias("promoted"))
 
 
+#: A small dimension of concepts: its aliases are function words of the corpus' languages.
+ALIASES = (("english", "the"), ("french", "les"), ("german", "und"), ("spanish", "que"))
+ROUNDS_SQL = f"""{BM25_SQL},
+lex AS (SELECT query_id, doc_id, round(score, 6) AS score, {TOP} AS rank FROM scored QUALIFY rank <= 10),
+b AS (SELECT query_id, doc_id, score / 500 AS score, rank AS pos, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS best FROM lex JOIN documents USING (doc_id)),
+t AS (SELECT query_id, max(score) AS top, avg(score) FILTER (best <= 3) AS mean3, lower(string_agg(text, ' ' ORDER BY pos) FILTER (pos <= 5)) AS texts FROM b GROUP BY query_id),
+q AS (SELECT item_id AS query_id, text, list_filter(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}'), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in T.GATE_STOP_WORDS)})) AS terms FROM benchmark),
+s AS (SELECT query_id, q.text, top, mean3, CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda w: contains(coalesce(texts, ''), w)))::DOUBLE / len(terms) END AS share FROM q LEFT JOIN t USING (query_id)),
+open AS (SELECT query_id, text FROM s WHERE NOT coalesce(top >= 0.35 AND mean3 >= 0.25 AND share >= 0.3, false) AND regexp_matches(lower(text), '\\b(the|les|und|que)\\b')),
+halves AS (SELECT query_id * 2 AS half_id, substr(text, 1, length(text) // 2) AS text FROM open UNION ALL SELECT query_id * 2 + 1, substr(text, length(text) // 2 + 1) FROM open),
+asked2 AS (SELECT half_id, token, count(*) AS qtf FROM (SELECT half_id, unnest({TOK.format("text")}) AS token FROM halves) GROUP BY ALL),
+weighed2 AS (SELECT half_id, token, qtf * idf AS w FROM asked2 JOIN idf USING (token)),
+flo2 AS (SELECT half_id, sum(w) AS f FROM weighed2 GROUP BY half_id),
+part2 AS (
+    SELECT half_id, post.doc_id, sum(w * tf * 2.2 / (1.2 * (0.5 + 0.5 * len(ts) / avgdl) + tf)) AS g
+    FROM post JOIN weighed2 USING (token) JOIN docs ON docs.doc_id = post.doc_id, stats GROUP BY ALL),
+lex2 AS (SELECT half_id // 2 AS query_id, half_id % 2 AS half, doc_id, row_number() OVER (PARTITION BY half_id ORDER BY round(f + g, 11) DESC, doc_id) AS rank FROM part2 JOIN flo2 USING (half_id) QUALIFY rank <= 10),
+u AS (SELECT query_id, doc_id, 1 AS round, -1 AS half, rank FROM lex UNION ALL SELECT query_id, doc_id, 2, half, rank FROM lex2),
+o AS (SELECT query_id, doc_id, min((round, half, rank)) AS a, arg_min(round, (round, half, rank)) AS round FROM u GROUP BY ALL)"""
+
+
+def asked_twice(read) -> asking.Asked:
+    """Questions of ``benchmark``; those with a concept and too weak a context are taken apart into halves and sought again."""
+    own, index = questions(read), indexed(read)
+    half = F.expr("length(query) div 2").cast("int")
+    halves = F.array(F.substring("query", F.lit(1), half), F.substring("query", half + 1, F.length("query")))
+    aliases = own.sparkSession.createDataFrame(ALIASES, "concept_id string, alias string")
+    matches = knowledge.concept_matches(own.select(F.col("query_id").alias("question_id"), F.col("query").alias("question")), aliases)
+    return asking.two_rounds(
+        own, own.select("query_id", F.lit(0).alias("query_idx"), "query"), matches.select(F.col("question_id").alias("query_id")),
+        own.select("query_id", F.posexplode(halves).alias("query_idx", "query")), lambda asked: lexical.top_k(lexical.scores(asked, index), K),
+        read("documents").select("doc_id", "text"), K, 0.002)
+
+
+@query(f"WITH {ROUNDS_SQL} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY a) AS pos, round FROM o QUALIFY pos <= 20")
+def two_round_search(read):
+    """The first round of all questions, and behind it the second of those that the gate sent back."""
+    return asked_twice(read).hits
+
+
 # texts
 
 digest = lambda c: F.md5(c.cast("binary"))
@@ -395,6 +435,35 @@ def line_kinds(read):
     return lines.groupBy("doc_id", T.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The documents' own lines, marked in turn as the lines of answers are.
+BLOCKS_SQL = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+m AS (SELECT doc_id, line, CASE line % 12 WHEN 0 THEN '- ' || t WHEN 1 THEN '  - ' || t WHEN 2 THEN '  * ' || t WHEN 3 THEN '- ' || t WHEN 4 THEN '1. ' || t WHEN 5 THEN '| a | ' || t || ' |' WHEN 6 THEN '| --- | --- |' WHEN 7 THEN '| b | c |' WHEN 8 THEN 'TERM: ' || t WHEN 9 THEN '' ELSE t END AS t FROM l),
+k AS (SELECT doc_id, line, t, trim(t, {WS}) AS b, CASE WHEN trim(t, {WS}) = '' THEN 'blank'
+WHEN regexp_matches(trim(t, {WS}), '^\|?[ \t:]*-{{2,}}[ \t:]*(\|[ \t:]*-{{2,}}[ \t:]*)+\|?$') THEN 'separator'
+WHEN regexp_matches(trim(t, {WS}), '^\|[^|]+\|.+|^[^|\n]+\|[^|\n]+\||^[^|\n]+[ \t]\|[ \t][^|\n]+') THEN 'table' WHEN regexp_matches(trim(t, {WS}), '^[-*][ \t]+.+') THEN 'bullet'
+WHEN regexp_matches(trim(t, {WS}), '^[0-9]+\.[ \t]+.+') THEN 'numbered' WHEN regexp_matches(trim(t, {WS}), '^([0-9]+\.[ \t]+)?[A-Z][A-Z0-9 /&,\-()]+([ \t]*\[[0-9, \t]+\])?$') THEN 'heading'
+WHEN regexp_matches(trim(t, {WS}), '^[A-Z][A-Z0-9 /&,\-().:]+:[ \t]*.*') THEN 'field' ELSE 'paragraph' END AS k0 FROM m),
+s AS (SELECT doc_id, line, t, b, CASE WHEN k0 = 'bullet' AND regexp_matches(t, '^(\t| {{2,}})[ \t]*[-*][ \t]+') AND lag(k0) OVER (PARTITION BY doc_id ORDER BY line) = 'bullet' THEN 'sub_bullet' ELSE k0 END AS kind FROM k),
+o AS (SELECT *, CASE WHEN kind IN ('table', 'separator') THEN 'table' WHEN kind IN ('bullet', 'sub_bullet') THEN 'list' ELSE kind END AS grp FROM s),
+h AS (SELECT *, lag(grp) OVER (PARTITION BY doc_id ORDER BY line) AS was FROM o),
+g AS (SELECT *, sum(CASE WHEN grp <> 'blank' AND (coalesce(was <> grp, true) OR grp IN ('heading', 'field')) THEN 1 ELSE 0 END) OVER w AS block FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+n AS (SELECT *, CASE WHEN kind = 'sub_bullet' THEN sum(CASE WHEN kind = 'bullet' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY line) END AS under,
+    CASE WHEN grp = 'table' THEN array_to_string(list_transform(string_split(trim(b, '|'), '|'), lambda c: trim(c, {WS})), '|') WHEN grp IN ('list', 'numbered') THEN regexp_replace(b, '^([-*]|[0-9]+\.)[ \t]+', '') ELSE b END AS body FROM g WHERE grp <> 'blank')
+SELECT doc_id, block::BIGINT AS block, grp AS kind, min(line)::INT AS first_line, count(*) AS n_lines, md5(coalesce(string_agg(body || '/' || coalesce(under, 0), chr(10) ORDER BY line) FILTER (kind <> 'separator'), '')) AS items_md5 FROM n GROUP BY doc_id, block, grp"""
+
+
+@query(BLOCKS_SQL)
+def answer_blocks(read):
+    """The documents' lines, marked in turn as the lines of answers are, as blocks with their items."""
+    marked = lambda t, i: (
+        F.when(i % 12 == 0, F.concat(F.lit("- "), t)).when(i % 12 == 1, F.concat(F.lit("  - "), t)).when(i % 12 == 2, F.concat(F.lit("  * "), t)).when(i % 12 == 3, F.concat(F.lit("- "), t))
+        .when(i % 12 == 4, F.concat(F.lit("1. "), t)).when(i % 12 == 5, F.concat(F.lit("| a | "), t, F.lit(" |"))).when(i % 12 == 6, F.lit("| --- | --- |"))
+        .when(i % 12 == 7, F.lit("| b | c |")).when(i % 12 == 8, F.concat(F.lit("TERM: "), t)).when(i % 12 == 9, F.lit("")).otherwise(t))
+    own = read("documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), marked), "\n").alias("text"))
+    items = F.array_join(F.transform("items", lambda x: F.concat(x["text"], F.lit("/"), F.coalesce(x["under"], F.lit(0)))), "\n")
+    return blocks.blocks(own).select("doc_id", "block", "kind", "first_line", "n_lines", digest(items).alias("items_md5"))
+
+
 @query("""WITH d AS (SELECT DISTINCT c_nationkey, CAST(c_custkey AS INT) AS p FROM customer), g AS (SELECT c_nationkey, p, p - row_number() OVER (PARTITION BY c_nationkey ORDER BY p) AS k FROM d),
 r AS (SELECT c_nationkey, k, min(p) AS a, max(p) AS b FROM g GROUP BY ALL) SELECT c_nationkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM r GROUP BY c_nationkey""")
 def page_ranges(read):
