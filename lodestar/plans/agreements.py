@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions import answers as A
 from lodestar.functions.text import article_number
-from lodestar.operators import chunking, injection, terms
+from lodestar.operators import chunking, injection, rollup, terms
 from lodestar.plans.catalog import once, query
 from lodestar.sources.store import written
 
@@ -99,6 +99,18 @@ def definition_chunk_lookup(read):
     return injection.definition_chunks(made, "doc")
 
 
+@query(f"""WITH {BASE}, k AS (SELECT doc, count(*) AS k FROM lines GROUP BY doc), o AS (SELECT doc, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS t FROM own GROUP BY doc)
+SELECT doc, n + 2 AS page_count, n + 2 AS section_count, coalesce(k, 0) AS definition_count, n + t + 1 + CASE WHEN k > 0 THEN 1 ELSE 0 END AS chunk_count, t AS table_count,
+    'definitions: 1, negative_covenants: ' || n || ', preamble: 1' AS types FROM o LEFT JOIN k USING (doc)""")
+def agreement_statistics(read):
+    """One rollup over pages, sections, definitions and chunks, in two halves that are merged."""
+    defined, made = agreement(read)
+    halves = [(f(agreement_pages(read)), f(found_sections(read)), f(defined), f(made)) for f in (lambda t: t.where("doc % 2 = 0"), lambda t: t.where("doc % 2 <> 0"))]
+    counts = rollup.tagged("doc", *halves[0]).union(rollup.tagged("doc", *halves[1]))
+    shown = F.array_join(F.transform(F.map_entries("section_types"), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), ", ")
+    return rollup.document_statistics(counts).withColumn("types", shown).drop("section_types")
+
+
 @query(f"""WITH {BASE}, t AS (SELECT doc, name, count(*) AS n FROM held GROUP BY ALL), s AS (SELECT doc, max(r) AS chunks, count(*) FILTER (r IS NOT NULL) + count(*) FILTER (o_orderstatus = 'F') + 2 AS all_chunks FROM own GROUP BY doc)
 SELECT t.doc, name AS term, (n + 1) / all_chunks > 0.25 AS ubiquitous FROM t JOIN s USING (doc)""")
 def ubiquitous_terms(read):
