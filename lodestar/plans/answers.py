@@ -14,6 +14,8 @@ from lodestar.functions.text import confidence
 from lodestar.operators import citations, dialogue, prompts
 from lodestar.plans.agreements import CAP
 from lodestar.plans.catalog import HYBRID_SQL, digest, hybrid_hits, query, questions
+from lodestar.sources import store
+from lodestar.sources.report_store import ReportStore
 
 BASE = f"""lines AS (SELECT l_orderkey AS id, l_linenumber AS n, min(l_partkey) AS p FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL),
 named AS (SELECT id, n, p, p % 5 + 1 AS m, {CAP} AS name, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS pos, count(*) OVER (PARTITION BY id) AS k FROM lines JOIN part ON p_partkey = p),
@@ -252,6 +254,31 @@ def section_reports(read):
     return prompts.markdown_reports(sections, heads).select("report_id", digest(F.col("markdown")).alias("markdown_md5"))
 
 
+class Steady(Echo):
+    """Answers whatever comes."""
+
+    def complete(self, prompt: str) -> str:
+        return prompt.upper()
+
+
+def steady() -> Completer:
+    return Steady()
+
+
+@query("""WITH s AS (SELECT c_custkey, c_name, 1 AS section_number, NULL AS r_name FROM customer UNION ALL SELECT c_custkey, c_name, r_regionkey + 2, r_name FROM customer, region)
+SELECT c_custkey AS report_id, section_number::BIGINT AS section_number, CASE WHEN section_number = 1 THEN upper('Borrower: ' || c_name) ELSE upper('Terms of ' || CASE WHEN c_custkey % 10 = 7 THEN '(Unknown Borrower)' ELSE upper(c_name) END || ' in ' || r_name) END AS body,
+    'complete' AS status, CASE WHEN section_number = 1 THEN CASE WHEN c_custkey % 10 = 7 THEN 3 ELSE 1 END ELSE 2 END AS attempt FROM s""")
+def staged_reports(read):
+    """A report per customer: its first section names the borrower for the others; a second run makes what failed, and nothing else."""
+    own = read("customer").select(F.col("c_custkey").alias("report_id"), "c_name")
+    first = own.select("report_id", F.lit(1).cast("long").alias("section_number"), F.lit("Parties").alias("title"), F.concat(F.lit("Borrower: "), "c_name").alias("prompt"))
+    rest = own.crossJoin(F.broadcast(read("region"))).select("report_id", (F.col("r_regionkey") + 2).cast("long"), "r_name", F.concat(F.lit("Terms of {borrower} in "), "r_name"))  # five templates
+    reports = ReportStore(own.sparkSession, store.shared_path(own.sparkSession, "reports"))
+    reports.request(first.union(rest))
+    reports.resume(echo)
+    return reports.resume(steady).select("report_id", "section_number", "body", "status", "attempt")
+
+
 # rollups
 
 

@@ -38,6 +38,36 @@ def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("turns", lambda x: x["turn"].cast("string")), ",").alias("turns"))
 
 
+def stream_memory_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three turns of each conversation since its last system turn, which clears what came before."""
+    path = shared_path(spark, "stream")
+    turns, none = _turns(spark, sf_dir), F.lit(None).cast("array<struct<seq:long,text:string>>")
+    one = lambda shift, kind: F.struct((2 * F.col("turn") + shift).alias("seq"), F.lit(kind).alias("kind"))
+    events = F.when(F.col("role") == "system", F.array(one(0, ingest.CLEAR), one(1, ingest.SAY))).otherwise(F.array(one(1, ingest.SAY)))
+    stream = turns.select("conv_id", "text", none.alias("turns"), F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "text", "turns")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        found = ingest.memory_of_events(stream)
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/n={number}")
+
+        found.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+    rows = spark.read.parquet(f"{path}/out").groupBy("conv_id").agg(F.max_by("turns", "batch").alias("turns"))
+    return rows.select("conv_id", F.array_join(F.transform("turns", lambda x: F.floor(x["seq"] / 2).cast("string")), ",").alias("turns"))
+
+
+#: The state store that keeps lists.
+STATE_STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+QUERIES["stream_memory_of_events"] = stream_memory_of_events
+ORACLE_SQL["stream_memory_of_events"] = """WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'system') AS cleared FROM conversations GROUP BY conv_id),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn DESC) AS back FROM conversations c JOIN l ON l.conv_id = c.conv_id WHERE turn >= coalesce(cleared, -1))
+SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM r WHERE back <= 3 GROUP BY conv_id"""
+
+
 def stream_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions over the postings of a stream of texts, of which each content is stored and indexed once."""
     path = shared_path(spark, "intake")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.operators.dialogue import HISTORY_TURNS
@@ -68,3 +69,47 @@ def remembered(stream: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
 
     turns = "array<struct<turn:long,text:string>>"
     return stream.groupBy("conv_id").applyInPandasWithState(keep, f"conv_id long, turns {turns}", f"turns {turns}", "update", GroupStateTimeout.NoTimeout)
+
+
+TURN = "seq long, text string"
+#: What an event does to a conversation's memory.
+SAY, CLEAR, REBUILD = "say", "clear", "rebuild"
+
+
+class Memory(StatefulProcessor):
+    """A conversation's last turns as a list in the state, changed by events; what isn't touched for ``keep`` goes."""
+
+    def __init__(self, n: int, keep: int | None):
+        self.n, self.keep = n, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turns = handle.getListState("turns", TURN, *([self.keep] if self.keep else []))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Events of a batch count in the order of ``seq``, whatever order they come in."""
+        held = [(int(t[0]), t[1]) for t in self.turns.get()] if self.turns.exists() else []
+        for e in sorted((e for batch in rows for e in batch.itertuples(index=False)), key=lambda e: e.seq):
+            if e.kind == SAY:
+                held.append((int(e.seq), e.text))
+            elif e.kind == CLEAR:
+                held = []
+            elif e.kind == REBUILD:
+                held = [(int(t["seq"]), t["text"]) for t in (e.turns if e.turns is not None else [])]
+            held = held[-self.n :]
+        if held:
+            self.turns.put(held)
+        else:
+            self.turns.clear()
+        yield pd.DataFrame({"conv_id": [key[0]], "turns": [[{"seq": s, "text": t} for s, t in held]]})
+
+    def close(self) -> None:
+        pass
+
+
+def memory_of_events(stream: DataFrame, n: int = HISTORY_TURNS, keep_ms: int | None = None) -> DataFrame:
+    """(conv_id, turns) after each batch of events (conv_id, seq, kind, text, turns): ``say`` adds a turn, ``clear`` forgets all,
+    ``rebuild`` puts its own turns (seq, text) in their place. The state is n turns a conversation, dropped ``keep_ms`` after they were written;
+    it needs the state store that keeps lists (RocksDB's)."""
+    kind = "processingTime" if keep_ms else "none"
+    rows = stream.select("conv_id", "seq", "kind", "text", "turns").groupBy("conv_id")
+    return rows.transformWithStateInPandas(Memory(n, keep_ms), "conv_id long, turns array<struct<seq:long,text:string>>", "Update", kind)
