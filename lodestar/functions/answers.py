@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import CITATION, MARKER, parse_page_numbers, strip, strip_markdown
 
 # Patterns, words and limits that results depend on.
+# (The block's lines repeat possessively: the matcher then loops over them and needs no stack.)
 SOURCES_LINE = r"(?i)(?:^|\n)\s*\*{0,2}Sources?\*{0,2}\s*:\s*\*{0,2}\s*([^\n]+)"
-REFERENCES_BLOCK = r"(?i)(?:^|\n)\s*\*{0,2}References?\*{0,2}\s*:\s*\n\s*\n?((?:\s*\[\d+\]\s*[^\n]+\n?\s*\n?)+)"
+REFERENCES_BLOCK = r"(?i)(?:^|\n)\s*\*{0,2}References?\*{0,2}\s*:\s*\n\s*\n?((?:\s*\[\d+\]\s*[^\n]+\n?\s*\n?)++)"
 REFERENCE_LINE = r"(?i)\[(\d+)\]\s*Section\s+([\d.]+(?:\([A-Za-z0-9]+\))*)\s*(?:\(pp?\.\s*([\d,\s\-]+)\))?(?:\s*--\s*[\"“]([^\n]+?)[\"”])?"
 CONFIDENCE_LINE = r"(?i)(?:^|\n)\s*\*{0,2}Confidence\*{0,2}\s*:\s*\*{0,2}\s*(?:HIGH|MEDIUM|LOW)\b"
 COMMENTARY = r"(?im)(?:^|\n)\s*COMMENTARY\s*$"
@@ -62,13 +65,17 @@ def _pages(c: Column) -> Column:
     return F.coalesce(parse_page_numbers(F.nullif(c, F.lit(""))), F.array().cast("array<int>"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: what a lambda names from outside is computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def references(text: Column) -> Column:
     """Array of (number, section_id, pages, quote) of the References block, by number; the first of each number counts."""
     block = F.regexp_extract(text, REFERENCES_BLOCK, 1)
     number, section, pages, quote = (F.regexp_extract_all(block, F.lit(REFERENCE_LINE), k) for k in (1, 2, 3, 4))
     rows = F.transform(F.arrays_zip(number.alias("n"), section.alias("s"), pages.alias("p"), quote.alias("q")), lambda x, i: F.struct(x["n"].cast("int").alias("number"), i.alias("at"), x["s"].alias("section_id"), _pages(x["p"]).alias("pages"), strip(x["q"]).alias("quote")))
-    ordered = F.array_sort(rows)
-    first = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["number"] != x["number"]))
+    first = _once(F.array_sort(rows), lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["number"] != x["number"])))
     return F.transform(first, lambda x: F.struct(x["number"], x["section_id"], x["pages"], x["quote"]))
 
 
@@ -88,16 +95,21 @@ def plain_body(text: Column) -> Column:
 def renumbered(body: Column, sources: Column) -> Column:
     """(body, numbers): markers of ``sources`` numbered sources get new numbers by first appearance; ``numbers`` are the old ones in that
     order. Markers that name no source stay."""
-    numbers = F.transform(F.regexp_extract_all(body, F.lit(MARKER), 1), lambda n: n.try_cast("int"))
-    order = F.array_distinct(F.filter(numbers, lambda n: n.between(1, sources)))
-    parts = F.split(body, r"\[\d+\]")
     raw = F.regexp_extract_all(body, F.lit(MARKER), 1)
+    numbers = F.transform(raw, lambda n: n.try_cast("int"))
+
+    def made(o: Column) -> Column:
+        def marker(i: Column) -> Column:
+            place = F.array_position(o["order"], F.get(o["numbers"], i))
+            return F.when(F.get(o["raw"], i).isNull(), "").otherwise(F.concat(F.lit("["), F.when(place > 0, place.cast("string")).otherwise(F.get(o["raw"], i)), F.lit("]")))
+
+        return F.struct(F.array_join(F.transform(o["parts"], lambda p, i: F.concat(p, marker(i))), "").alias("body"), o["order"].alias("numbers"))
 
-    def marker(i: Column) -> Column:
-        place = F.array_position(order, F.get(numbers, i))
-        return F.when(F.get(raw, i).isNull(), "").otherwise(F.concat(F.lit("["), F.when(place > 0, place.cast("string")).otherwise(F.get(raw, i)), F.lit("]")))
+    def ordered(o: Column) -> Column:
+        order = F.array_distinct(F.filter(o["numbers"], lambda n: n.between(1, sources)))
+        return _once(F.struct(o["raw"].alias("raw"), o["numbers"].alias("numbers"), order.alias("order"), F.split(body, r"\[\d+\]").alias("parts")), made)
 
-    return F.struct(F.array_join(F.transform(parts, lambda p, i: F.concat(p, marker(i))), "").alias("body"), order.alias("numbers"))
+    return _once(F.struct(raw.alias("raw"), numbers.alias("numbers")), ordered)
 
 
 def marker_windows(body: Column, chars: int) -> Column:

@@ -225,7 +225,7 @@ def line_kind(line: Column) -> Column:
     """What a line of an answer is: the first rule that holds."""
     bare = strip(line)
     rules = (
-        ("blank", "^$"), ("separator", r"^\|?[ \t:]*-{2,}[ \t:]*(\|[ \t:]*-{2,}[ \t:]*)+\|?$"),
+        ("blank", "^$"), ("separator", r"^\|?[ \t:]*-{2,}[ \t:]*(\|[ \t:]*-{2,}[ \t:]*)++\|?$"),
         ("table", r"^\|[^|]+\|.+|^[^|\n]+\|[^|\n]+\||^[^|\n]+[ \t]\|[ \t][^|\n]+"), ("bullet", r"^[-*][ \t]+.+"), ("numbered", r"^[0-9]+\.[ \t]+.+"),
         ("heading", r"^([0-9]+\.[ \t]+)?[A-Z][A-Z0-9 /&,\-()]+([ \t]*\[[0-9, \t]+\])?$"), ("field", r"^[A-Z][A-Z0-9 /&,\-().:]+:[ \t]*.*"),
     )

@@ -71,3 +71,21 @@ def test_search_text(spark):
     frame = spark.createDataFrame([(7, "", "7.01", "Liens", "negative_covenants", "body")], "n int, a string, i string, t string, k string, x string")
     got = frame.select(T.search_text(*(F.col(c) for c in frame.columns)).alias("x")).first()["x"]
     assert got == "[Section 7.01: Liens]\n[Type: negative covenants]\nbody"
+
+
+def test_answers_of_ten_thousand_references(spark):
+    """In time that grows with the answer, and without a stack that does."""
+    import time
+
+    from lodestar.functions import answers as A
+
+    n = 10_000
+    text = "Body " + " ".join(f"[{k}]" for k in range(n, 0, -1)) + "\nReferences:\n" + "\n".join(f"[{k}] Section 7.{k % 90 + 1} (pp. 3, 4)" for k in range(1, n + 1)) + "\n|" + " --- |" * n
+    rows = spark.createDataFrame([(text,)], "text string").cache()
+    rows.select(A.references(F.lit("References:\n[1] Section 2.1")), A.renumbered(F.lit("a [2]"), F.lit(3))).collect()
+    rows.count()
+    start = time.time()
+    got = rows.select(A.references(F.col("text")).alias("r"), A.answer_body(F.col("text")).alias("b"), A.renumbered(A.answer_body(F.col("text")), F.lit(n)).alias("m"), T.line_kind(F.element_at(F.split("text", "\n"), -1)).alias("k")).first()
+    assert time.time() - start < 20
+    assert len(got.r) == n and got.r[5].section_id == "7.7" and got.r[5].pages == [3, 4]
+    assert got.b.endswith("[2] [1]") and got.m.numbers[:2] == [n, n - 1] and got.m.body.endswith(f"[{n - 1}] [{n}]") and got.k == "separator"
