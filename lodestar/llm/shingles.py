@@ -11,6 +11,8 @@ _LOWER[65:91] += 32
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a word that is hashed by a polynomial, which long regular words could share whatever the base; longer ones by BLAKE2.
+SHORT = 32
 #: Powers of the base modulo 2^64 and of its inverse, extended as longer texts come.
 _powers = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
 
@@ -40,10 +42,13 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = ~_BREAK[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    length = end - start
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _upto("base", len(data)), out=sums[1:])
-    hashes = (sums[end] - sums[start]) * _upto("inverse", len(data) + 1)[start]
-    return mix(hashes ^ (end - start).astype(np.uint64)), start, end
+    hashes = mix((sums[end] - sums[start]) * _upto("inverse", len(data) + 1)[start] ^ length.astype(np.uint64))
+    for w in np.flatnonzero(length > SHORT).tolist():
+        hashes[w] = int.from_bytes(hashlib.blake2b(data[start[w] : end[w]], digest_size=8).digest(), "little")
+    return hashes, start, end
 
 
 def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:

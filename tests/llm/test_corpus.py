@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestar.llm import compact_windows, embedding_dedup, minhash, queries, sharding, suffix_dedup
+from lodestar.llm import shingles as shingles_of
 from lodestar.llm.components import components
 
 SCHEMA = "doc_id long, text string, id string, doc string, name string, cluster string, lang string, n_chars long"
@@ -129,6 +130,26 @@ def test_quantised_bounds_hold():
     assert (np.abs(real - near) <= d[:, None] * (1 + d) + d * (1 + d[:, None]) + d[:, None] * d + 1e-12).all()
 
 
+def complements(doublings):
+    """The Thue-Morse word of 2^doublings letters and its complement, which polynomials modulo a power of two can't tell apart."""
+    word, flip = "a", str.maketrans("ab", "ba")
+    for _ in range(doublings):
+        word += word.translate(flip)
+    return word, word.translate(flip)
+
+
+def test_long_regular_words_stay_apart(spark):
+    word, other = complements(11)
+    around = prose(random.Random(2), 12)
+    names, _, _ = shingles_of.words(f"{word} {other} {word.upper()} {word[:32]} {other[:32]} {word}x")
+    assert names[0] == names[2] and len(set(names.tolist())) == 5
+    rows = [(1, word), (2, other), (3, word.upper()), (4, f"{around} {word}"), (5, f"{around} {other}")]
+    for words, percent in ((3, 85), (5, 80)):
+        sets, links = jaccard_links(rows, words, percent)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), words, percent).collect()}
+        assert got == reach(sets, links) and got[2] == 2 and got[3] == 1
+
+
 def jaccard_links(rows, words, percent):
     sets = {}
     for i, t in rows:
