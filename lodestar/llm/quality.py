@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,12 @@ from lodestar.llm.common import map_texts, small_batches
 
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
-TERMINAL = tuple(".!?…:;\"'»”’)]")
+#: Closing marks of sentences and quotes in Latin, Chinese and Japanese, Arabic and Urdu, Indic, Ethiopic, Armenian,
+#: Khmer, Burmese and Tibetan writing.
+TERMINAL = tuple(".!?…:;\"'»”’)]" "。！？：；」』】）．｡" "؟؛۔" "।॥" "።፧" "։" "។៕" "၊။" "།༎")
+#: Scripts that put no blanks between words: three of their letters count as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+LETTERS_A_WORD = 3
 #: Lines that are links, and stock phrases, in English, French, Spanish and German; other languages keep the rules without words.
 NAVIGATION_WORDS = (
     r"home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|next|previous|back to top|read more|share|subscribe|skip to content|site map|sitemap|faq|help|"  # en
@@ -60,11 +66,13 @@ def line_fails(line: str, words: list[str]) -> bool:
     """The line rules: too few letters or no closing mark on a short line (punctuation), menus (navigation), stock phrases (boilerplate)."""
     bare = line.strip(" \t\n\v\f\r")
     chars = sum(map(len, words))
-    letters = sum(map(str.isalpha, bare))
+    letters = sum(map(str.isalpha, bare)) if bare.isascii() else sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in bare)
     if letters < MIN_LETTERS * chars:
         return True
     if len(words) < MIN_UNCLOSED_WORDS and not bare.endswith(TERMINAL):
-        return True
+        unspaced = 0 if bare.isascii() else len(UNSPACED.findall(bare))
+        if unspaced < LETTERS_A_WORD * MIN_UNCLOSED_WORDS:
+            return True
     if NAVIGATION.match(bare) or sum(map(SEPARATORS.__contains__, words)) >= MENU_SEPARATORS:
         return True
     return BOILERPLATE.search(bare) is not None
@@ -105,7 +113,8 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that ``clean_lines`` keeps, all columns as they are but the text, which has lost its failing lines.
 
-    Null and empty texts are rejected, as they have no words.
+    Null and empty texts are rejected, as they have no words. Repeated rows are judged alike and stay as often as they come; an empty table
+    stays empty; other columns, whatever their names, are handed on.
     """
     small_batches(docs.sparkSession)
 

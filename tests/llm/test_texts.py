@@ -30,6 +30,13 @@ def empty(spark):
 # quality
 
 
+def test_lines_in_other_scripts():
+    fine = ["这是一句完整的话。", "これはなに？", "هل هذا صحيح؟", "यह हिंदी है।", "ይህ ነው።", "我们今天在这里讨论一些没有句号的长标题", "วันนี้อากาศดีมากและเราไปเดินเล่น", "Это законченное предложение."]
+    poor = ["首页", "ホーム", "الرئيسية", "मुख्य पृष्ठ", "Главная", "1 2 3 4 。"]
+    fails = lambda line: quality.line_fails(line, quality.WORD.findall(line))
+    assert [x for x in fine if fails(x)] == [] and [x for x in poor if not fails(x)] == []
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):
