@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,45 +17,140 @@ UBIQUITOUS = 0.25
 IN_QUERY, COMMON, METADATA, KEYWORD, LONG = 100, -50, 3, 10, 15
 LONG_DEFINITION = 800
 WORD_BREAK = r"(?U)\W+"
+WORD_CHAR = regex.compile(r"\w")
 #: Characters of a term that others are joined on.
 GRAM = 3
+#: Characters of terms that are sent to each executor at most; automata of groups that a task keeps.
+DICTIONARY, AUTOMATA = 1 << 21, 64
 
 
 def found_terms(texts: DataFrame, terms: DataFrame, id_col: str, by: str | None = None) -> DataFrame:
     """(id, term): terms that a text (id, text) names, and the terms that stand inside those.
 
-    Terms are sought from left to right between word borders, the longest first; what is found is consumed, and case counts. Terms that
-    a text may hold come from an equi-join on words, and only these are sought in it. With ``by`` terms (by, term) belong to
-    groups, and a text (by, id, text) is read for the terms of its group.
+    Terms are sought from left to right between word borders, the longest first; what is found is consumed, and case counts. With ``by``
+    terms (by, term) belong to groups, and a text (by, id, text) is read for the terms of its group; texts of a null group name none.
+    A null text names none, nor do null and empty terms; a text whose id is null keeps it.
     """
     keys = [by] if by else []
     own = terms.select(*keys, "term").where("term <> ''").distinct()
-    near = _near(texts, own, id_col, keys)
-    escaped = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))), lambda x: F.regexp_replace(x["term"], r"([^\p{L}\p{N}_])", r"\\$1"))
-    patterns = near.groupBy("_id", *(F.col(k).alias("_by") for k in keys)).agg(F.concat(F.lit(r"(?U)\b(?:"), F.array_join(escaped, "|"), F.lit(r")\b")).alias("pattern"))
-    met = [F.col(id_col).eqNullSafe(F.col("_id")), *(F.col(k).eqNullSafe(F.col("_by")) for k in keys)]
-    hits = texts.join(patterns, met).select(*keys, id_col, F.explode(F.array_distinct(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))).alias("term"))
-    inside = hits.join(sub_terms(own, by), [*keys, "term"]).select(*keys, id_col, F.col("sub_term").alias("term"))
-    return hits.union(inside).distinct().select(*keys, id_col, "term")
+    if by:
+        lists = own.groupBy(by).agg(F.collect_list("term").alias("_terms"))
+        return sought(texts.join(lists, by).select(by, id_col, "text", "_terms"), None, True, True).distinct()
+    known = dictionary(own)
+    if known is not None:
+        return sought(texts.select(id_col, "text"), known, True, True).distinct()
+    hits = sought(_with_near(texts, own, id_col), None, True, False)
+    return hits.union(hits.join(sub_terms(own), "term").select(id_col, F.col("sub_term").alias("term"))).distinct()
 
 
-def _near(texts: DataFrame, terms: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    """(keys, _id, term): texts that hold the longest word of a term; a term without words goes with every text of its group."""
-    sized = F.transform(F.split("term", WORD_BREAK), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
-    words = texts.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.array_append(F.split("text", WORD_BREAK), F.lit("")))).alias("word"))
-    return words.join(terms.withColumn("word", F.array_max(sized)["w"]), [*keys, "word"]).select(*keys, "_id", "term")
+def held_phrases(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """(id, term) in lower case of the terms that a text (id, text) holds between word borders, whatever the case."""
+    own = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+    lower = texts.select(id_col, F.lower("text").alias("text"))
+    known = dictionary(own)
+    return sought(lower if known is not None else _with_near(lower, own, id_col), known, False, False).distinct()
 
 
-def held_phrases(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """(id, term) in lower case of the terms that a text (id, text) holds between word borders, whatever the case.
+def dictionary(terms: DataFrame) -> list[str] | None:
+    """All terms, if they have at most DICTIONARY characters, counted first; None if they have more."""
+    size = terms.agg(F.sum(F.length("term") + 1).alias("n")).first().n or 0
+    return sorted(r.term for r in terms.collect()) if size <= DICTIONARY else None
 
-    Each word of a term is a whole word of a text that holds it, so texts are joined with terms on the term's longest word, and each
-    term is then looked for in the texts of those pairs.
+
+def sought(texts: DataFrame, known: list[str] | None, consume: bool, inside: bool) -> DataFrame:
+    """The columns of ``texts`` before ``text`` and ``term``, a row for each different term of a text: of ``known``, which goes to each
+    executor once, or of the text's own list ``_terms``. ``inside`` adds the terms inside those found.
+
+    Texts are read where they are, in Arrow batches, in one walk over an automaton of the terms, so their number costs nothing. Of
+    lists that come again the last few automata are kept.
     """
-    known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
-    lower = texts.select(id_col, F.lower("text").alias("text"))
-    near = _near(lower, known, id_col, []).distinct()
-    return lower.join(near, F.col(id_col).eqNullSafe(F.col("_id"))).where(F.regexp_like("text", at_borders(F.col("term")))).select(id_col, "term").distinct()
+    keep = texts.columns[: texts.columns.index("text")]
+    names = [*keep, "term"]
+    schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep), "term string"])
+    shared = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = Automaton(shared.value) if shared else None
+        made: dict[tuple, Automaton] = {}
+        for batch in batches:
+            row, hits = [], []
+            for k, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                if not text:
+                    continue
+                own = every
+                if own is None:
+                    terms = tuple(batch.column("_terms")[k].as_py())
+                    if terms not in made:
+                        if len(made) >= AUTOMATA:
+                            made.clear()
+                        made[terms] = Automaton(terms)
+                    own = made[terms]
+                found = own.named(text, consume)
+                found = own.with_inner(found) if inside else found
+                row += [k] * len(found)
+                hits += found
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(hits, pa.string())], names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
+class Automaton:
+    """Finds all of a set of terms in one pass over a text."""
+
+    def __init__(self, terms: Iterable[str]):
+        self.tree = ahocorasick.Automaton()
+        for t in terms:
+            self.tree.add_word(t, t)
+        self.tree.make_automaton()
+        self.empty = len(self.tree) == 0
+
+    def named(self, text: str, consume: bool) -> set[str]:
+        """Terms between word borders; with ``consume`` the leftmost longest that don't overlap."""
+        if self.empty:
+            return set()
+        out: set[str] = set()
+        longest: dict[int, str] = {}
+        for last, term in self.tree.iter(text):
+            start = last + 1 - len(term)
+            if border(text, start) and border(text, last + 1):
+                if consume:
+                    longest[start] = term  # ends rise, so the longest of a start comes last
+                else:
+                    out.add(term)
+        end = 0
+        for start in sorted(longest):
+            if start >= end:
+                out.add(longest[start])
+                end = start + len(longest[start])
+        return out
+
+    def with_inner(self, terms: set[str]) -> set[str]:
+        """Those terms, and the ones that stand anywhere inside them."""
+        return terms.union(*({t for _, t in self.tree.iter(term)} for term in terms))
+
+
+@lru_cache(1 << 16)
+def in_word(char: str) -> bool:
+    """Letters with their marks, decimal digits, connectors and joiners make up words."""
+    return WORD_CHAR.match(char) is not None
+
+
+def border(text: str, at: int) -> bool:
+    return (at > 0 and in_word(text[at - 1])) != (at < len(text) and in_word(text[at]))
+
+
+def _with_near(texts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """(id, text, _terms): texts with the terms they may hold, where a dictionary is too large for each executor: an equi-join on
+    a term's longest word, or on the first character of a term without words."""
+    sized = F.transform(F.split("term", WORD_BREAK), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
+    longest = F.array_max(sized)["w"]
+    marks = F.split(F.regexp_replace("text", r"(?U)\w+", ""), "")
+    words = texts.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.concat(F.split("text", WORD_BREAK), marks))).alias("word")).where("word <> ''").distinct()
+    near = words.join(terms.withColumn("word", F.when(longest == "", F.substring("term", 1, 1)).otherwise(longest)), "word")
+    lists = near.groupBy("_id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    return texts.join(lists, F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, "text", "_terms")
 
 
 def at_borders(term: Column) -> Column:

@@ -2,10 +2,12 @@
 
 import math
 import os
+import random
 import re
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -131,6 +133,42 @@ def test_found_terms_longest_first(spark):
     assert {(r.doc, r.term) for r in terms.found_terms(both, by, "id", "doc").collect()} == {(1, "Loan"), (2, "Term Loan")}
 
 
+@pytest.mark.parametrize("size", [1 << 21, 0])
+def test_terms_by_automaton_against_patterns(spark, monkeypatch, size):
+    """Whether the dictionary goes to each executor or meets its texts by a join, an alternation finds the same."""
+    monkeypatch.setattr(terms, "DICTIONARY", size)
+    rng = random.Random(5)
+    letters = ["a", "b", "ab", " ", "-", "&", ".", "é", "e\u0301", "_", "1", "²", "😀", "A"]
+    made = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(1, n)))
+    names = sorted({made(5) for _ in range(60)} | {"&", "a.b", "-", " "})
+    texts = [(k, made(40)) for k in range(300)] + [(300, "a&b"), (301, "&"), (302, None), (303, ""), (None, "a b")]
+    word = lambda t, k: 0 <= k < len(t) and regex.match(r"\w", t[k]) is not None
+    borders = lambda t, k, n: word(t, k - 1) != word(t, k) and word(t, k + n - 1) != word(t, k + n)
+    by_length, want, held = sorted(names, key=len, reverse=True), set(), set()
+    for i, t in texts:
+        at = 0
+        while t and at < len(t):
+            hit = next((n for n in by_length if t.startswith(n, at) and borders(t, at, len(n))), None)
+            want |= {(i, n) for n in names if hit and n in hit}
+            at += len(hit) if hit else 1
+        low = (t or "").lower()
+        held |= {(i, n.lower()) for n in names if any(low.startswith(n.lower(), k) and borders(low, k, len(n)) for k in range(len(low)))}
+    frame, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in [*names, None, ""]], "term string")
+    got = [(r.id, r.term) for r in terms.found_terms(frame, known, "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert {(r.id, r.term) for r in terms.held_phrases(frame, known, "id").collect()} == held
+    assert terms.found_terms(frame, known.limit(0), "id").count() == 0 and terms.found_terms(frame.limit(0), known, "id").count() == 0
+
+
+def test_terms_of_many_groups(spark, monkeypatch):
+    """More groups in a task than it keeps automata for; texts of null groups and of groups without terms name none."""
+    monkeypatch.setattr(terms, "AUTOMATA", 2)
+    known = spark.createDataFrame([(g % 7, f"Term {g % 5}") for g in range(35) if g % 7 != 3] + [(None, "Term 1"), (4, None)], "doc int, term string")
+    texts = [(g % 9 if g % 11 else None, g, f"of Term {g % 5} and term 1") for g in range(99)]
+    got = {(r.doc, r.id, r.term) for r in terms.found_terms(spark.createDataFrame(texts, "doc int, id int, text string"), known, "id", "doc").collect()}
+    assert got == {(d, i, f"Term {i % 5}") for d, i, _ in texts if d is not None and d < 7 and d != 3}
+
+
 def test_phrases_of_several_words(spark):
     texts = [(1, "A Trap Door? (IP-stripping), e.g. J.Crew"), (2, "trapdoor strap door"), (3, "net  income"), (4, "Net income."), (5, None), (6, ""), (7, "EBITDA"), (None, "the trap door")]
     phrases = ["trap door", "IP-Stripping", "j.crew", "net income", "door", "jxcrew", "ebit", None, ""]
