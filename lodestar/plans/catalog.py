@@ -17,7 +17,7 @@ from lodestar.functions import plugins
 from lodestar.functions import text as T
 from lodestar.operators import asking, blocks, citations, dialogue, fusion, injection, knowledge, lexical, segments, terms, vectors
 from lodestar.operators.cells import CellIndex
-from lodestar.sources import store
+from lodestar.sources import page_dumps, store
 from lodestar.sources.posting_log import PostingLog
 
 FLAGSHIP = "hybrid_search"
@@ -880,3 +880,15 @@ def promoted_insert(read):
     hits = hybrid_hits(read).drop("source").join(kinds, "doc_id").select("query_id", "pos", "doc_id", "section", "score", "definition")
     made = hits.select("query_id").distinct().select("query_id", F.lit(1).alias("pos"), (-1 - F.col("query_id")).alias("doc_id"), F.lit("definitions").alias("section"))
     return injection.promote(hits, made, K).select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id")
+
+
+@query(r"""WITH d AS (SELECT coalesce(source, 'none') || '-' || doc_id // 1000 AS document, doc_id, coalesce(text, '') AS text FROM documents)
+SELECT document, row_number() OVER (PARTITION BY document ORDER BY doc_id) AS page, md5(text) AS text, length(trim(text, E' \t\n\r\v\f')) < 100 AS needs_ocr FROM d""")
+def dumped_pages(read):
+    """Texts written as dumps of a thousand ids of a source, a page each, and read again with their places."""
+    docs = read("documents")
+    path = store.shared_path(docs.sparkSession, "dumps")
+    document = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000))
+    page_dumps.write_pages(docs.select(document.alias("document"), F.col("doc_id").alias("page"), "text"), path)
+    found = page_dumps.read_pages(docs.sparkSession, path)
+    return found.select(F.regexp_extract("path", "document=([^/]+)/", 1).alias("document"), "page", F.md5("text").alias("text"), "needs_ocr")

@@ -5,12 +5,14 @@ import shutil
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lodestar.operators import lexical
 from lodestar.operators.cells import CellIndex
 from lodestar.operators.vectors import nearest
 from lodestar.plans import catalog
+from lodestar.sources import page_dumps as sources
 from lodestar.sources.posting_log import PostingLog
 from lodestar.streaming.ingest import Intake
 
@@ -132,3 +134,33 @@ def test_intake_takes_each_content_once(spark, tmp_path):
     assert texts() == ["alpha loan", "beta loan", "delta", "gamma loan"]
     built = lexical.index(intake.contents().select("document_id", "text"), "document_id")
     assert intake.log.index().stats.first() == built.stats.first()
+
+
+@pytest.mark.parametrize("block", ["64b", "1kb", "64mb"])
+def test_pages_of_dumps(spark, tmp_path, block):
+    """However Spark splits the files, each page has its place in its file; what is written is read again."""
+    rng = np.random.default_rng(8)
+    texts = ["", None, "é\n漢字 😀\r\nline", "x" * 99, " " * 200, "x" * 100, "two\fpages"]
+    pages = [(f"d{d}", p, texts[rng.integers(len(texts))]) for d in range(5) for p in range(1, 1 + 40 * d)]
+    frame = spark.createDataFrame(pages, "document string, page int, text string")
+    sources.write_pages(frame, f"file://{tmp_path}/dumps")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        found = sources.read_pages(spark, f"file://{tmp_path}/dumps")
+        got = sorted((r.path.split("document=")[1].split("/")[0], r.page, r.text, r.needs_ocr) for r in found.collect())
+        part = found.where("path LIKE '%document=d3%' AND page > 7").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(d, p, (t or "").replace("\f", " ")) for d, p, t in pages]
+    assert got == sorted((d, p, t, len(t.strip()) < 100) for d, p, t in want)
+    assert part == sum(d == "d3" and p > 7 for d, p, _ in want)
+
+
+def test_dumps_that_end_without_a_page_end(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("one\ftwo\f\flast".encode())
+    (tmp_path / "b.txt").write_bytes(b"")
+    got = [(r.path.rsplit("/", 1)[1], r.page, r.text) for r in sources.read_pages(spark, f"file://{tmp_path}").orderBy("page").collect()]
+    assert got == [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("a.txt", 3, ""), ("a.txt", 4, "last")]
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        sources.read_pages(spark, f"file://{tmp_path}/missing")
