@@ -2,10 +2,11 @@
 
 import glob
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import asking, blocks, rollup
+from lodestar.operators import asking, blocks, fusion, rollup
 from lodestar.plans.answers import echo, steady
 from lodestar.sources.report_store import ReportStore
 
@@ -80,3 +81,34 @@ def test_statistics_merge(spark):
     assert (got[1].page_count, got[1].section_count, got[1].definition_count, got[1].chunk_count, got[1].table_count) == (4, 8, 2, 2, 6)
     assert list(got[1].section_types.items()) == [("a", 4), ("z", 2)]
     assert (got[2].page_count, got[2].section_count, got[2].chunk_count, got[2].section_types) == (2, 0, 4, {})
+
+
+def test_siblings_by_plain_rules(spark):
+    """Sections are opened by their first hit that is no definition; chunks come in order while they fit, and have to share a word."""
+    rng = random.Random(6)
+    chunks = [(d, f"s{d % 12}", d // 12, rng.choice([0, 90, 150, 260, 400, 900]), rng.choice(["a zebra here", "the QUOKKA", "nothing"])) for d in range(120)]
+    asked = [(q, "zebra quokka" if q % 3 else "is it so") for q in range(8)]
+    by_id = {c[0]: c for c in chunks}
+    hits = [(q, pos, d, by_id[d][1], 1.0 / (pos + 1), rng.random() < 0.3) for q, _ in asked for pos, d in enumerate(rng.sample(range(120), 9))]
+    hits += [(0, 20, 500, None, 0.01, False), (1, 20, 501, "elsewhere", 0.01, False)]
+    want = {}
+    for q, text in asked:
+        own, opened, out = {h[2] for h in hits if h[0] == q}, set(), []
+        for _, pos, d, section, score, definition in sorted(h for h in hits if h[0] == q):
+            if definition or section in opened:
+                continue
+            opened.add(section)
+            left = fusion.SIBLING_TOKENS
+            for other in sorted((c for c in chunks if c[1] == section and c[0] not in own), key=lambda c: (c[2], c[0])):
+                if (text == "is it so" or "nothing" not in other[4]) and other[3] <= left:
+                    left -= other[3]
+                    out.append((other[0], section, round(score * fusion.SIBLING_SHARE, 9)))
+        want |= {(q, k + 1): x for k, x in enumerate(out)}
+    frames = (
+        spark.createDataFrame(hits, "query_id int, pos int, doc_id long, section string, score double, definition boolean"),
+        spark.createDataFrame(chunks, "doc_id long, section string, chunk_index int, n_tokens int, text string"),
+        spark.createDataFrame(asked, "query_id int, query string"),
+    )
+    got = {(r.query_id, r.pos): (r.doc_id, r.section, round(r.score, 9)) for r in fusion.siblings(*frames).collect()}
+    assert got == want and len(want) > 60
+    assert fusion.siblings(frames[0].limit(0), *frames[1:]).count() == 0 and fusion.siblings(frames[0], frames[1].limit(0), frames[2]).count() == 0
