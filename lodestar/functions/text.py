@@ -87,15 +87,18 @@ def is_table_line(c: Column) -> Column:
 
 def normalize_tables(c: Column) -> Column:
     """A blank line before and after each block of pipe-table lines."""
-    lines = F.split(c, "\n")
-    before = lambda i: F.get(lines, i - 1)
 
-    def line(x: Column, i: Column) -> Column:
-        turn = (i > 0) & (is_table_line(x) != is_table_line(before(i)))
-        blank = F.when(is_table_line(x), strip(before(i)) == "").otherwise(strip(x) == "")
-        return F.when(turn & ~blank, F.concat(F.lit("\n"), x)).otherwise(x)
+    def spaced(lines: Column) -> Column:
+        before = lambda i: F.get(lines, i - 1)
 
-    return F.array_join(F.transform(lines, line), "\n")
+        def line(x: Column, i: Column) -> Column:
+            turn = (i > 0) & (is_table_line(x) != is_table_line(before(i)))
+            blank = F.when(is_table_line(x), strip(before(i)) == "").otherwise(strip(x) == "")
+            return F.when(turn & ~blank, F.concat(F.lit("\n"), x)).otherwise(x)
+
+        return F.array_join(F.transform(lines, line), "\n")
+
+    return F.transform(F.array(F.split(c, "\n")), spaced)[0]  # split once, not once a line
 
 
 def tokenize(c: Column) -> Column:

@@ -12,7 +12,7 @@ from lodestar.functions.text import OCR_CHARS, article_number, section_type, str
 ARTICLE = r"(?m)(?:^|\n)\s*ARTICLE\s+([IVXLCDM]+|\d+)\s*[:\-—–.]*\s*\n?\s*([A-Z][A-Za-z0-9 ,&()'/-]+)"
 TOP_SECTION = r"(?m)(?:^|\n)\s*SECTION\s+(\d+)\s+([A-Z][A-Z0-9 ,&()'/-]+)"
 SUBSECTION = r"(?m)(?:^|\n)\s*(?:SECTION|Section)?\s*(\d+\.\d+)\s*[.:]?\s+([A-Za-z][^\n.;]{2,80})"
-DEFINITION = r"[\"“]([A-Za-z][A-Za-z0-9\s\-/,()&]+?)[\"”](?=\s*:|\s*(?i:means?|shall\s+mean|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to))"
+DEFINITION = r"(?:\"(?=[^\"”]+\")|“(?=[^\"”]+”))([A-Za-z][A-Za-z0-9\s\-/,()&]+?)[\"”](?=\s*:|\s*(?i:means?|shall\s+mean|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to))"
 PAGE_BREAK, MIN_PREAMBLE, PACK_TOKENS, OVERLAP_TOKENS, SIBLING_TOKENS = "\n\n", 50, 800, 200, 1200
 PARAGRAPHS = r"\n\s*\n|\n\s*(?=\([a-z]\)|\([ivx]+\))"
 CLAUSES, SENTENCES, MAX_TOKENS = r"(?=\([a-z]\)|\([ivx]+\))", r"(?<=\.)\s+(?=[A-Z])", 1200
@@ -126,7 +126,8 @@ def tail_within(items: Column, budget: int) -> Column:
 def split_oversized(paragraph: Column, limit: int = PACK_TOKENS) -> Column:
     """Parts of a long paragraph packed up to ``limit`` words: cut at clause marks, else at semicolons, else at sentences, else whole."""
     clauses, halves, sentences = F.split(paragraph, CLAUSES), F.split(paragraph, ";"), F.split(paragraph, SENTENCES)
-    closed = F.transform(halves, lambda p, i: F.when(i < F.size(halves) - 1, F.concat(strip(p), F.lit(";"))).otherwise(strip(p)))
+    ended = lambda parts: F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(strip(p), F.lit(";"))).otherwise(strip(p)))
+    closed = F.transform(F.array(halves), ended)[0]  # split once, not once a part
     parts = F.when(F.size(clauses) > 1, clauses).when(F.size(halves) > 1, closed).when(F.size(sentences) > 1, sentences).otherwise(F.array(paragraph))
     packed = greedy_pack(F.filter(F.transform(parts, strip), lambda p: p != ""), limit)
     return F.when(F.size(packed) > 0, packed).otherwise(parts)

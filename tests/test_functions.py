@@ -1,9 +1,12 @@
 """Text functions on single values, edge cases included."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators import segments
 
 
 def one(spark, make, *values):
@@ -89,3 +92,19 @@ def test_answers_of_ten_thousand_references(spark):
     assert time.time() - start < 20
     assert len(got.r) == n and got.r[5].section_id == "7.7" and got.r[5].pages == [3, 4]
     assert got.b.endswith("[2] [1]") and got.m.numbers[:2] == [n, n - 1] and got.m.body.endswith(f"[{n - 1}] [{n}]") and got.k == "separator"
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Tables and paragraphs of tens of thousands of parts: arrays are split once."""
+    lines = [("| a | b |" if k % 3 else f"line {k}") for k in range(40000)]
+    want = [x if k == 0 or x.startswith("|") == lines[k - 1].startswith("|") else "\n" + x for k, x in enumerate(lines)]
+    start = time.time()
+    assert one(spark, T.normalize_tables, "\n".join(lines)) == "\n".join(want)
+    parts = one(spark, segments.split_oversized, ";".join(f"part {k} of it" for k in range(20000)))
+    assert time.time() - start < 30 and " ".join(" ".join(parts).split()) == " ".join(f"part {k} of it;" for k in range(20000))[:-1]
+
+
+def test_quotes_of_definitions_come_in_pairs(spark):
+    cases = {"“Term” means x": "Term", '"Term" means x': "Term", '“Term" means x': "", '"Term” means x': "", '"One”, "Two" means': "Two", "“Loan”: x": "Loan"}
+    for text, term in cases.items():
+        assert one(spark, lambda c: F.regexp_extract(c, segments.DEFINITION, 1), text) == term, text
