@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators.lexical import top_k
-from lodestar.operators.vectors import nearest
+from lodestar.operators.vectors import nearest, strips
 from lodestar.sources.store import written
 
 #: The training sample has at most so many vectors a cell, and in all; cells grow with the root of the number of vectors, up to MOST.
@@ -113,14 +113,14 @@ class CellIndex:
 
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                near = unit(np.stack(batch["v"].to_numpy()).astype(np.float64)) @ centres.T
                 m = min(nearest_cells, len(centres))
-                best = np.argsort(-near, axis=1, kind="stable")[:, :m] if m > 1 else near.argmax(axis=1)[:, None]
-                row = np.repeat(np.arange(len(batch)), m)
-                out = batch.iloc[row].reset_index(drop=True)
-                yield out.assign(cell=best.ravel().astype(np.int32), angle=np.arccos(np.clip(near[row, best.ravel()], -1, 1)))
+                for at in strips(len(batch), max(len(centres), m * centres.shape[1])):  # a row goes to m cells with its vector
+                    part = batch.iloc[at]
+                    near = unit(np.stack(part["v"].to_numpy()).astype(np.float64)) @ centres.T
+                    best = np.argsort(-near, axis=1, kind="stable")[:, :m] if m > 1 else near.argmax(axis=1)[:, None]
+                    row = np.repeat(np.arange(len(part)), m)
+                    out = part.iloc[row].reset_index(drop=True)
+                    yield out.assign(cell=best.ravel().astype(np.int32), angle=np.arccos(np.clip(near[row, best.ravel()], -1, 1)))
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         return rows.mapInPandas(run, f"{kinds}, cell int, angle double")
@@ -160,15 +160,15 @@ class CellIndex:
 
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                near = unit(np.stack(batch["v"].to_numpy()).astype(np.float64)) @ centres.T
-                order = np.argsort(-near, axis=1, kind="stable")
-                best = (1 + np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - reach - SLACK))) / 2
-                open_ = (best >= batch["least"].fillna(-1).to_numpy()[:, None] - SLACK) & (reach >= 0)
-                np.put_along_axis(open_, order[:, :probes], False, axis=1)
-                row, cell = np.nonzero(open_)
-                yield batch.drop(columns="least").iloc[row].reset_index(drop=True).assign(cell=cell.astype(np.int32))
+                for at in strips(len(batch), centres.size):  # a row goes to all cells at most, with its vector
+                    part = batch.iloc[at]
+                    near = unit(np.stack(part["v"].to_numpy()).astype(np.float64)) @ centres.T
+                    order = np.argsort(-near, axis=1, kind="stable")
+                    best = (1 + np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - reach - SLACK))) / 2
+                    open_ = (best >= part["least"].fillna(-1).to_numpy()[:, None] - SLACK) & (reach >= 0)
+                    np.put_along_axis(open_, order[:, :probes], False, axis=1)
+                    row, cell = np.nonzero(open_)
+                    yield part.drop(columns="least").iloc[row].reset_index(drop=True).assign(cell=cell.astype(np.int32))
 
         rows = asked.join(last, "id", "left")
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)

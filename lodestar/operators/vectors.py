@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.lexical import EXACT, top_k
 
-#: Rows of a block of queries and of vectors.
-QUERIES, VECTORS = 2048, 16384
+#: Rows of a block of queries and of vectors; numbers of a matrix that a task holds at once.
+QUERIES, VECTORS, HELD = 2048, 16384, 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,12 +23,46 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def strips(rows: int, width: int) -> Iterator[slice]:
+    """Runs of rows whose product with ``width`` columns has about HELD numbers, so that a task's memory doesn't follow its batch."""
+    step = max(1, HELD // max(1, width))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length one, a row each, out of an Arrow column of lists of one length."""
+    lists = vectors.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    if not len(lists):
+        return np.zeros((0, 0))
+    if len(np.unique(np.diff(lists.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors that are compared have to be of one length")
+    m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+def best_of(asked: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score): the k best columns of each row by (1 + cosine) / 2 to EXACT digits, the first of equals; a strip of rows at a time."""
+    out = []
+    for at in strips(len(asked), len(own)):
+        score = (1 + asked[at] @ own.T) / 2
+        shown = np.round(score, EXACT)
+        last = -np.partition(-shown, k - 1, axis=1)[:, k - 1] if k < len(own) else np.full(len(shown), -np.inf)
+        row, column = np.nonzero(~(shown < last[:, None]))
+        order = np.lexsort((column, -shown[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place < k], column[place < k]
+        out.append((row + at.start, column, score[row, column]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = 5) -> DataFrame:
     """(query_id, id, score, rank) of queries (query_id, vector, [label]): the k vectors of the largest (1 + cosine) / 2.
 
     With a ``label`` in the queries only vectors of that label are compared: the filter comes before the scores. A task multiplies a
     block of queries with a block of vectors and keeps k of each query; blocks have at most about QUERIES and VECTORS rows,
-    so their number follows the tables and nothing is broadcast. Null vectors and such of length zero match nothing. Scores are
+    so their number follows the tables and nothing is broadcast, and scores are made for a strip of queries at a time. Null vectors and such of length zero match nothing. Scores are
     shown to ``digits``; with None all that blocks found is given, unranked and unrounded: k or more of each query.
     """
     label = "label" if "label" in queries.columns else None
@@ -42,17 +78,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
     keys = ["label", "n_own", "n_asked"]
     kind, query_kind = own.schema["id"].dataType.simpleString(), asked.schema["id"].dataType.simpleString()
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": [], "id": [], "score": []})
-        if not len(left) or not len(right):
-            return out
-        unit = lambda frame: (m := np.stack(frame["v"].to_numpy())) / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
-        left = left.sort_values("id", kind="stable")
-        score = (1 + unit(right) @ unit(left).T) / 2
-        best = np.argsort(-np.round(score, EXACT), axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(right)), best.shape[1])
-        return pd.DataFrame({"query_id": right["id"].to_numpy()[row], "id": left["id"].to_numpy()[best.ravel()], "score": score[row, best.ravel()]})
-
-    pairs = dealt(own, "n_own", "n_asked").groupBy(*keys).cogroup(dealt(asked, "n_asked", "n_own").groupBy(*keys)).applyInPandas(compare, f"query_id {query_kind}, id {kind}, score double")
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("id")
+        theirs, mine = unit_rows(left["v"]), unit_rows(right["v"])
+        rows, columns, scores = best_of(mine, theirs, k) if len(left) and len(right) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": right["id"].take(pa.array(rows)), "id": left["id"].take(pa.array(columns)), "score": pa.array(scores)})
+
+    pairs = dealt(own, "n_own", "n_asked").groupBy(*keys).cogroup(dealt(asked, "n_asked", "n_own").groupBy(*keys)).applyInArrow(compare, f"query_id {query_kind}, id {kind}, score double")
     pairs = pairs.withColumnRenamed("id", id_col)
     return pairs if digits is None else top_k(pairs, k, id_col, digits)

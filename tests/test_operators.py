@@ -333,3 +333,26 @@ def test_insert_within(spark):
     for r in fusion.insert_within(h, c, 4).orderBy("query_id", "pos").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, r.section, r.score, r.definition))
     assert got == want
+
+
+def test_scores_of_a_block_are_held_a_strip_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestar.operators.lexical import EXACT
+    from lodestar.operators.vectors import best_of
+
+    random = np.random.default_rng(1)
+    own = random.integers(-2, 3, (8192, 4)).astype(float) + 0.5  # many equal scores
+    own /= np.sqrt((own**2).sum(axis=1))[:, None]
+    asked = own[:1024]
+    tracemalloc.start()
+    row, column, score = best_of(asked, own, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < asked.shape[0] * own.shape[0] * 8  # less than one matrix of all scores
+    full = np.round((1 + asked[:50] @ own.T) / 2, EXACT)
+    assert column[: 50 * 10].reshape(50, 10).tolist() == np.argsort(-full, axis=1, kind="stable")[:, :10].tolist()
+    assert (np.bincount(row) == 10).all() and np.allclose(score[:10], full[0, column[:10]])
+    assert [len(x) for x in best_of(asked[:3], own[:2], 10)] == [6, 6, 6]
