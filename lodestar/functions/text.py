@@ -121,7 +121,8 @@ def roman_to_int(c: Column) -> Column:
 
 
 def article_number(c: Column) -> Column:
-    return F.coalesce(c.try_cast("int"), roman_to_int(c))
+    number = F.when(c.rlike("[0-9]"), c.try_cast("int"))  # a cast that fails costs an exception
+    return F.coalesce(number, roman_to_int(c))
 
 
 def section_type(title: Column, fallback: str = "other") -> Column:

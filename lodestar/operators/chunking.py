@@ -10,6 +10,7 @@ from lodestar.functions.answers import chunk_pages, clean_definition
 from lodestar.functions.text import chunk_id, section_type, strip, word_count
 from lodestar.operators import segments
 from lodestar.operators.terms import found_terms
+from lodestar.sources.store import written
 
 # Words of a definition that stands alone, and the titles of sections without a header.
 ALONE_TOKENS = 50
@@ -21,24 +22,34 @@ def _page_of(starts: Column, offset: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(starts, lambda s: s["offset"] <= offset), F.lit(-1))["page"], F.lit(1))
 
 
+def _heads() -> Column:
+    """The subsections' heads (id, title, at, label) of an article (number, start, body), in order: headers whose first part is its number.
+    They stay in the article's row, so that no body is carried through a shuffle once for each of them."""
+
+    def head(m: Column) -> Column:
+        own = F.regexp_extract(m["part"], segments.SUBSECTION, 1)
+        at = F.col("start") + m["offset"]
+        title = F.rtrim(strip(F.regexp_extract(m["part"], segments.SUBSECTION, 2)), F.lit("."))
+        label = at + F.regexp_instr(m["part"], F.lit(r"\d+\.\d+")) - 1
+        return F.struct(F.when(own.startswith(F.concat(F.col("number").cast("string"), F.lit("."))), own).alias("id"), title.alias("title"), at.alias("at"), label.alias("label"))
+
+    return F.filter(F.transform(segments.matches(F.col("body"), segments.SUBSECTION), head), lambda h: h["id"].isNotNull())
+
+
 def sections(pages: DataFrame, doc_col: str) -> DataFrame:
     """(doc, ord, section_id, article_number, section_title, article_title, section_type, text, page_start, page_end, tables) of pages
     (doc, page, text, tables array): the preamble, then subsections of articles, or whole articles without any; a document without
     an article is one section. A section has the tables of its pages, but not those of a last page that the next section
     starts on."""
-    texts = segments.full_texts(pages, doc_col, "page")
+    texts = written(segments.full_texts(pages, doc_col, "page"), "texts")
     starts = segments.page_offsets(pages, doc_col, "page").groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("offset", F.col("page").cast("int").alias("page")))).alias("starts"))
     found = segments.articles(texts, doc_col).withColumn("next_start", F.lead("start").over(Window.partitionBy(doc_col).orderBy("start")))
-    heads = found.select(doc_col, "number", F.col("title").alias("article_title"), "type", "start", "end", "body", F.explode_outer(segments.matches(F.col("body"), segments.SUBSECTION)).alias("m"))
-    own = F.regexp_extract("m.part", segments.SUBSECTION, 1)
-    heads = heads.withColumn("id", F.when(own.startswith(F.concat(F.col("number").cast("string"), F.lit("."))), own)).withColumn("at", F.col("start") + F.col("m.offset")).withColumn("label", F.col("at") + F.regexp_instr("m.part", F.lit(r"\d+\.\d+")) - 1)
-    split = heads.where("id IS NOT NULL")
-    order = Window.partitionBy(doc_col, "number").orderBy("at")
-    split = split.withColumn("stop", F.coalesce(F.lead("at").over(order), "end")).withColumn("next_label", F.lead("label").over(order))
-    title = F.rtrim(strip(F.regexp_extract("m.part", segments.SUBSECTION, 2)), F.lit("."))
-    kind = F.coalesce(F.nullif(section_type(title), F.lit("other")), F.col("type"))
-    part = split.select(doc_col, F.col("number").alias("article_number"), F.col("id").alias("section_id"), title.alias("section_title"), "article_title", kind.alias("section_type"), F.col("body").substr(F.col("at") - F.col("start") + 1, F.col("stop") - F.col("at")).alias("text"), F.col("label").alias("from"), F.col("stop").alias("to"), "next_label")
-    alone = found.join(split.select(doc_col, "number").distinct(), [doc_col, "number"], "left_anti")
+    found = written(found.withColumn("heads", _heads()), "articles")
+    cut = lambda h, i: F.struct(h["id"].alias("id"), h["title"].alias("title"), h["at"].alias("at"), h["label"].alias("label"), F.coalesce(F.get("heads", i + 1)["at"], "end").alias("stop"), F.get("heads", i + 1)["label"].alias("next_label"))
+    split = found.select(doc_col, "number", F.col("title").alias("article_title"), "type", "start", "body", F.explode(F.transform("heads", cut)).alias("h"))
+    kind = F.coalesce(F.nullif(section_type(F.col("h.title")), F.lit("other")), F.col("type"))
+    part = split.select(doc_col, F.col("number").alias("article_number"), F.col("h.id").alias("section_id"), F.col("h.title").alias("section_title"), "article_title", kind.alias("section_type"), F.col("body").substr(F.col("h.at") - F.col("start") + 1, F.col("h.stop") - F.col("h.at")).alias("text"), F.col("h.label").alias("from"), F.col("h.stop").alias("to"), F.col("h.next_label").alias("next_label"))
+    alone = found.where(F.size("heads") == 0)
     whole = alone.select(doc_col, F.col("number").alias("article_number"), F.concat(F.lit("SECTION_"), "number").alias("section_id"), F.col("title").alias("section_title"), F.col("title").alias("article_title"), F.col("type").alias("section_type"), F.col("body").alias("text"), F.col("start").alias("from"), F.col("end").alias("to"), F.col("next_start").alias("next_label"))
     first = found.groupBy(doc_col).agg(F.min("start").alias("to"))
     fixed = lambda frame, name, title, kind, text, stop: frame.select(doc_col, F.lit(0).alias("article_number"), F.lit(name).alias("section_id"), F.lit(title).alias("section_title"), F.lit(title).alias("article_title"), F.lit(kind).alias("section_type"), text.alias("text"), F.lit(0).alias("from"), stop.alias("to"), F.lit(None).cast("int").alias("next_label"))

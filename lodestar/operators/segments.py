@@ -42,7 +42,7 @@ def offset_to_page(points: DataFrame, pages: DataFrame, doc_col: str, page_col:
 def matches(text: Column, pattern: str) -> Column:
     """Array of (offset from 0, match): the text is cut before each match, and one fold over the parts carries the offset. The text
     must not hold the character that marks cuts; it counts as a blank."""
-    parts = F.split(F.regexp_replace(F.translate(text, CUT, " "), pattern, CUT + "$0"), CUT)
+    parts = F.split(F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(" ")), pattern, CUT + "$0"), CUT)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,part:string>>").alias("out"))
     step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("offset"), p.alias("part"))).alias("out"))
     return F.aggregate(parts, state, step, lambda s: F.slice(s["out"], 2, F.greatest(F.size(s["out"]) - 1, F.lit(0))))

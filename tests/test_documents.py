@@ -229,3 +229,15 @@ def test_nearest_in_blocks(spark, monkeypatch):
             cos = lambda y, x=x: sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
             want = sorted((-round((1 + cos(y)) / 2, 11), j) for j, y, other in fine if other == lab)[:5]
             assert [j for j, _ in got[i]] == [j for _, j in want]
+
+
+def test_sections_cut_a_body_in_its_article_row(spark):
+    """No window carries the text of an article: the plan keeps those of page offsets and of the order of sections."""
+    from lodestar.operators import chunking
+
+    text = "ARTICLE I\nNEGATIVE COVENANTS\n1.01 Liens\nNone but one.\n9.01 Other\nNo head here.\n1.02 Debt\nNone."
+    pages = spark.createDataFrame([("d", 1, text, ["t"])], "doc string, page int, text string, tables array<string>")
+    made = chunking.sections(pages, "doc")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
+    rows = [(r.ord, r.section_id, r.text.strip().split("\n")[-1]) for r in made.orderBy("ord").collect()]
+    assert rows == [(1, "1.01", "No head here."), (2, "1.02", "None.")]
