@@ -18,6 +18,8 @@ from lodestar.functions.text import EDGE_MARKS, tokenize
 K1, B, DELTA = 1.2, 0.5, 1.0
 #: Digits to which scores are compared.
 EXACT = 11
+#: Parts of a summand: multiples of this add up without rounding as long as sums stay below 2 ** 53 of them (8,192).
+FINE = 2.0**-40
 #: Texts that are counted together; what separates pieces.
 ROWS, BLANKS = 200, re.compile(r"[ \t\n\x0b\f\r]+")
 #: From a piece's first character that isn't an edge mark to its end.
@@ -85,6 +87,13 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lengths(docs, id_col, text_col).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def steady_sum(value: Column) -> Column:
+    """The sum of doubles in whatever order they come: coarse parts add up exactly, and what rounding leaves of fine ones lies far below a
+    double's last digit. So equal texts have equal scores, and their ties go to the smaller id."""
+    coarse = F.rint(value / FINE) * FINE
+    return F.sum(coarse) + F.sum(value - coarse)
+
+
 def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score) of queries (query_id, query): BM25Plus with idf ln((N + 1) / df), over documents or a stored index.
 
@@ -99,10 +108,10 @@ def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id",
     stats = F.broadcast(of.stats)  # one row
     idf = found.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats).select("token", F.log((F.col("n_docs") + 1) / F.col("df")).alias("idf"))
     weighed = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    floor = weighed.groupBy("query_id").agg((F.sum("w") * DELTA).alias("floor"))
+    floor = weighed.groupBy("query_id").agg((steady_sum(F.col("w")) * DELTA).alias("floor"))
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
     weight = found.crossJoin(stats).select(id_col, "token", (tf * (K1 + 1) / (K1 * norm + tf)).alias("weight"))
-    part = weight.join(weighed, "token").groupBy("query_id", id_col).agg(F.sum(F.col("w") * F.col("weight")).alias("gain"))
+    part = weight.join(weighed, "token").groupBy("query_id", id_col).agg(steady_sum(F.col("w") * F.col("weight")).alias("gain"))
     return part.join(floor, "query_id").select("query_id", id_col, (F.col("floor") + F.col("gain")).alias("score"))
 
 
