@@ -56,36 +56,48 @@ NOISE = r"(?m)^\s*(?:Powered by BamSEC\.com|PDF page \d+|[A-Z][A-Za-z\s,.]+ / \d
 
 def listed_sources(text: Column) -> Column:
     """Array of (section_id, pages) that the first Sources line names, in order."""
-    line = F.regexp_extract(text, SOURCES_LINE, 1)
-    ids, pages = (F.regexp_extract_all(line, F.lit(CITATION), k) for k in (1, 2))
-    return F.zip_with(ids, pages, lambda i, p: F.struct(i.alias("section_id"), _pages(p).alias("pages")))
+
+    def cited(line: Column) -> Column:
+        ids, pages = (F.regexp_extract_all(line, F.lit(CITATION), k) for k in (1, 2))
+        return F.zip_with(ids, pages, lambda i, p: F.struct(i.alias("section_id"), _pages(p).alias("pages")))
+
+    return once(F.regexp_extract(text, SOURCES_LINE, 1), cited)
 
 
 def _pages(c: Column) -> Column:
     return F.coalesce(parse_page_numbers(F.nullif(c, F.lit(""))), F.array().cast("array<int>"))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: what a lambda names from outside is computed again for each element."""
     return F.transform(F.array(value), use)[0]
 
 
 def references(text: Column) -> Column:
     """Array of (number, section_id, pages, quote) of the References block, by number; the first of each number counts."""
-    block = F.regexp_extract(text, REFERENCES_BLOCK, 1)
-    number, section, pages, quote = (F.regexp_extract_all(block, F.lit(REFERENCE_LINE), k) for k in (1, 2, 3, 4))
-    rows = F.transform(F.arrays_zip(number.alias("n"), section.alias("s"), pages.alias("p"), quote.alias("q")), lambda x, i: F.struct(x["n"].cast("int").alias("number"), i.alias("at"), x["s"].alias("section_id"), _pages(x["p"]).alias("pages"), strip(x["q"]).alias("quote")))
-    first = _once(F.array_sort(rows), lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["number"] != x["number"])))
+
+    def rows(block: Column) -> Column:
+        number, section, pages, quote = (F.regexp_extract_all(block, F.lit(REFERENCE_LINE), k) for k in (1, 2, 3, 4))
+        return F.transform(F.arrays_zip(number.alias("n"), section.alias("s"), pages.alias("p"), quote.alias("q")), lambda x, i: F.struct(x["n"].cast("int").alias("number"), i.alias("at"), x["s"].alias("section_id"), _pages(x["p"]).alias("pages"), strip(x["q"]).alias("quote")))
+
+    found = once(F.regexp_extract(text, REFERENCES_BLOCK, 1), rows)
+    first = once(F.array_sort(found), lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["number"] != x["number"])))
     return F.transform(first, lambda x: F.struct(x["number"], x["section_id"], x["pages"], x["quote"]))
 
 
 def answer_body(text: Column) -> Column:
     """The answer up to its first line of metadata; where there is a commentary, up to the first such line after it."""
-    at = lambda c, pattern: F.nullif(F.regexp_instr(c, F.lit(pattern)), F.lit(0))
-    start = F.coalesce(at(text, COMMENTARY), F.lit(1))
-    rest = text.substr(start, F.length(text))
-    cut = F.least(*[at(rest, p) for p in (CONFIDENCE_LINE, SOURCES_LINE, REFERENCES_BLOCK)])
-    return strip(F.when(cut.isNull(), text).otherwise(text.substr(F.lit(1), start + cut - 2)))
+    at = lambda c, pattern: once(F.regexp_instr(c, F.lit(pattern)), lambda n: F.when(n > 0, n))
+
+    def body(o: Column) -> Column:
+        cut = F.least(*[at(o["rest"], p) for p in (CONFIDENCE_LINE, SOURCES_LINE, REFERENCES_BLOCK)])
+        end = once(cut, lambda c: F.when(c.isNull(), F.length(o["text"])).otherwise(o["start"] + c - 2))
+        return strip(o["text"].substr(F.lit(1), end))
+
+    def cut_off(o: Column) -> Column:
+        return once(F.struct(o["text"].alias("text"), o["start"].alias("start"), o["text"].substr(o["start"], F.length(o["text"])).alias("rest")), body)
+
+    return once(F.struct(text.alias("text"), F.coalesce(at(text, COMMENTARY), F.lit(1)).alias("start")), cut_off)
 
 
 def plain_body(text: Column) -> Column:
@@ -107,22 +119,30 @@ def renumbered(body: Column, sources: Column) -> Column:
 
     def ordered(o: Column) -> Column:
         order = F.array_distinct(F.filter(o["numbers"], lambda n: n.between(1, sources)))
-        return _once(F.struct(o["raw"].alias("raw"), o["numbers"].alias("numbers"), order.alias("order"), F.split(body, r"\[\d+\]").alias("parts")), made)
+        return once(F.struct(o["raw"].alias("raw"), o["numbers"].alias("numbers"), order.alias("order"), F.split(body, r"\[\d+\]").alias("parts")), made)
 
-    return _once(F.struct(raw.alias("raw"), numbers.alias("numbers")), ordered)
+    return once(F.struct(raw.alias("raw"), numbers.alias("numbers")), ordered)
 
 
 def marker_windows(body: Column, chars: int) -> Column:
     """Array of (number, window) of all markers in order: up to ``chars`` characters before each."""
-    parts, raw = F.split(body, r"\[\d+\]"), F.regexp_extract_all(body, F.lit(MARKER), 1)
     state = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<number:int,window:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        window = F.right(F.concat(s["tail"], x["part"]), F.lit(chars))
-        found = F.struct(x["raw"].try_cast("int").alias("number"), window.alias("window"))
-        return F.struct(F.concat(window, F.lit("["), x["raw"], F.lit("]")).alias("tail"), F.array_append(s["out"], found).alias("out"))
+        def put(window: Column) -> Column:
+            found = F.struct(x["raw"].try_cast("int").alias("number"), window.alias("window"))
+            return F.struct(F.concat(window, F.lit("["), x["raw"], F.lit("]")).alias("tail"), F.array_append(s["out"], found).alias("out"))
+
+        return once(F.right(F.concat(s["tail"], x["part"]), F.lit(chars)), put)
+
+    def windows(o: Column) -> Column:
+        pieces = F.zip_with(F.slice(o["parts"], 1, F.size(o["raw"])), o["raw"], lambda p, r: F.struct(p.alias("part"), r.alias("raw")))
+        return F.aggregate(pieces, state, step, lambda s: s["out"])
+
+    def cut(text: Column) -> Column:
+        return once(F.struct(F.split(text, r"\[\d+\]").alias("parts"), F.regexp_extract_all(text, F.lit(MARKER), 1).alias("raw")), windows)
 
-    return F.aggregate(F.zip_with(F.slice(parts, 1, F.size(raw)), raw, lambda p, r: F.struct(p.alias("part"), r.alias("raw"))), state, step, lambda s: s["out"])
+    return once(body, cut)
 
 
 def keywords(window: Column) -> Column:

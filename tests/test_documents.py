@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import answers as A
 from lodestar.functions import text as T
 from lodestar.operators import chunking, citations, injection, lexical, prompts, segments, vectors
+from lodestar.plans import answers, catalog  # noqa: F401  (registers its queries)
 
 
 def one(spark, column, text):
@@ -241,3 +242,15 @@ def test_sections_cut_a_body_in_its_article_row(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
     rows = [(r.ord, r.section_id, r.text.strip().split("\n")[-1]) for r in made.orderBy("ord").collect()]
     assert rows == [(1, "1.01", "No head here."), (2, "1.02", "None.")]
+
+
+def test_parts_of_answers_are_found_once(spark):
+    """Patterns are not matched again for each use of what they find, and citations meet their chunks by shuffles of lines by id alone."""
+    text = spark.createDataFrame([("Body [1].\n\nConfidence: HIGH",)], "text string")
+    body = text.select(A.answer_body(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert body.count("(?:HIGH|MEDIUM|LOW)") <= 2  # five times before
+    refs = text.select(A.references(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert refs.count("References?") <= 2
+    for name in ("inline_citations", "enriched_citations", "marker_keywords"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == {"marker_keywords": 1, "inline_citations": 3, "enriched_citations": 2}[name]
