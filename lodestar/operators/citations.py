@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.answers import KEYWORD_CHARS, NEARBY_SECTION, SECTION_CHARS, keywords, marker_windows, renumbered, section_candidates
+from lodestar.functions.answers import KEYWORD_CHARS, NEARBY_SECTION, SECTION_CHARS, keywords, marker_windows, once, renumbered, section_candidates
 from lodestar.functions.text import CITATION, MARKER, format_page_numbers, parse_page_numbers, snippet, targeted_snippet
 
 
@@ -61,12 +61,22 @@ def _with_section(rows: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     return rows.join(nearest, [id_col, "section_id"], "left")
 
 
+def _with_hits(rows: DataFrame, chunks: DataFrame, id_col: str, fields: list) -> DataFrame:
+    """``rows`` (id, section_id) with ``hits``: the chunks, as structs of ``fields`` (match, ...), of the nearest of the section and those it
+    stands in that has any; null without. An answer's chunks are few, so they stand in one array and rows are joined by id alone."""
+    every = chunks.groupBy(id_col).agg(F.collect_list(F.struct(*fields)).alias("_every"))
+    known = lambda c: F.exists("_every", lambda x: x["match"] == c)
+    nearest = F.get(F.filter(section_candidates(F.col("section_id")), known), F.lit(0))
+    found = once(nearest, lambda m: F.when(m.isNotNull(), F.filter("_every", lambda x: x["match"] == m)))
+    return rows.join(every, id_col, "left").withColumn("hits", found).drop("_every")
+
+
 def enriched(cited: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     """(id, pos, section_id, section_title, pages, snippet): citations (id, pos, section_id, pages) with the best chunk (id, pos, section_id,
     section_title, pages, score, text) of their section or of the nearest one it stands in. Citations of one section become
     one with all pages; the first of them takes its chunk's pages if it has none."""
-    best = chunks.groupBy(id_col, F.col("section_id").alias("match")).agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "section_title", "pages", "text")).alias("hit"))
-    held = _with_section(cited, best, id_col).join(best, [id_col, "match"], "left")
+    fields = [F.col("section_id").alias("match"), (-F.col("score")).alias("s"), "pos", "section_title", "pages", "text"]
+    held = _with_hits(cited, chunks, id_col, fields).withColumn("hit", F.array_min("hits"))
     own = F.col("first.pages")
     one = held.groupBy(id_col, "section_id").agg(F.min(F.struct("pos", "pages")).alias("first"), F.flatten(F.collect_list("pages")).alias("all"), F.first("hit").alias("hit"))
     pages = F.when(F.size(own) > 0, F.col("all")).otherwise(F.concat(F.coalesce("hit.pages", F.array().cast("array<int>")), "all"))
@@ -78,12 +88,17 @@ def enriched_inline(cited: DataFrame, chunks: DataFrame, bodies: DataFrame, id_c
     section that holds most of the words near the marker in the body (id, body), the first of equals; where none holds any, the
     best by score. The snippet is the quote, or the chunk around the earliest of the words."""
     near = bodies.select(id_col, F.posexplode(marker_windows(F.col("body"), KEYWORD_CHARS)).alias("at", "w")).select(id_col, "at", F.col("w.number").alias("number"), keywords(F.col("w.window")).alias("words"))
-    near = near.where(F.size("words") > 0).groupBy(id_col, "number").agg(F.max_by("words", "at").alias("words"))
-    by_section = chunks.select(id_col, F.col("section_id").alias("match"), F.col("pos").alias("at"), "section_title", F.col("pages").alias("own"), "score", F.col("text"))
-    held = _with_section(cited, by_section, id_col).join(near, [id_col, "number"], "left").join(by_section, [id_col, "match"], "left")
-    words = F.coalesce("words", F.array().cast("array<string>"))
-    hits = F.size(F.filter(words, lambda w: F.contains(F.lower("text"), F.lower(w))))
-    best = held.withColumn("words", words).groupBy(id_col, "number", "section_id", "pages", "quote", "words").agg(F.min(F.struct((-hits).alias("h"), F.when(hits > 0, F.lit(0.0)).otherwise(-F.col("score")).alias("s"), "at", "section_title", "own", "text")).alias("hit"))
+    near = near.groupBy(id_col).agg(F.collect_list(F.struct("number", "at", "words")).alias("_near"))
+    fields = [F.col("section_id").alias("match"), F.col("pos").alias("at"), "section_title", F.col("pages").alias("own"), "score", "text", F.lower("text").alias("lower")]
+    held = _with_hits(cited.join(near, id_col, "left"), chunks, id_col, fields)
+    last = F.array_max(F.transform(F.filter("_near", lambda x: (x["number"] == F.col("number")) & (F.size(x["words"]) > 0)), lambda x: F.struct(x["at"], x["words"])))["words"]
+
+    def rated(x: Column) -> Column:
+        n = F.size(F.filter("lowered", lambda w: F.contains(x["lower"], w)))
+        return once(n, lambda hits: F.struct((-hits).alias("h"), F.when(hits > 0, F.lit(0.0)).otherwise(-x["score"]).alias("s"), x["at"], x["section_title"], x["own"], x["text"]))
+
+    held = held.withColumn("words", F.coalesce(last, F.array().cast("array<string>"))).withColumn("lowered", F.transform("words", F.lower))
+    best = held.withColumn("hit", F.array_min(F.transform("hits", rated))).select(id_col, "number", "section_id", "pages", "quote", "words", "hit").distinct()
     found = F.col("hit.text").isNotNull()
     text = F.when(~found | (F.col("quote") != ""), F.col("quote")).otherwise(targeted_snippet(F.col("hit.text"), F.col("words")))
     return best.select(id_col, "number", "section_id", F.when(found, F.col("hit.section_title")).otherwise("").alias("section_title"), F.when((F.size("pages") > 0) | ~found, F.col("pages")).otherwise(F.col("hit.own")).alias("pages"), text.alias("snippet"))

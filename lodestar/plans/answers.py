@@ -24,30 +24,34 @@ SENTENCE = "'Section 7.0' || n || '(a) allows $' || n || ',000 million for ' ||
 
 
 def lines(read) -> DataFrame:
-    own = read("lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
-    own = own.join(read("orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi")
-    return own.join(read("part").select(F.col("p_partkey").alias("p"), F.initcap("p_name").alias("name")), "p")
+    """(id, n, p, name) of orders' lines: the smallest part of each line, if it is known. Lines meet their parts first, so that all that
+    follows stays where a shuffle by id has put it."""
+    parts = read("part").select(F.col("p_partkey").alias("p"), F.struct(F.initcap("p_name").alias("name")).alias("known"))
+    own = read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")).where("p IS NOT NULL").join(parts, "p", "left")
+    own = own.repartition("id").groupBy("id", "n").agg(F.min(F.struct("p", "known")).alias("x")).where("x.known IS NOT NULL")
+    return own.join(read("orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi").select("id", "n", "x.p", "x.known.name")
 
 
 def answers(read, marker=None) -> DataFrame:
     """(id, text); the marker of a line is its number, or what ``marker`` says."""
     mark = F.col("n") if marker is None else marker
-    sentence = F.concat(F.lit("Section 7.0"), "n", F.lit("(a) allows $"), "n", F.lit(",000 million for "), "name", F.lit(" ["), mark, F.lit("]."))
-    odd = F.col("n") % 2 == 1
-    pages = F.concat(F.lit(" (pp. "), "n", F.lit("-"), F.col("n") + 1, F.lit(")"))
-    reference = F.concat(F.lit("["), "n", F.lit("] Section 7.0"), "n", F.lit("(a)"), F.when(odd, pages).otherwise(""), F.when(F.col("n") % 3 == 0, F.concat(F.lit(' -- "quote '), "n", F.lit('"'))).otherwise(""))
-    source = F.concat(F.lit("Section 7.0"), "n", F.when(odd, pages).otherwise("(b)"))
-    rows = F.array_sort(F.collect_list(F.struct("n", sentence.alias("s"), reference.alias("r"), source.alias("c"))))
-    joined = lambda name, by: F.array_join(F.transform("x", lambda v: v[name]), by)
+    odd = lambda v: v["n"] % 2 == 1
+    pages = lambda v: F.concat(F.lit(" (pp. "), v["n"], F.lit("-"), v["n"] + 1, F.lit(")"))
+    quote = lambda v: F.when(v["n"] % 3 == 0, F.concat(F.lit(' -- "quote '), v["n"], F.lit('"'))).otherwise("")
+    sentence = lambda v: F.concat(F.lit("Section 7.0"), v["n"], F.lit("(a) allows $"), v["n"], F.lit(",000 million for "), v["name"], F.lit(" ["), v["mark"], F.lit("]."))
+    reference = lambda v: F.concat(F.lit("["), v["n"], F.lit("] Section 7.0"), v["n"], F.lit("(a)"), F.when(odd(v), pages(v)).otherwise(""), quote(v))
+    source = lambda v: F.concat(F.lit("Section 7.0"), v["n"], F.when(odd(v), pages(v)).otherwise("(b)"))
+    each = F.transform("x", lambda v: F.struct(sentence(v).alias("s"), reference(v).alias("r"), source(v).alias("c")))
+    joined = lambda name, by: F.array_join(F.transform("t", lambda v: v[name]), by)
     text = F.concat(joined("s", " "), F.lit("\n\nReferences:\n"), joined("r", "\n"), F.lit("\n\n**Confidence:** HIGH\nSources: "), joined("c", ", "))
-    return lines(read).groupBy("id").agg(rows.alias("x")).select("id", text.alias("text"))
+    rows = lines(read).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", mark.alias("mark"), "name"))).alias("x"))
+    return rows.select("id", each.alias("t")).select("id", text.alias("text"))
 
 
 def chunks(read) -> DataFrame:
     """(id, pos, section_id, section_title, pages, score, text): a general chunk of each line's section, and one that names its part."""
-    own = lines(read)
-    row = lambda at, score, text: own.select("id", (F.col("n") * 2 + at).alias("pos"), F.concat(F.lit("7.0"), "n").alias("section_id"), F.concat(F.lit(f"Title {at} of "), "n").alias("section_title"), F.array(F.col("n") + 10).alias("pages"), F.lit(score).alias("score"), text.alias("text"))
-    return row(0, 0.9, F.lit("General terms")).union(row(1, 0.5, F.concat(F.lit("Terms of the "), "name")))
+    row = lambda at, score, text: F.struct((F.col("n") * 2 + at).alias("pos"), F.concat(F.lit("7.0"), "n").alias("section_id"), F.concat(F.lit(f"Title {at} of "), "n").alias("section_title"), F.array(F.col("n") + 10).alias("pages"), F.lit(score).alias("score"), text.alias("text"))
+    return lines(read).select("id", F.explode(F.array(row(0, 0.9, F.lit("General terms")), row(1, 0.5, F.concat(F.lit("Terms of the "), "name")))).alias("c")).select("id", "c.*")
 
 
 @query(f"WITH {BASE} SELECT id, pos, section_id, array_to_string(pages, ',') AS pages FROM cited")
