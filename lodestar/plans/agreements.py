@@ -120,8 +120,11 @@ def ubiquitous_terms(read):
 
 
 def _chunk_terms(read) -> DataFrame:
+    """(doc, chunk_id, term): what texts and tables name, they hold already; chunks of definitions are read for it."""
     defined, made = agreement(read)
-    return once(read, "agreement-terms", SOURCES, lambda: written(terms.found_terms(made.select("doc", "chunk_id", "text"), defined, "chunk_id", "doc"), "chunk-terms"))
+    held = made.where("chunk_type <> 'definition'").select("doc", "chunk_id", F.explode("terms").alias("term"))
+    own = terms.found_terms(made.where("chunk_type = 'definition'").select("doc", "chunk_id", "text"), defined, "chunk_id", "doc")
+    return once(read, "agreement-terms", SOURCES, lambda: written(held.unionByName(own), "chunk-terms"))
 
 
 def _common(made: DataFrame, named: DataFrame) -> DataFrame:

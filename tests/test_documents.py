@@ -11,6 +11,7 @@ from lodestar.functions import answers as A
 from lodestar.functions import text as T
 from lodestar.operators import chunking, citations, injection, lexical, prompts, segments, vectors
 from lodestar.plans import answers, catalog  # noqa: F401  (registers its queries)
+from lodestar.sources import store
 
 
 def one(spark, column, text):
@@ -254,3 +255,19 @@ def test_parts_of_answers_are_found_once(spark):
     for name in ("inline_citations", "enriched_citations", "marker_keywords"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == {"marker_keywords": 1, "inline_citations": 3, "enriched_citations": 2}[name]
+
+
+def test_stored_tables_are_not_broadcast_in_joins(spark):
+    """They are small as files and large in memory, so the driver must not hold them."""
+    a = store.written(spark.range(9).withColumn("x", F.lit("a")), "a")
+    b = store.written(spark.range(5), "b").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    assert "Broadcast" not in a.join(b, "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.n or 0 for r in a.join(b, "id", "left").collect()) == [0] * 4 + [1] * 5
+
+
+def test_definitions_stay_in_their_text(spark):
+    """No text is carried through a shuffle for each of its terms; the first of a term counts."""
+    text = 'Terms\n"Lien" means a.\nmore\n"Debt" means b.\n"Lien" means c.\n'
+    found = segments.definitions(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc int, text string"), "doc", with_offset=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc, r.term, r.body, r.at) for r in found.collect()] == [(1, "Lien", '"Lien" means a.\nmore', 6), (1, "Debt", '"Debt" means b.\n"Lien" means c.', 27)]
