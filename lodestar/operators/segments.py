@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.functions.answers import once
 from lodestar.functions.text import OCR_CHARS, article_number, section_type, strip, word_count
 
 # Header and definition patterns, the delimiter of pages and limits.
@@ -87,14 +88,23 @@ def preambles(texts: DataFrame, found: DataFrame, doc_col: str) -> DataFrame:
 def definitions(texts: DataFrame, doc_col: str, with_offset: bool = False) -> DataFrame:
     """(document, term, body, [at]): quoted terms with a colon or a verb of definition; the first of each term counts, and a body runs from
     the start of the term's line to that of the next term's."""
-    found = texts.select(doc_col, "text", F.posexplode(matches(F.col("text"), DEFINITION)).alias("nth", "m"))
-    before = F.substring("text", F.lit(1), F.col("m.offset"))
-    line = F.col("m.offset") - F.length(F.substring_index(before, "\n", -1))
-    found = found.select(doc_col, "text", "nth", line.alias("at"), strip(F.regexp_extract("m.part", DEFINITION, 1)).alias("term")).where("term <> ''")
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy(doc_col, "term").orderBy("nth"))).where("_n = 1")
-    found = found.withColumn("end", F.coalesce(F.lead("at").over(Window.partitionBy(doc_col).orderBy("nth")), F.length("text")))
-    body = strip(F.col("text").substr(F.col("at") + 1, F.col("end") - F.col("at")))
-    return found.select(doc_col, "term", body.alias("body"), *(["at"] if with_offset else []))
+    text = F.col("text")
+
+    def head(m: Column, nth: Column) -> Column:
+        line = m["offset"] - F.length(F.substring_index(F.substring(text, F.lit(1), m["offset"]), "\n", -1))
+        return F.struct(strip(F.regexp_extract(m["part"], DEFINITION, 1)).alias("term"), nth.alias("nth"), line.alias("at"))
+
+    def bodies(own: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(own, i + 1)["at"], F.length(text))
+        return F.transform(own, lambda x, i: F.struct(x["term"].alias("term"), strip(text.substr(x["at"] + 1, stop(i) - x["at"])).alias("body"), x["at"].alias("at")))
+
+    def firsts(own: Column) -> Column:
+        kept = F.filter(own, lambda x, i: (x["term"] != "") & ((i == 0) | (F.get(own, i - 1)["term"] != x["term"])))
+        return once(F.array_sort(F.transform(kept, lambda x: F.struct(x["nth"], x["at"], x["term"]))), bodies)
+
+    # all in the text's own row, so that no text is carried through a shuffle once for each of its terms
+    made = once(F.array_sort(F.transform(matches(text, DEFINITION), head)), firsts)
+    return texts.select(doc_col, F.explode(made).alias("d")).select(doc_col, "d.term", "d.body", *(["d.at"] if with_offset else []))
 
 
 def greedy_pack(parts: Column, limit: int = PACK_TOKENS) -> Column:

@@ -35,7 +35,7 @@ def found_terms(texts: DataFrame, terms: DataFrame, id_col: str, by: str | None
     own = terms.select(*keys, "term").where("term <> ''").distinct()
     if by:
         lists = own.groupBy(by).agg(F.collect_list("term").alias("_terms"))
-        return sought(texts.join(lists, by).select(by, id_col, "text", "_terms"), None, True, True).distinct()
+        return sought(texts.join(lists, by).select(by, id_col, "text", "_terms"), None, True, True, by).distinct()
     known = dictionary(own)
     if known is not None:
         return sought(texts.select(id_col, "text"), known, True, True).distinct()
@@ -57,12 +57,12 @@ def dictionary(terms: DataFrame) -> list[str] | None:
     return sorted(r.term for r in terms.collect()) if size <= DICTIONARY else None
 
 
-def sought(texts: DataFrame, known: list[str] | None, consume: bool, inside: bool) -> DataFrame:
+def sought(texts: DataFrame, known: list[str] | None, consume: bool, inside: bool, by: str | None = None) -> DataFrame:
     """The columns of ``texts`` before ``text`` and ``term``, a row for each different term of a text: of ``known``, which goes to each
     executor once, or of the text's own list ``_terms``. ``inside`` adds the terms inside those found.
 
     Texts are read where they are, in Arrow batches, in one walk over an automaton of the terms, so their number costs nothing. Of
-    lists that come again the last few automata are kept.
+    lists that come again the last few automata are kept; those of groups ``by`` are known by their group and not read for each text.
     """
     keep = texts.columns[: texts.columns.index("text")]
     names = [*keep, "term"]
@@ -71,21 +71,22 @@ def sought(texts: DataFrame, known: list[str] | None, consume: bool, inside: boo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = Automaton(shared.value) if shared else None
-        made: dict[tuple, Automaton] = {}
+        made: dict[object, Automaton] = {}
         for batch in batches:
             row, hits = [], []
+            groups = batch.column(by).to_pylist() if by else None
             for k, text in enumerate(batch.column("text")):
                 text = text.as_py()
                 if not text:
                     continue
                 own = every
                 if own is None:
-                    terms = tuple(batch.column("_terms")[k].as_py())
-                    if terms not in made:
+                    key = groups[k] if by else tuple(batch.column("_terms")[k].as_py())
+                    if key not in made:
                         if len(made) >= AUTOMATA:
                             made.clear()
-                        made[terms] = Automaton(terms)
-                    own = made[terms]
+                        made[key] = Automaton(batch.column("_terms")[k].as_py() if by else key)
+                    own = made[key]
                 found = own.named(text, consume)
                 found = own.with_inner(found) if inside else found
                 row += [k] * len(found)
