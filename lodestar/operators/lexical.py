@@ -94,12 +94,12 @@ def steady_sum(value: Column) -> Column:
     return F.sum(coarse) + F.sum(value - coarse)
 
 
-def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) of queries (query_id, query): BM25Plus with idf ln((N + 1) / df), over documents or a stored index.
 
     Each document gets DELTA * idf of every query token the corpus has, found or not. That part is one number a query, so only
     documents that hold a query token are joined; others have the query's floor and are not listed. Repeated query
-    tokens count repeatedly. Postings are cut to the queries' tokens by a semi-join before anything else.
+    tokens count repeatedly. ``only`` (id) names the documents that are listed; scores stay those of the whole corpus. Postings are cut to the queries' tokens by a semi-join before anything else.
     """
     of = docs if isinstance(docs, Index) else index(docs, id_col, text_col)
     id_col = of.id_col
@@ -110,16 +110,20 @@ def scores(queries: DataFrame, docs: DataFrame | Index, id_col: str = "doc_id",
     weighed = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     floor = weighed.groupBy("query_id").agg((steady_sum(F.col("w")) * DELTA).alias("floor"))
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
-    weight = found.crossJoin(stats).select(id_col, "token", (tf * (K1 + 1) / (K1 * norm + tf)).alias("weight"))
+    listed = found if only is None else found.join(only.select(id_col).distinct(), id_col, "left_semi")
+    weight = listed.crossJoin(stats).select(id_col, "token", (tf * (K1 + 1) / (K1 * norm + tf)).alias("weight"))
     part = weight.join(weighed, "token").groupBy("query_id", id_col).agg(steady_sum(F.col("w") * F.col("weight")).alias("gain"))
     return part.join(floor, "query_id").select("query_id", id_col, (F.col("floor") + F.col("gain")).alias("score"))
 
 
+def sections_of(types: DataFrame, only: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one section type of ``types`` (id, section_type), or, if none is named, of all but some."""
+    return types.where(F.col("section_type") == only) if only is not None else types.where(~F.col("section_type").isin(*exclude))
+
+
 def in_sections(scored: DataFrame, types: DataFrame, only: str | None = None, exclude: tuple[str, ...] = (), id_col: str = "doc_id") -> DataFrame:
-    """Scored documents of one section type of ``types`` (id, section_type), or, if none is named, of all but some. Scores stay those of
-    the whole corpus."""
-    kept = types.where(F.col("section_type") == only) if only is not None else types.where(~F.col("section_type").isin(*exclude))
-    return scored.join(kept.select(id_col), id_col, "left_semi")
+    """Scored documents of ``sections_of``. Scores stay those of the whole corpus."""
+    return scored.join(sections_of(types, only, exclude).select(id_col), id_col, "left_semi")
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", digits: int = 6) -> DataFrame:

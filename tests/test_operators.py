@@ -53,6 +53,15 @@ def test_sums_of_scores_do_not_depend_on_their_order(spark):
     assert {r.steady for r in got} == {math.fsum(values)}
 
 
+def test_documents_of_other_sections_are_not_scored(spark):
+    """Scores are the corpus', but only the documents that are listed are joined with the questions."""
+    docs = spark.createDataFrame([(1, "lien basket", "a"), (2, "lien margin", "b"), (3, "margin", "a")], "doc_id long, text string, section_type string")
+    asked = spark.createDataFrame([(9, "lien margin")], "query_id long, query string")
+    cut = lexical.scores(asked, docs, only=lexical.sections_of(docs, "a"))
+    whole = {r.doc_id: r.score for r in lexical.in_sections(lexical.scores(asked, docs), docs, "a").collect()}
+    assert {r.doc_id: r.score for r in cut.collect()} == whole and sorted(whole) == [1, 3]
+
+
 def test_bm25_formula(spark):
     docs = spark.createDataFrame([(1, "lien lien basket"), (2, "margin"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lexical.scores(spark.createDataFrame([(9, "Lien, margin?")], "query_id long, query string"), docs).collect()}
