@@ -350,6 +350,34 @@ def test_passages_by_similarity_and_in_chains(spark):
     assert all(r.similarity >= 0.8 for r in got) and {r.doc_id for r in got if r.doc_id < 240} == {b for _, b in pairs & both}
 
 
+def test_passages_whose_keys_variants_hold_first_and_last(spark):
+    """Before each of two copies of a passage stand variants with seven words changed, too unlike it, that share most of its keys."""
+    rng = random.Random(11)
+    ps = [prose(rng, 60).split() for _ in range(25)]
+    rows, want = [], []
+    for p in ps:
+        copies = []
+        for _ in range(2):
+            for k in (14, 22, 30, 38) * 3:
+                rows.append(put(rng, [*p[:k], *prose(rng, 7).split(), *p[k + 7 :]]))
+            copies.append(len(rows))
+            rows.append(put(rng, p))
+        want.append(tuple(copies))
+    got = compact_windows.near_duplicate_passages(table(spark, list(enumerate(rows)))).collect()
+    found = {(r.first_doc_id, r.doc_id) for r in got}
+    assert len(found & set(want)) >= 24, len(found & set(want))
+
+
+def test_links_within_a_tile():
+    """Rows that ask are tied to what they resemble, settled or not; settled ones aren't compared with each other."""
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32) for _ in range(3))
+    prints, settled = [a, b, a, b, c, c, b[:20]], np.array([True, False, True, False, True, True, False])
+    got = compact_windows.tile_links(np.arange(7), settled, ~settled, prints, 46, 0.8)
+    assert got == [(1, 3)]
+    assert compact_windows.tile_links(np.arange(7), settled, ~settled, [b, *prints[1:]], 46, 0.8) == [(0, 1), (0, 3)]
+
+
 def test_joint_keys_against_all_windows():
     """Every window of the least length lies within the range of a key for each two neighbouring functions."""
     rng = np.random.default_rng(2)
