@@ -113,7 +113,10 @@ class PostingLog:
         return self.change(None, ids)
 
     def sync(self, docs: DataFrame, text_col: str = "text") -> int:
-        """Follow a table (id, text), ids once each: what is new or has another text is added, what is gone is deleted. A table without changes makes no version."""
+        """Follow a table (id, text), ids once each: what is new or has another text is added, what is gone is deleted. A table without changes makes no version; a log without any takes the table as it is, without a shuffle of texts."""
+        if not self.version():
+            own = docs.where(F.col(self.id_col).isNotNull())
+            return 0 if own.isEmpty() else self.change(own, None, text_col)
         now = docs.select(self.id_col, text_col, content_hash(F.col(text_col)).alias("_now"))
         held = self.documents().select(self.id_col, "content")
         both = now.select(self.id_col, "_now").join(held, self.id_col, "full_outer")

@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -62,6 +63,49 @@ def test_documents_of_other_sections_are_not_scored(spark):
     assert {r.doc_id: r.score for r in cut.collect()} == whole and sorted(whole) == [1, 3]
 
 
+def test_best_equals_ranked_scores(spark, monkeypatch):
+    """Blocks of queries and documents give the ranks of all scores: ties of equal texts, repeated ids, ids of another type, filters."""
+    monkeypatch.setattr(lexical, "QUERIES", 3)
+    monkeypatch.setattr(lexical, "DOCS", 5)
+    words = "lien margin term rate agent lender fee notice".split()
+    texts = [" ".join(words[(n * m + m) % 8] for m in range(1, 3 + n % 6)) for n in range(40)] + ["lien margin fee"] * 20 + ["", None]
+    docs = spark.createDataFrame([(f"d{n % 57:02d}", t) for n, t in enumerate(texts)], "doc_id string, text string")
+    asked = spark.createDataFrame([(q, " ".join(words[q % 8 :] + words[: q % 3])) for q in range(11)] + [(99, "absent"), (100, None)], "query_id long, query string")
+    rows = lambda frame: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in frame.collect())
+    only = docs.where("doc_id < 'd30'").select("doc_id")
+    for of, cut in ((docs, None), (docs, only), (lexical.index(docs), None)):
+        want = rows(lexical.top_k(lexical.scores(asked, of, only=cut), 4))
+        assert want and rows(lexical.best(asked, of, 4, only=cut)) == want
+
+
+def test_block_gives_few_rows_of_many_equal_scores():
+    n = 500
+    docs = pa.table({"id": pa.array(range(n, 0, -1), pa.int64()), "token": ["lien"] * n, "weight": [1.5] * n})
+    got = lexical.best_of_block(docs, pa.table({"query_id": [7], "token": ["lien"], "w": [2.0]}), 10)
+    assert sorted(got["id"].to_pylist()) == list(range(1, 11)) and set(got["score"].to_pylist()) == {5.0}
+
+
+def test_search_makes_no_row_for_each_shared_token(spark, tmp_path):
+    """Each of 60 queries shares its tokens with each of 300 documents; no step may make a row for each such pair."""
+    spark.createDataFrame([(n, f"lien margin rate w{n}", "en", "src0") for n in range(300)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, "lien margin rate lien margin rate") for n in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = catalog.QUERIES["multi_query_search"](spark, f"file://{tmp_path}")
+    assert out.count() == 60 * 10
+    out.collect()
+    plan, made = [out._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            plan.append(node.plan())
+        children = node.children()
+        plan += [children.apply(k) for k in range(children.size())]
+        metric = node.metrics().get("numOutputRows")
+        made += [metric.get().value()] if metric.isDefined() else []
+    assert made and max(made) < 60 * 300
+
+
 def test_bm25_formula(spark):
     docs = spark.createDataFrame([(1, "lien lien basket"), (2, "margin"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lexical.scores(spark.createDataFrame([(9, "Lien, margin?")], "query_id long, query string"), docs).collect()}

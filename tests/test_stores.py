@@ -164,3 +164,14 @@ def test_dumps_that_end_without_a_page_end(spark, tmp_path):
     assert got == [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("a.txt", 3, ""), ("a.txt", 4, "last")]
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         sources.read_pages(spark, f"file://{tmp_path}/missing")
+
+
+def test_first_sync_takes_the_table_as_it_is(spark, tmp_path, monkeypatch):
+    """An empty log has nothing to compare texts with: none are joined or written beside it."""
+    monkeypatch.setattr("lodestar.sources.posting_log.written", lambda df, name: pytest.fail(name) if name == "changed" else df)
+    log = PostingLog(spark, f"file://{tmp_path}/log")
+    assert log.sync(spark.createDataFrame([], "doc_id long, text string")) == 0
+    docs = spark.createDataFrame([(1, "lien"), (2, None), (3, ""), (None, "lost")], "doc_id long, text string")
+    assert log.sync(docs) == 1
+    assert sorted((r.doc_id, r.dl) for r in log.documents().collect()) == [(1, 1), (2, 0), (3, 0)]
+    assert [(r.doc_id, r.token) for r in log.index().postings.collect()] == [(1, "lien")]
