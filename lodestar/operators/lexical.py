@@ -154,7 +154,13 @@ def best(queries: DataFrame, docs: DataFrame | Index, k: int, id_col: str = "doc
 
 
 def _numbered(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """The different values of a column in their order, null first, and each row's place among them."""
+    """The different values of a column in their order, null first, and each row's place among them. Structs come as they are met."""
+    if pa.types.is_struct(column.type):
+        column = column.cast(pa.struct([pa.field(f.name, f.type) for f in column.type])).combine_chunks()
+        column = pa.chunked_array([column]).chunk(0)
+        first: dict[tuple, int] = {}
+        place = np.array([first.setdefault(tuple(x.values()), len(first)) for x in column.to_pylist()], np.int64)
+        return column.take(pa.array(np.unique(place, return_index=True)[1])), place
     coded = pa.chunked_array([column.combine_chunks()]).chunk(0).dictionary_encode(null_encoding="encode")
     order = pc.sort_indices(coded.dictionary, null_placement="at_start")
     place = np.empty(len(order), np.int64)
@@ -166,7 +172,7 @@ def best_of_block(docs: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """(query_id, id, score) of documents (id, token, weight) and queries (query_id, token, w): of each query the documents that can be
     among its k best to EXACT digits. Sums are steady, as in ``steady_sum``."""
     if not len(docs) or not len(asked):
-        return pa.table({"query_id": asked["query_id"].slice(0, 0), "id": docs["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.table({"query_id": _numbered(asked["query_id"])[0].slice(0, 0), "id": docs["id"].slice(0, 0), "score": pa.array([], pa.float64())})
     ids, doc = _numbered(docs["id"])
     queries, query = _numbered(asked["query_id"])
     tokens, token = _numbered(asked["token"])

@@ -85,6 +85,14 @@ def test_block_gives_few_rows_of_many_equal_scores():
     assert sorted(got["id"].to_pylist()) == list(range(1, 11)) and set(got["score"].to_pylist()) == {5.0}
 
 
+def test_block_takes_pairs_as_ids_of_queries():
+    kind = pa.struct([pa.field("query_id", pa.int64()), pa.field("query_idx", pa.int32(), nullable=False)])
+    pair = lambda a, b: {"query_id": a, "query_idx": b}
+    asked = pa.table({"query_id": pa.array([pair(1, 0), pair(1, 1), pair(1, 0)], kind), "token": ["a", "a", "b"], "w": [1.0, 2.0, 3.0]})
+    got = lexical.best_of_block(pa.table({"id": [5, 6], "token": ["a", "b"], "weight": [1.0, 1.0]}), asked, 1)
+    assert got.to_pylist() == [{"query_id": pair(1, 0), "id": 6, "score": 7.0}, {"query_id": pair(1, 1), "id": 5, "score": 4.0}]
+
+
 def test_search_makes_no_row_for_each_shared_token(spark, tmp_path):
     """Each of 60 queries shares its tokens with each of 300 documents; no step may make a row for each such pair."""
     spark.createDataFrame([(n, f"lien margin rate w{n}", "en", "src0") for n in range(300)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
