@@ -49,19 +49,29 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, state, step, lambda s: F.slice(s["out"], 2, F.greatest(F.size(s["out"]) - 1, F.lit(0))))
 
 
-def articles(texts: DataFrame, doc_col: str) -> DataFrame:
-    """(document, number, title, type, start, end, body): the last header of each article number counts, so a table of contents loses.
+def article_heads(text: Column) -> Column:
+    """Array of (start, number, title, end, next) of a text's articles in order: the last header of each article number counts, so a table
+    of contents loses. Where a text has no ARTICLE header, SECTION headers with a whole number serve. Number 0 is no article. An article
+    ends where the ``next`` starts, the last one with the text."""
+    group = lambda m, k: F.coalesce(F.nullif(F.regexp_extract(m["part"], ARTICLE, k), F.lit("")), F.regexp_extract(m["part"], TOP_SECTION, k))
+    head = lambda m: F.struct(article_number(group(m, 1)).alias("number"), m["offset"].alias("start"), strip(group(m, 2)).alias("title"))
+
+    def ended(own: Column) -> Column:
+        then = lambda i: F.get(own, i + 1)["start"]
+        return F.transform(own, lambda x, i: F.struct(x["start"], x["number"], x["title"], F.coalesce(then(i), F.length(text)).alias("end"), then(i).alias("next")))
 
-    Where a document has no ARTICLE header, SECTION headers with a whole number serve. Number 0 is no article.
-    """
-    seen = texts.select(doc_col, "text", matches(F.col("text"), ARTICLE).alias("_own"))  # a step of its own, so that it is computed once
-    found = seen.select(doc_col, "text", F.explode(F.when(F.size("_own") > 0, F.col("_own")).otherwise(matches(F.col("text"), TOP_SECTION))).alias("m"))
-    group = lambda k: F.coalesce(F.nullif(F.regexp_extract("m.part", ARTICLE, k), F.lit("")), F.regexp_extract("m.part", TOP_SECTION, k))
-    found = found.select(doc_col, "text", F.col("m.offset").alias("start"), article_number(group(1)).alias("number"), strip(group(2)).alias("title")).where("number > 0")
-    last = found.withColumn("nth", F.row_number().over(Window.partitionBy(doc_col, "number").orderBy(F.desc("start")))).where("nth = 1").drop("nth")
-    end = F.coalesce(F.lead("start").over(Window.partitionBy(doc_col).orderBy("start")), F.length("text"))
-    last = last.withColumn("end", end)
-    return last.select(doc_col, "number", "title", section_type(F.col("title")).alias("type"), "start", "end", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("body"))
+    def lasts(own: Column) -> Column:
+        kept = F.filter(own, lambda x, i: (x["number"] > 0) & ~F.get(own, i + 1)["number"].eqNullSafe(x["number"]))
+        return once(F.sort_array(F.transform(kept, lambda x: F.struct(x["start"], x["number"], x["title"]))), ended)
+
+    chosen = once(matches(text, ARTICLE), lambda own: F.when(F.size(own) > 0, own).otherwise(matches(text, TOP_SECTION)))
+    return once(F.sort_array(F.transform(chosen, head)), lasts)
+
+
+def articles(texts: DataFrame, doc_col: str) -> DataFrame:
+    """(document, number, title, type, start, end, body) of ``article_heads``."""
+    found = texts.select(doc_col, "text", F.explode(article_heads(F.col("text"))).alias("a")).select(doc_col, "text", "a.*")
+    return found.select(doc_col, "number", "title", section_type(F.col("title")).alias("type"), "start", "end", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("body"))
 
 
 def subsections(found: DataFrame, doc_col: str) -> DataFrame:
@@ -85,14 +95,18 @@ def preambles(texts: DataFrame, found: DataFrame, doc_col: str) -> DataFrame:
     return texts.join(first, doc_col).select(doc_col, text.alias("text")).where(F.length("text") >= MIN_PREAMBLE)
 
 
-def definitions(texts: DataFrame, doc_col: str, with_offset: bool = False) -> DataFrame:
-    """(document, term, body, [at]): quoted terms with a colon or a verb of definition; the first of each term counts, and a body runs from
+def definitions(texts: DataFrame, doc_col: str, with_offset: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(document, term, body, [at], [carried columns]): quoted terms with a colon or a verb of definition; the first of each term counts, and a body runs from
     the start of the term's line to that of the next term's."""
     text = F.col("text")
 
-    def head(m: Column, nth: Column) -> Column:
-        line = m["offset"] - F.length(F.substring_index(F.substring(text, F.lit(1), m["offset"]), "\n", -1))
-        return F.struct(strip(F.regexp_extract(m["part"], DEFINITION, 1)).alias("term"), nth.alias("nth"), line.alias("at"))
+    def heads(found: Column) -> Column:
+        def head(m: Column, nth: Column) -> Column:
+            before = F.get(found, nth - 1)["part"]  # it has the start of the line, unless two terms share one
+            near = F.when(F.contains(before, F.lit("\n")), before).otherwise(F.substring(text, F.lit(1), m["offset"]))
+            return F.struct(strip(F.regexp_extract(m["part"], DEFINITION, 1)).alias("term"), nth.alias("nth"), (m["offset"] - F.length(F.substring_index(near, "\n", -1))).alias("at"))
+
+        return F.transform(found, head)
 
     def bodies(own: Column) -> Column:
         stop = lambda i: F.coalesce(F.get(own, i + 1)["at"], F.length(text))
@@ -100,11 +114,11 @@ def definitions(texts: DataFrame, doc_col: str, with_offset: bool = False) -> Da
 
     def firsts(own: Column) -> Column:
         kept = F.filter(own, lambda x, i: (x["term"] != "") & ((i == 0) | (F.get(own, i - 1)["term"] != x["term"])))
-        return once(F.array_sort(F.transform(kept, lambda x: F.struct(x["nth"], x["at"], x["term"]))), bodies)
+        return once(F.sort_array(F.transform(kept, lambda x: F.struct(x["nth"], x["at"], x["term"]))), bodies)
 
     # all in the text's own row, so that no text is carried through a shuffle once for each of its terms
-    made = once(F.array_sort(F.transform(matches(text, DEFINITION), head)), firsts)
-    return texts.select(doc_col, F.explode(made).alias("d")).select(doc_col, "d.term", "d.body", *(["d.at"] if with_offset else []))
+    made = once(F.sort_array(once(matches(text, DEFINITION), heads)), firsts)
+    return texts.select(doc_col, *carried, F.explode(made).alias("d")).select(doc_col, "d.term", "d.body", *(["d.at"] if with_offset else []), *carried)
 
 
 def greedy_pack(parts: Column, limit: int = PACK_TOKENS) -> Column:

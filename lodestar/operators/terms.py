@@ -97,6 +97,34 @@ def sought(texts: DataFrame, known: list[str] | None, consume: bool, inside: boo
     return texts.mapInArrow(run, schema)
 
 
+def named_terms(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (by, text, terms, _terms, ...) without ``_terms``: where ``terms`` is null it becomes the terms that the text names, of the
+    list ``_terms`` of its group ``by``, the longest first. Rows stay where they are, and no row is made for a term."""
+    names = [c for c in rows.columns if c != "_terms"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[object, Automaton] = {}
+        for batch in batches:
+            held, lists, out = batch.column("terms"), batch.column("_terms"), []
+            for k, (group, text) in enumerate(zip(batch.column(by).to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                if held[k].is_valid:
+                    out.append(held[k].as_py())
+                    continue
+                if not text or not lists[k].is_valid:
+                    out.append([])
+                    continue
+                if group not in made:
+                    if len(made) >= AUTOMATA:
+                        made.clear()
+                    made[group] = Automaton(lists[k].as_py())
+                found = made[group].with_inner(made[group].named(text, True))
+                out.append(sorted(found, key=lambda t: (-len(t), t)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())) if c == "terms" else batch.column(c) for c in names], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 class Automaton:
     """Finds all of a set of terms in one pass over a text."""
 

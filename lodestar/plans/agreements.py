@@ -6,9 +6,8 @@ with a table if it is finished. Rows grow with customers and orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestar.functions import answers as A
 from lodestar.functions.text import article_number
@@ -23,13 +22,6 @@ lines AS (SELECT doc, {CAP} AS name, count(*) AS n FROM own JOIN lineitem ON l_o
 docs AS (SELECT DISTINCT doc, c_name, n_name FROM own)"""
 
 
-def owned(read) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("o_orderkey"))
-    named = read("customer").join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("doc"), "c_name", "n_name")
-    orders = read("orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", "o_orderstatus")
-    return orders.join(named, "doc").withColumn("r", nth)
-
-
 SOURCES = ("customer", "nation", "orders", "lineitem", "part")
 
 
@@ -39,19 +31,32 @@ def agreement_pages(read) -> DataFrame:
 
 
 def _pages(read) -> DataFrame:
-    own = owned(read)
+    """Names of parts meet their order, and orders their customer, in one array each, so a customer's pages are made in its own row."""
+    named = read("customer").join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("doc"), F.struct("c_name", "n_name").alias("party"))
     parts = read("part").select(F.col("p_partkey").alias("l_partkey"), F.initcap("p_name").alias("name"))
-    items = own.join(read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").join(parts, "l_partkey").groupBy("doc", "r", "name").agg(F.count(F.lit(1)).alias("n"))
-    line = F.concat(F.lit('"'), "name", F.lit('" means an item of which '), "n", F.lit(" lines are held"))
-    defined = items.groupBy("doc", "name").agg(F.sum("n").alias("n")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
-    names = items.groupBy("doc", "r").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    items = read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(parts, "l_partkey").groupBy("o_orderkey").agg(F.collect_list("name").alias("names"))
+    orders = read("orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", "o_orderstatus").join(items, "o_orderkey", "left")
+    own = orders.join(named, "doc").groupBy("doc").agg(F.collect_set("party").alias("parties"), F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "names"))).alias("orders"))
     none = F.array().cast("array<string>")
-    opening = own.select("doc", "c_name", "n_name").distinct().select("doc", F.lit(1).alias("page"), F.concat(F.lit("This agreement is made between "), "c_name", F.lit(" and the lenders of "), "n_name", F.lit(" on this day")).alias("text"), none.alias("tables"))
-    terms_page = own.select("doc").distinct().join(defined, "doc", "left").select("doc", F.lit(2), F.concat(F.lit("ARTICLE I\nDEFINITIONS\n1.01 Defined Terms\n"), F.coalesce("t", F.lit(""))), none)
-    text = F.concat(F.when(F.col("r") == 1, "ARTICLE II\nNEGATIVE COVENANTS\n").otherwise(""), F.lit("2."), "r", F.lit(" Order "), "o_orderkey", F.lit(" Terms\nThe parties hold "), F.coalesce("names", F.lit("nothing")), F.lit(" under this order"))
-    table = F.when(F.col("o_orderstatus") == "F", F.array(F.concat(F.lit("| order | "), "o_orderkey", F.lit(" |\n| --- | --- |")))).otherwise(none)
-    orders = own.join(names, ["doc", "r"], "left").select("doc", (F.col("r") + 2).cast("int"), text, table)
-    return opening.union(terms_page).union(orders)
+    page = lambda n, text, tables=none: F.struct(n.cast("int").alias("page"), text.alias("text"), tables.alias("tables"))
+
+    def order(o: Column, i: Column) -> Column:
+        head = F.when(i == 0, "ARTICLE II\nNEGATIVE COVENANTS\n").otherwise("")
+        names = F.coalesce(F.array_join(F.sort_array(F.array_distinct(o["names"])), ", "), F.lit("nothing"))
+        text = F.concat(head, F.lit("2."), i + 1, F.lit(" Order "), o["o_orderkey"], F.lit(" Terms\nThe parties hold "), names, F.lit(" under this order"))
+        table = F.when(o["o_orderstatus"] == "F", F.array(F.concat(F.lit("| order | "), o["o_orderkey"], F.lit(" |\n| --- | --- |")))).otherwise(none)
+        return page(i + 3, text, table)
+
+    def counted(held: Column) -> Column:
+        """A line for each run of equal names, of which ``ends`` has the ends."""
+        line = lambda ends: lambda n, k: F.concat(F.lit('"'), F.get(held, n - 1), F.lit('" means an item of which '), n - F.coalesce(F.get(ends, k - 1), F.lit(0)), F.lit(" lines are held"))
+        ends = F.filter(F.sequence(F.lit(1), F.size(held)), lambda n: ~F.get(held, n).eqNullSafe(F.get(held, n - 1)))
+        return F.when(F.size(held) > 0, A.once(ends, lambda e: F.array_join(F.transform(e, line(e)), "\n"))).otherwise("")
+
+    every = F.sort_array(F.flatten(F.transform("orders", lambda o: F.coalesce(o["names"], none))))
+    opening = F.transform("parties", lambda p: page(F.lit(1), F.concat(F.lit("This agreement is made between "), p["c_name"], F.lit(" and the lenders of "), p["n_name"], F.lit(" on this day"))))
+    defined = page(F.lit(2), F.concat(F.lit("ARTICLE I\nDEFINITIONS\n1.01 Defined Terms\n"), A.once(every, counted)))
+    return own.select("doc", F.explode(F.concat(opening, F.array(defined), F.transform("orders", order))).alias("p")).select("doc", "p.*")
 
 
 @query(f"""WITH {BASE} SELECT doc, 1 AS ord, 'PREAMBLE' AS section_id, 0 AS article_number, 'Preamble and Recitals' AS title, 'preamble' AS type, 1 AS page_start, 1 AS page_end, 0 AS tables FROM docs
@@ -152,7 +157,8 @@ def injected_terms(read):
     common = _common(made, named).where("ubiquitous").select("doc", "term")
     lookup = injection.definition_chunks(made, "doc")
     scored = written(injection.candidate_terms(asked, hits, named, defined, lookup, common, "doc"), "candidate-terms")
-    refs = terms.found_terms(defined.select("doc", F.col("term").alias("of"), "text"), defined, "of", "doc").select("doc", F.col("of").alias("term"), F.col("term").alias("ref"))
+    asked_for = defined.join(scored.select("doc", "term").distinct(), ["doc", "term"], "left_semi")  # what others refer to isn't read
+    refs = terms.found_terms(asked_for.select("doc", F.col("term").alias("of"), "text"), defined, "of", "doc").select("doc", F.col("of").alias("term"), F.col("term").alias("ref"))
     return injection.injected_terms(scored, written(refs, "references"), "doc").select("query_id", "term", "tier", "rank", "in_query")
 
 

@@ -271,3 +271,30 @@ def test_definitions_stay_in_their_text(spark):
     found = segments.definitions(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc int, text string"), "doc", with_offset=True)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.doc, r.term, r.body, r.at) for r in found.collect()] == [(1, "Lien", '"Lien" means a.\nmore', 6), (1, "Debt", '"Debt" means b.\n"Lien" means c.', 27)]
+
+
+def test_agreements_shuffle_each_table_once(spark):
+    """Pages meet once for sections; sections and definitions meet once for chunks, and no row is made for a term."""
+    pages = pages_of(spark, {("a", 1): 'ARTICLE I\nDEFINITIONS\n1.01 Defined Terms\n"Loan" means a loan', ("a", 2): "ARTICLE II\nAGENTS\n2.01 Agents\nThe Loan"})
+    shuffles = lambda frame: frame._jdf.queryExecution().sparkPlan().toString().count("Exchange") + frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+    made = chunking.sections(pages, "doc")
+    assert shuffles(made) == 1
+    found = store.written(made, "sections")
+    defined = store.written(chunking.definitions(found, pages, "doc"), "definitions")
+    chunks = chunking.chunks(found, defined, "doc")
+    assert shuffles(chunks) == 2
+    assert sorted((r.section_id, r.chunk_type, r.terms) for r in chunks.collect()) == [("1.01", "definition", ["Loan"]), ("2.01", "text", ["Loan"])]
+
+
+def test_chunks_have_the_terms_of_their_own_text(spark):
+    """Two sections of one number share a chunk id, but each names the terms of its text; a document without definitions names none."""
+    pages = pages_of(spark, {("a", 1): 'ARTICLE I\nDEFINITIONS\n1.01 Defined Terms\n"Loan" means a loan\n"Term Loan" means a Loan', ("a", 2): "ARTICLE II\nAGENTS\n2.01 Agents\nA Term Loan\n2.01 Agents\nnone", ("b", 1): "ARTICLE II\nAGENTS\n2.01 Agents\nA Loan"})
+    found = store.written(chunking.sections(pages, "doc"), "sections")
+    rows = chunking.chunks(found, store.written(chunking.definitions(found, pages, "doc"), "definitions"), "doc").where("chunk_type = 'text'").collect()
+    assert sorted((r.doc, r.text, r.terms) for r in rows) == [("a", "2.01 Agents\nA Term Loan", ["Term Loan", "Loan"]), ("a", "2.01 Agents\nnone", []), ("b", "2.01 Agents\nA Loan", [])]
+
+
+def test_terms_that_share_a_line(spark):
+    text = 'x\n"Lien" means a lien, "Debt" means debt\n  "Loan": any\n"Lien" means more'
+    found = segments.definitions(spark.createDataFrame([(1, text, 7)], "doc int, text string, kept int"), "doc", with_offset=True, carried=("kept",)).collect()
+    assert sorted((r.term, r.at, r.kept) for r in found) == [("Debt", 2, 7), ("Lien", 2, 7), ("Loan", 41, 7)]

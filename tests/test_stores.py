@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import time
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from lodestar.operators.vectors import nearest
 from lodestar.plans import catalog
 from lodestar.sources import page_dumps as sources
 from lodestar.sources.posting_log import PostingLog
+from lodestar.sources.store import written
 from lodestar.streaming.ingest import Intake
 
 
@@ -175,3 +177,15 @@ def test_first_sync_takes_the_table_as_it_is(spark, tmp_path, monkeypatch):
     assert log.sync(docs) == 1
     assert sorted((r.doc_id, r.dl) for r in log.documents().collect()) == [(1, 1), (2, 0), (3, 0)]
     assert [(r.doc_id, r.token) for r in log.index().postings.collect()] == [(1, "lien")]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = blocks.getAllBlocks().size()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("x")), "grouped")
+    assert table.count() == 7
+    for _ in range(100):
+        if blocks.getAllBlocks().size() <= before + 2:  # those of the count itself
+            break
+        time.sleep(0.1)
+    assert blocks.getAllBlocks().size() <= before + 2
