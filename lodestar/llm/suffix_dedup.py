@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import list_array, small_batches, stored
+from lodestar.llm.common import discard, list_array, small_batches, stored
 from lodestar.llm.shingles import _upto, mix
 
 LENGTH, SEED = 100, 16
 BATCHES = 3
 #: Bytes of a text that are sampled at a time; places within fit into the low bits of a hash.
 STEP, LOW = 1 << 19, 20
-#: Blocks of a seed that a task may hold to compare their windows; rows of window hashes that it hands on at a time.
-HELD, ROWS = 4096, 1 << 15
+#: Blocks of a seed that a task may hold to compare their windows; rows of window hashes that it holds and hands on at a time.
+HELD, ROWS = 4096, 1 << 17
 #: Where rows come from: levels that become one, other levels, the batch. Rows of levels are earlier than the batch's.
 MERGING, LEVEL, BATCH = 0, 1, 2
 
@@ -107,6 +107,7 @@ class SuffixLevels:
         self.length = length
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, array); the largest first
         self.found: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Take a batch (doc, text) in. Returns (doc, packed) of its suffixes whose blocks are repeats.
@@ -129,6 +130,7 @@ class SuffixLevels:
         repeat = (F.col("age") == BATCH) & ~F.col("first")
         named = [F.when(~repeat, F.col(c)).alias(c) for c in ("seed", "block")]
         merged = stored(merged.select(*named, "doc", "packed", "age", (F.col("differs") & ~repeat).alias("differs")), "suffix-array")
+        self.tables.append(merged)
         if merging:
             self.levels[-1] = (merging[0], merged.where(F.col("age") == MERGING).drop("age", "differs"))
         self.levels.append((1, merged.where((F.col("age") == BATCH) & F.col("seed").isNotNull()).drop("age", "differs")))
@@ -143,43 +145,56 @@ class SuffixLevels:
         return out.select("seed", "doc", "packed")
 
 
-def compare(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, hi): runs of windows of undecided suffixes that equal a window of an earlier one.
+def compare(undecided: DataFrame, texts: DataFrame, length: int) -> list[DataFrame]:
+    """Tables (doc, lo, hi): runs of windows of undecided suffixes that equal a window of an earlier one.
 
     Windows of a seed with at most HELD blocks are compared in one task, those of other seeds by their hashes, so that no task holds
     more than HELD blocks. The table of seeds with more is broadcast; it has at most a row for HELD undecided suffixes.
+    Either comparison shuffles the texts, so each is stored before the other starts and its shuffle files go.
     """
     small_batches(texts.sparkSession)
     many = stored(undecided.groupBy("seed").count().where(F.col("count") > HELD).select("seed"), "frequent-seeds")
     if many.isEmpty():
-        return _compare_held(undecided, texts, length)
+        return [stored(_compare_held(undecided, texts, length), "held-runs")]
     few = undecided.join(F.broadcast(many), "seed", "left_anti")
-    return _compare_held(few, texts, length).union(_compare_hashed(undecided.join(F.broadcast(many), "seed", "left_semi"), texts, length))
+    return [stored(_compare_held(few, texts, length), "held-runs"), stored(_compare_hashed(undecided.join(F.broadcast(many), "seed", "left_semi"), texts, length), "hashed-runs")]
 
 
 def _compare_hashed(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, hi) of single windows; the first of equal windows comes from a combining aggregation of their 128-bit hashes."""
+    """(doc, lo, hi) of single windows: all but the first of equal 128-bit hashes. A task meets ROWS windows at a time and hands on the
+    first of equal ones; the others are known to be repeats, and have a hash that spreads them. So a window that very many texts hold
+    has a row for ROWS windows, and one shuffle and sort find the first of the rest."""
     by_doc = undecided.groupBy("doc").agg(F.collect_set("packed").alias("at"))
+    kinds = {"window": pa.binary(), "doc": pa.int64(), "lo": pa.int64(), "again": pa.bool_()}
+
+    def rows(first: dict[bytes, tuple[int, int]], again: list[tuple[int, int]]) -> pa.RecordBatch:
+        at = [*first.values(), *again]
+        own = [*first, *(doc.to_bytes(8, "big", signed=True) + lo.to_bytes(8, "big") for doc, lo in again)]
+        columns = (own, [x[0] for x in at], [x[1] for x in at], [False] * len(first) + [True] * len(again))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)], names=[*kinds])
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [])
-        kinds = (pa.binary(), pa.int64(), pa.int64())
+        first: dict[bytes, tuple[int, int]] = {}
+        again: list[tuple[int, int]] = []
         for batch in batches:
             for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for packed in at.as_py():
                     _, lo, hi = _windows(packed)
                     for k in range(lo, hi + 1):
-                        _append(out, hashlib.blake2b(data[k : k + length], digest_size=16).digest(), doc, k)
-                    if len(out[0]) >= ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["window", "doc", "lo"])
-                        out = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["window", "doc", "lo"])
+                        window, here = hashlib.blake2b(data[k : k + length], digest_size=16).digest(), (doc, k)
+                        there = first.setdefault(window, here)
+                        if there != here:
+                            first[window] = min(here, there)
+                            again.append(max(here, there))
+                    if len(first) + len(again) >= ROWS:
+                        yield rows(first, again)
+                        first, again = {}, []
+        yield rows(first, again)
 
-    rows = stored(texts.join(by_doc, "doc").select("doc", "text", "at").mapInArrow(hashed, "window binary, doc long, lo long"), "window-hashes")
-    least = rows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first")
-    again = rows.join(least, "window").where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
-    return again.select("doc", "lo", F.col("lo").alias("hi"))
+    found = texts.join(by_doc, "doc").select("doc", "text", "at").mapInArrow(hashed, "window binary, doc long, lo long, again boolean")
+    nth = F.row_number().over(Window.partitionBy("window", "again").orderBy("doc", "lo"))
+    return found.withColumn("nth", nth).where("again OR nth > 1").select("doc", "lo", F.col("lo").alias("hi"))
 
 
 def _compare_held(undecided: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -271,34 +286,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         found = levels.add(batch if upto is None else batch.where(F.col("doc") <= upto))
         repeats = found if repeats is None else repeats.union(found)
     place, before, count = F.shiftright("packed", 20), F.shiftright("packed", 10).bitwiseAND(1023), F.col("packed").bitwiseAND(1023)
-    runs = repeats.select("doc", (place - before).alias("lo"), (place - before + count).alias("hi"))
-    runs = runs.union(compare(levels.undecided(), texts, length))
-    runs = runs.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list(F.col("hi") + length).alias("hi"))
-
-    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, starts, ends, kept = [], [], [], []
-            for text, lo, hi in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                a, b = _union(lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid else (np.zeros(0, np.int64),) * 2
-                if whole_characters and len(a):
-                    first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start
-                    a, b = first[np.searchsorted(first, a, "left")], first[np.searchsorted(first, b, "right") - 1]
-                    a, b = a[a < b], b[a < b]
-                step = np.zeros(len(raw) + 1, np.int8)
-                step[a] = 1
-                step[b] -= 1
-                size.append(len(raw))
-                starts.append(a)
-                ends.append(b)
-                kept.append(raw[np.cumsum(step[:-1]) == 0].tobytes())
-            made = [pa.array(size, pa.int64()), list_array(starts, pa.int64()), list_array(ends, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc", "n_bytes", "starts", "ends", "kept"])
-
-    kinds = "doc long, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    out = texts.join(runs, "doc", "left").select("doc", "text", "lo", "hi").mapInArrow(apply, kinds)
-    if carried:  # other columns come without the text
-        out = out.join(known.select("doc", *carried), "doc")
+    runs = stored(repeats.select("doc", (place - before).alias("lo"), (place - before + count).alias("hi")), "repeats")
+    undecided = stored(levels.undecided(), "undecided")
+    for table in levels.tables:  # what is read of them later is stored by now
+        discard(table)
+    parts = [runs, *compare(undecided, texts, length)]
+    for more in parts[1:]:
+        runs = runs.union(more)
+    runs = stored(runs.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list(F.col("hi") + length).alias("hi")), "runs")
+    for table in (undecided, *parts):
+        discard(table)
+
+    @F.arrow_udf("struct<n_bytes:long,starts:array<long>,ends:array<long>,kept:binary>")
+    def apply(texts: pa.Array, los: pa.Array, his: pa.Array) -> pa.Array:
+        size, starts, ends, kept = [], [], [], []
+        for text, lo, hi in zip(texts, los, his, strict=True):
+            raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+            a, b = _union(lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid else (np.zeros(0, np.int64),) * 2
+            if whole_characters and len(a):
+                first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start
+                a, b = first[np.searchsorted(first, a, "left")], first[np.searchsorted(first, b, "right") - 1]
+                a, b = a[a < b], b[a < b]
+            step = np.zeros(len(raw) + 1, np.int8)
+            step[a] = 1
+            step[b] -= 1
+            size.append(len(raw))
+            starts.append(a)
+            ends.append(b)
+            kept.append(raw[np.cumsum(step[:-1]) == 0].tobytes())
+        made = [pa.array(size, pa.int64()), list_array(starts, pa.int64()), list_array(ends, pa.int64()), pa.array(kept, pa.binary())]
+        return pa.StructArray.from_arrays(made, names=["n_bytes", "starts", "ends", "kept"])
+
+    # other columns stay beside the text, so neither it nor what is kept is shuffled for them
+    out = known.join(runs, "doc", "left").select("doc", apply("text", "lo", "hi").alias("r"), *carried).select("doc", "r.*", *carried)
     none = F.lit(None).cast("array<bigint>")
     whole = base.where(F.col("doc").isNull())
     whole = whole.select(F.col("doc"), F.octet_length("text").cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"), F.col("text").cast("binary").alias("kept"), *(F.lit(None).cast("long").alias(x) if x == "own_id" else F.col(x) for x in carried))

@@ -429,3 +429,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[4][1](spark, table(spark, []), "").count() == 0
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, table(spark, []), "").count() == 0
+
+
+def test_suffix_dedup_leaves_little_on_disk(spark, monkeypatch):
+    """Windows of frequent seeds are found by one shuffle of hashes with a row for equal ones of a task; the texts are shuffled once for
+    the result, and suffix arrays are gone by then."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    rows = [(k, "".join(rng.choice("klmnop") for _ in range(rng.randrange(60))) + line + "".join(rng.choice("klmnop") for _ in range(rng.randrange(60)))) for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "HELD", 4)
+    stored, names, gone = suffix_dedup.stored, [], []
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(suffix_dedup, "discard", gone.append)
+    made = suffix_dedup.remove_repeats(table(spark, rows), 100)
+    got = {r.doc_id: r for r in made.collect()}
+    for i, hit, kept in brute_repeats(rows, 100):
+        assert bytes(got[i].kept) == kept and sum(s.end - s.start for s in got[i].spans) == sum(hit)
+    assert "hashed-runs" in names and "window-hashes" not in names and len(gone) == names.count("suffix-array") + 4
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
