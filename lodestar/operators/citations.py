@@ -54,13 +54,6 @@ def rewritten(answers: DataFrame, sources: DataFrame, id_col: str, text_col: str
     return answers.join(counted, id_col, "left").select(id_col, made.alias("_r")).select(id_col, "_r.body", "_r.numbers")
 
 
-def _with_section(rows: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` (id, section_id) with ``match``: the nearest of the section and those it stands in that ``known`` (id, match) has."""
-    each = rows.select(id_col, "section_id").distinct().select(id_col, "section_id", F.posexplode(section_candidates(F.col("section_id"))).alias("depth", "match"))
-    nearest = each.join(known.select(id_col, "match").distinct(), [id_col, "match"]).groupBy(id_col, "section_id").agg(F.min_by("match", "depth").alias("match"))
-    return rows.join(nearest, [id_col, "section_id"], "left")
-
-
 def _with_hits(rows: DataFrame, chunks: DataFrame, id_col: str, fields: list) -> DataFrame:
     """``rows`` (id, section_id) with ``hits``: the chunks, as structs of ``fields`` (match, ...), of the nearest of the section and those it
     stands in that has any; null without. An answer's chunks are few, so they stand in one array and rows are joined by id alone."""
@@ -107,11 +100,12 @@ def enriched_inline(cited: DataFrame, chunks: DataFrame, bodies: DataFrame, id_c
 def from_sources(bodies: DataFrame, sources: DataFrame, id_col: str) -> DataFrame:
     """(id, number, section_id): markers of bodies (id, body), each number once, tied to the source (id, pos, section_id) of the last
     section named shortly before it, or of one that section stands in; else to the source of the marker's own place."""
-    near = bodies.select(id_col, F.posexplode(marker_windows(F.col("body"), SECTION_CHARS)).alias("at", "w"))
-    first = near.groupBy(id_col, F.col("w.number").alias("number")).agg(F.min_by("w.window", "at").alias("window"))
-    named = first.select(id_col, "number", F.try_element_at(F.regexp_extract_all("window", F.lit(NEARBY_SECTION), 1), F.lit(-1)).alias("section_id"))
-    ids = sources.groupBy(id_col, F.col("section_id").alias("match")).agg(F.min("pos").alias("pos"))
-    tied = _with_section(named.where(F.col("section_id").isNotNull()), ids, id_col).select(id_col, "number", "match")
-    place = sources.select(id_col, (F.col("pos") + 1).alias("number"), F.col("section_id").alias("placed"))
-    out = named.select(id_col, "number").join(tied, [id_col, "number"], "left").join(place, [id_col, "number"], "left")
-    return out.select(id_col, "number", F.coalesce("match", "placed").alias("section_id")).where("section_id IS NOT NULL")
+    every = sources.groupBy(id_col).agg(F.collect_list(F.struct("pos", "section_id")).alias("_every"))
+    near = bodies.join(every, id_col, "left").select(id_col, "_every", F.posexplode(marker_windows(F.col("body"), SECTION_CHARS)).alias("at", "w"))
+    # an answer's sources are few and stand in one array, so rows stay where the join by id has put them
+    first = near.groupBy(id_col, F.col("w.number").alias("number")).agg(F.min_by("w.window", "at").alias("window"), F.first("_every").alias("_every"))
+    named = first.select(id_col, "number", "_every", F.try_element_at(F.regexp_extract_all("window", F.lit(NEARBY_SECTION), 1), F.lit(-1)).alias("section_id"))
+    known = lambda c: F.exists("_every", lambda x: x["section_id"] == c)
+    nearest = F.when(F.col("section_id").isNotNull(), F.get(F.filter(section_candidates(F.col("section_id")), known), F.lit(0)))
+    placed = F.get(F.filter("_every", lambda x: x["pos"] + 1 == F.col("number")), F.lit(0))["section_id"]
+    return named.select(id_col, "number", F.coalesce(nearest, placed).alias("section_id")).where("section_id IS NOT NULL AND number IS NOT NULL")

@@ -298,3 +298,11 @@ def test_terms_that_share_a_line(spark):
     text = 'x\n"Lien" means a lien, "Debt" means debt\n  "Loan": any\n"Lien" means more'
     found = segments.definitions(spark.createDataFrame([(1, text, 7)], "doc int, text string, kept int"), "doc", with_offset=True, carried=("kept",)).collect()
     assert sorted((r.term, r.at, r.kept) for r in found) == [("Debt", 2, 7), ("Lien", 2, 7), ("Loan", 41, 7)]
+
+
+def test_sources_of_markers_need_one_shuffle_of_each_table(spark):
+    bodies = spark.createDataFrame([(1, "Section 7.1(a)(ii) x [1] [2] [9] [99999999999] [1]"), (2, "Section 5 x [1]"), (3, None), (None, "Section 8 [1]")], "id int, body string")
+    sources = spark.createDataFrame([(1, 0, "7.1"), (1, 1, "8"), (1, 2, None), (2, 0, "9"), (None, 0, "8"), (1, 3, "7.1")], "id int, pos int, section_id string")
+    found = citations.from_sources(bodies, sources, "id")
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    assert sorted((r.id, r.number, r.section_id) for r in found.collect()) == [(1, 1, "7.1"), (1, 2, "7.1"), (1, 9, "7.1"), (2, 1, "9")]
